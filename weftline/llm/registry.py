@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import dedup_exact, mixing, packing, sharding
+from . import dedup_exact, dedup_near, mixing, packing, quality, sharding
 
 QUERIES = {
     "op1_pack": packing.op1_pack,
     "op3_exact_dedup": dedup_exact.op3_exact_dedup,
+    "op5_quality": quality.op5_quality,
+    "op6_near_dedup": dedup_near.op6_near_dedup,
     "op7_mix": mixing.op7_mix,
     "op9_shard": sharding.op9_shard,
 }
