@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import agreement, benchmark, documents, retrieval  # noqa: F401  they register their queries
+from .domain import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
