@@ -152,8 +152,8 @@ def pack(items: DataFrame, *, capacity: int = CAPACITY, partition_pieces: int =
     """Puts items (columns of PIECES) into sequences: adds sequence_id, offset, partition, bins, bound, open.
 
     Items are dealt by hash into partitions of about partition_pieces items. In each further round the open
-    items of all partitions are dealt anew into partitions of that size and packed again; they move only if
-    that saves bins. An empty table gives an empty table; equal items are different items.
+    bins of all partitions are dealt anew, whole, into partitions of that size and their items packed again; they
+    move only if that saves bins. An empty table gives an empty table; equal items are different items.
     """
     spark = items.sparkSession
     blank = items.withColumns({"sequence_id": F.lit(None).cast("long"), "offset": F.lit(None).cast("long")})
@@ -163,7 +163,7 @@ def pack(items: DataFrame, *, capacity: int = CAPACITY, partition_pieces: int =
         if not rows:
             break
         groups = parts_for(rows, partition_pieces)
-        dealt = todo.withColumn("__wl_g", F.lit(base) + F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(r)), F.lit(groups)))
+        dealt = todo.withColumn("__wl_g", F.lit(base) + F.pmod(F.xxhash64(*(["sequence_id"] if r else ["doc_id", "piece", "ids_crc32"]), F.lit(r)), F.lit(groups)))
         got = written(dealt.groupBy("__wl_g").applyInPandas(_pack(capacity), PACKED), f"packed-{r}")
         base += groups
         if r == rounds or (r and not _gained(got, todo)):

@@ -61,14 +61,15 @@ class BallTree:
         return best + 1e-9 * (length * (self.radius[node] + np.sqrt((self.centre[node] ** 2).sum()))) + 1e-6
 
 
-def dot(q: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """Inner products of whole numbers as int64, exact; an error if one doesn't fit a long."""
+def dot(q: np.ndarray, m: np.ndarray, skip: np.ndarray) -> np.ndarray:
+    """Inner products of whole numbers as int64, exact; an error if one doesn't fit a long, but for those to skip (0)."""
     if not q.size or not m.size:
         return np.zeros((len(q), len(m)), np.int64)
     most = np.abs(q).max() * np.abs(m).max() * q.shape[1]
     if most < EXACT:
         return (q @ m.T).astype(np.int64)
     whole = np.array([[int(x) for x in r] for r in q], object) @ np.array([[int(x) for x in r] for r in m], object).T
+    whole[skip] = 0
     if max(abs(int(x)) for x in whole.ravel()) >= 1 << 63:
         raise OverflowError("an inner product doesn't fit a long")
     return whole.astype(np.int64)
@@ -93,9 +94,10 @@ def search(tree: BallTree, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, le
             return
         if tree.children[node] is None:
             a, b = tree.rows[node]
-            got = dot(q[alive], tree.m[a:b])
-            at = np.broadcast_to(ids[a:b], got.shape)
-            fit = (got >= kth[alive][:, None]) & (at != q_ids[alive][:, None])
+            at = np.broadcast_to(ids[a:b], (len(alive), b - a))
+            own = at == q_ids[alive][:, None]
+            got = dot(q[alive], tree.m[a:b], own)
+            fit = (got >= kth[alive][:, None]) & ~own
             some = fit.any(axis=1)
             alive, got, at = alive[some], np.where(fit, got, np.iinfo(np.int64).min)[some], np.where(fit, at, np.iinfo(np.int64).max)[some]
             every, place = np.concatenate([score[alive], got], 1), np.concatenate([found[alive], at], 1)

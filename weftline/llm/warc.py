@@ -63,7 +63,7 @@ def parse(member: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def decisions(pages: DataFrame, *, least: int = LEAST_PAYLOAD) -> DataFrame:
-    """Of each distinct (page_id, digest): first_id, the page that holds the payload, and big, whether it is shared at all."""
+    """Of each distinct (page_id, digest): first_id, the page that holds the payload; copies: how many rows are equal in both."""
     slim = pages.select(F.col("page_id").cast("long").alias("page_id"), F.sha2(F.coalesce("html", F.lit("")).cast("binary"), 256).alias("digest"), F.octet_length(F.coalesce("html", F.lit(""))).alias("bytes"))
     slim = written(slim.where(F.col("bytes") >= least), "page-digests")
     rows = slim.count()
@@ -71,7 +71,7 @@ def decisions(pages: DataFrame, *, least: int = LEAST_PAYLOAD) -> DataFrame:
     hot = F.broadcast(groups.where(F.col("n") * HOT_SHARE > rows))  # under HOT_SHARE rows
     cold = groups.where(F.col("n") * HOT_SHARE <= rows)
     met = slim.join(hot, "digest").unionByName(slim.join(F.broadcast(hot.select("digest")), "digest", "left_anti").join(cold, "digest"))
-    return met.select("page_id", "digest", "first_id").distinct()
+    return met.groupBy("page_id", "digest", "first_id").agg(F.count("*").alias("copies"))
 
 
 def write_archives(pages: DataFrame, folder: str, *, least: int = LEAST_PAYLOAD, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
@@ -85,8 +85,11 @@ def write_archives(pages: DataFrame, folder: str, *, least: int = LEAST_PAYLOAD,
     decided = written(decisions(pages, least=least), "page-decisions")
     html = F.coalesce("html", F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.sha2(html.cast("binary"), 256).alias("digest"))
-    other = decided.select(F.col("page_id").alias("__wl_p"), F.col("digest").alias("__wl_d"), "first_id", F.lit(True).alias("shared"))
+    other = decided.select(F.col("page_id").alias("__wl_p"), F.col("digest").alias("__wl_d"), "first_id", F.lit(True).alias("shared"), "copies")
     met = rows.join(other, rows["page_id"].eqNullSafe(other["__wl_p"]) & (rows["digest"] == other["__wl_d"]), "left").drop("__wl_p", "__wl_d")
+    if not decided.where("copies > 1").isEmpty():  # pages repeated in full meet in one task; the rest stays where it is
+        same = met.where("copies > 1").repartition("page_id", "digest")
+        met = met.where("copies is null or copies = 1").unionByName(same)
     met = met.sortWithinPartitions("page_id", "digest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
