@@ -21,7 +21,7 @@ def entries(spark: SparkSession, sf: str) -> DataFrame:
     return scoring.with_vectors(d.records(spark, sf), d.item_vectors(spark, sf), "sample_id", "split", "label")
 
 
-@query("item_pairs", "SELECT n_items, count(*) AS n_pairs, round(avg(cosine), 6) AS mean_cosine FROM pairs GROUP BY 1", "pairs")
+@query("item_pairs", "SELECT n_items::INTEGER AS n_items, count(*) AS n_pairs, round(avg(cosine), 6) AS mean_cosine FROM pairs GROUP BY 1", "pairs")
 def item_pairs(spark: SparkSession, sf: str) -> DataFrame:
     p = scoring.item_pairs(entries(spark, sf).withColumn("n_items", F.size("entries")), "n_items")
     return rounded(p.groupBy("n_items").agg(F.count("*").alias("n_pairs"), F.avg("cosine").alias("mean_cosine")))

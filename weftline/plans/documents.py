@@ -1 +1,134 @@
-"""Queries."""
+"""Queries of evidence documents, detections, hashes and requests."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import documents as texts
+from ..functions.scalars import expanded_box, image_url, joined_vi, label_text, length, media_type, sentence_case
+from ..operators import detection, evidence
+from . import agreement
+from . import domain as d
+from .agreement import rounded
+from .domain import query
+
+
+def docs(spark: SparkSession, sf: str) -> DataFrame:
+    return evidence.documents(agreement.loo(spark, sf), d.core(spark, sf))
+
+
+@query("evidence_documents", """SELECT l.sample_id, any_value(l.n_items)::INTEGER AS n_items, max(CASE WHEN rank = 1 THEN position END)::INTEGER AS problematic_item_index, max(CASE WHEN rank = 1 THEN item_id END) AS problematic_item_id, max(CASE WHEN rank = 1 THEN coarse END) AS problematic_category,
+  round(max(CASE WHEN rank = 1 THEN delta END) - max(CASE WHEN rank = 2 THEN delta END), 6) + 0.0 AS top1_top2_delta_gap, any_value(l.n_items) = 3 AS uses_two_item_extrapolation, string_agg(position, ',' ORDER BY rank) AS ranking FROM loo l JOIN core USING (item_id) WHERE sample_id LIKE '%_neg' GROUP BY 1""", "loo", "core")
+def evidence_documents(spark: SparkSession, sf: str) -> DataFrame:
+    x = docs(spark, sf).withColumn("ranking", F.array_join(F.transform("ranked_items", lambda r: r["item_index"].cast("string")), ","))
+    return rounded(x.drop("ranked_items", "full_logit"))
+
+
+@query("evidence_issues", """SELECT code, count(*) AS n FROM (SELECT unnest(CASE WHEN r = 1 THEN ['delta_identity'] WHEN r = 2 THEN ['gap_identity'] WHEN r = 3 THEN ['problem_not_first'] WHEN r = 4 THEN ['extrapolation_flag'] ELSE [] END) AS code FROM (SELECT source_kit_id::BIGINT % 30 AS r FROM records WHERE label = 0)) GROUP BY code""", "records")
+def evidence_issues(spark: SparkSession, sf: str) -> DataFrame:
+    """The document validator over documents with one fault for each of a few residues of the kit number."""
+    r = F.expr("cast(replace(sample_id, '_neg', '') as bigint)") % 30
+    bad = docs(spark, sf).withColumns({
+        "full_logit": F.when(r == 1, F.col("full_logit") + 1.0).otherwise(F.col("full_logit")), "top1_top2_delta_gap": F.when(r == 2, F.col("top1_top2_delta_gap") + 1.0).otherwise(F.col("top1_top2_delta_gap")),
+        "problematic_item_index": F.when(r == 3, F.col("problematic_item_index") + 1).otherwise(F.col("problematic_item_index")), "uses_two_item_extrapolation": F.when(r == 4, ~F.col("uses_two_item_extrapolation")).otherwise(F.col("uses_two_item_extrapolation")),
+    })
+    return evidence.document_issues(bad).groupBy("code").agg(F.count("*").alias("n"))
+
+
+VI = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in evidence.CATEGORY_VI.items())
+
+
+@query("explanations", f"""SELECT sample_id, 'Món ' || max(CASE WHEN rank = 1 THEN position END) || ' (' || max(CASE WHEN rank = 1 THEN CASE coarse {VI} END END) || ') đứng đầu khi bỏ lần lượt từng món.' AS headline,
+  'loo_certainty_not_calibrated,visual_labels_are_inferences' || CASE WHEN any_value(n_items) = 3 THEN ',loo_uses_two_item_extrapolation' ELSE '' END AS limitations FROM loo JOIN core USING (item_id) WHERE sample_id LIKE '%_neg' GROUP BY 1""", "loo", "core")
+def explanations(spark: SparkSession, sf: str) -> DataFrame:
+    return evidence.explained(docs(spark, sf)).select("sample_id", "headline", "limitations")
+
+
+@query("prompt_contexts", "SELECT sample_id, max(CASE WHEN rank = 1 THEN position END)::INTEGER AS problematic_item_index, string_agg(coarse, ',' ORDER BY position) AS categories FROM loo JOIN core USING (item_id) WHERE sample_id LIKE '%_neg' GROUP BY 1", "loo", "core")
+def prompt_contexts(spark: SparkSession, sf: str) -> DataFrame:
+    return evidence.prompt_context(docs(spark, sf)).select("sample_id", "problematic_item_index", F.array_join("items.coarse_category", ",").alias("categories"))
+
+
+@query("request_status", """SELECT kit_id AS request_id, CASE WHEN n BETWEEN 3 AND 8 THEN 'ok' ELSE 'error' END AS status, CASE WHEN n < 3 THEN 'too_few_items' WHEN n > 8 THEN 'too_many_items' END AS error_code FROM (SELECT kit_id, count(*) AS n FROM itemvec JOIN core USING (item_id) GROUP BY 1)""", "itemvec", "core")
+def request_status(spark: SparkSession, sf: str) -> DataFrame:
+    iv = d.item_vectors(spark, sf).join(d.core(spark, sf).select("item_id", "kit_id"), "item_id")
+    o = iv.groupBy(F.col("kit_id").alias("request_id")).agg(F.collect_list("item_id").alias("item_ids"), F.collect_list(length(F.col("v"))).alias("norms"), F.collect_list("coarse_id").alias("coarse_ids"))
+    return evidence.request_status(o)
+
+
+@query("detection_candidates", """SELECT label, reject_reason, count(*) AS n FROM (SELECT CASE WHEN p_size % 5 = 0 THEN NULL ELSE lower(trim(regexp_replace(p_type, '\\s+', ' ', 'g'))) END AS label,
+  CASE WHEN p_size % 7 = 0 THEN 'invalid_box' WHEN p_size % 11 = 0 THEN 'invalid_confidence' WHEN p_size % 5 = 0 THEN 'unknown_label' WHEN lower(trim(regexp_replace(p_type, '\\s+', ' ', 'g'))) <> (SELECT min(lower(p_type)) FROM part) THEN 'unsupported_fashionpedia_object_type' END AS reject_reason FROM part) GROUP BY ALL""")
+def detection_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    p = d.table(spark, sf, "part")
+    one = p.agg(F.min(F.lower("p_type"))).first()[0]  # one name
+    x = p.select(F.col("p_partkey").alias("image_id"), F.lit(0.0).alias("x1"), F.lit(0.0).alias("y1"), F.when(F.col("p_size") % 7 == 0, 0.0).otherwise(F.col("p_size").cast("double")).alias("x2"), F.lit(5.0).alias("y2"), F.when(F.col("p_size") % 11 == 0, 1.5).otherwise(0.5).alias("confidence"), F.lit(-1).alias("class_id"), F.when(F.col("p_size") % 5 == 0, " ").otherwise(F.concat(F.lit("  "), "p_type")).alias("class_name"))
+    return detection.candidates(x, ["shoe"], supported=(one,)).groupBy("label", "reject_reason").agg(F.count("*").alias("n"))
+
+
+@query("expanded_boxes", """SELECT p_partkey, greatest(0, least(floor(x1 - (x2 - x1) * 0.1), 99))::BIGINT AS left, least(100, greatest(ceil(x2 + (x2 - x1) * 0.1), greatest(0, least(floor(x1 - (x2 - x1) * 0.1), 99)) + 1))::BIGINT AS right FROM (SELECT p_partkey, p_size::DOUBLE AS x1, p_size + p_retailprice / 50 AS x2 FROM part)""")
+def expanded_boxes(spark: SparkSession, sf: str) -> DataFrame:
+    p = d.table(spark, sf, "part").select("p_partkey", F.col("p_size").cast("double").alias("x1"), (F.col("p_size") + F.col("p_retailprice") / 50).alias("x2"))
+    box = expanded_box(F.col("x1"), F.col("x1"), F.col("x2"), F.col("x2"), F.lit(100), F.lit(100), 0.1)
+    return p.select("p_partkey", box["left"].cast("long").alias("left"), box["right"].cast("long").alias("right"))
+
+
+PROTO = """p AS (SELECT label AS category, list(x / n ORDER BY d) AS v FROM (SELECT *, sqrt(sum(x * x) OVER (PARTITION BY label)) AS n FROM (SELECT label, d, avg(x / sqrt(s)) AS x FROM (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS d, list_inner_product(v, v) AS s FROM vec) GROUP BY ALL)) GROUP BY label)"""
+
+
+@query("zero_shot_categories", f"""SELECT * FROM (WITH {PROTO} SELECT vec_id, category, round(score, 6) AS score, round(score - second, 6) + 0.0 AS margin, score - second >= 0.05 AS accepted FROM (SELECT vec_id, p.category, list_inner_product(vec.v, p.v) AS score, lead(list_inner_product(vec.v, p.v)) OVER w AS second, row_number() OVER w AS r FROM vec, p WINDOW w AS (PARTITION BY vec_id ORDER BY list_inner_product(vec.v, p.v) DESC, p.category)) WHERE r = 1)""", "vec")
+def zero_shot_categories(spark: SparkSession, sf: str) -> DataFrame:
+    v = d.vectors(spark, sf)
+    proto = detection.prototypes(v.select(F.col("label").alias("category"), F.col("label").alias("position"), "v"), d.DIM)
+    s = detection.zero_shot(v.select(F.col("vec_id").alias("id"), "v"), proto)
+    return rounded(detection.best_category(s, margin=0.05).select(F.col("id").alias("vec_id"), "category", "score", "margin", "accepted"))
+
+
+@query("external_items", "SELECT o_orderkey * 4 + r AS position, o_orderkey::VARCHAR || '_' || role AS item_id, role FROM orders, (VALUES (0, 'top'), (1, 'bottom'), (2, 'shoes'), (3, 'bag')) t(r, role)")
+def external_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Each outfit in the four roles, with a running index."""
+    roles = F.explode(F.array(*(F.struct(F.lit(i).alias("r"), F.lit(x).alias("role")) for i, x in enumerate(("top", "bottom", "shoes", "bag")))))
+    o = d.table(spark, sf, "orders").select("o_orderkey", roles.alias("x"))
+    return o.select((F.col("o_orderkey") * 4 + F.col("x.r")).alias("position"), F.concat(F.col("o_orderkey").cast("string"), F.lit("_"), F.col("x.role")).alias("item_id"), F.col("x.role").alias("role"))
+
+
+@query("manifest_hash", "SELECT count(*) AS n, sha256(string_agg(s_suppkey || '|' || s_name || '|' || s_nationkey, chr(10) ORDER BY s_suppkey)) AS sha256 FROM supplier")
+def manifest_hash(spark: SparkSession, sf: str) -> DataFrame:
+    line = F.concat_ws("|", F.col("s_suppkey").cast("string"), "s_name", F.col("s_nationkey").cast("string"))
+    return texts.ordered_hash(d.table(spark, sf, "supplier"), line, "s_suppkey")
+
+
+@query("artifact_hashes", "SELECT status, count(*) AS n FROM (SELECT CASE WHEN s_suppkey % 9 = 0 THEN 'missing' WHEN s_suppkey % 7 = 0 THEN 'changed' ELSE 'same' END AS status FROM supplier) GROUP BY 1")
+def artifact_hashes(spark: SparkSession, sf: str) -> DataFrame:
+    """Recorded hashes of artifacts against current ones."""
+    s = d.table(spark, sf, "supplier").select("s_suppkey", F.sha2("s_name", 256).alias("now"))
+    report = s.where("s_suppkey % 9 <> 0").select("s_suppkey", F.when(F.col("s_suppkey") % 7 == 0, "old").otherwise(F.col("now")).alias("recorded"))
+    return s.join(report, "s_suppkey", "left").groupBy(F.when(F.col("recorded").isNull(), "missing").when(F.col("recorded") != F.col("now"), "changed").otherwise("same").alias("status")).agg(F.count("*").alias("n"))
+
+
+@query("text_functions", """SELECT p_partkey, upper(substr(p_name, 1, 1)) || substr(p_name, 2) AS sentence, lower(p_brand) AS label, '/images/' || replace(p_brand, '#', '%23') || '%20' || p_size AS url,
+  CASE p_size % 3 WHEN 0 THEN 'image/png' WHEN 1 THEN 'image/webp' ELSE 'image/jpeg' END AS media, CASE WHEN p_mod = 0 THEN p_brand ELSE p_brand || ' và ' || p_mod END AS joined FROM (SELECT *, p_size % 2 AS p_mod FROM part)""")
+def text_functions(spark: SparkSession, sf: str) -> DataFrame:
+    p = d.table(spark, sf, "part")
+    third = F.col("p_size") % 3
+    name = F.concat(F.lit("x."), F.when(third == 0, "PNG").when(third == 1, "webp").otherwise("jpg"))
+    odd = F.col("p_size") % 2
+    return p.select("p_partkey", sentence_case(F.col("p_name")).alias("sentence"), label_text(F.concat(F.lit(" "), "p_brand", F.lit(" "))).alias("label"), image_url("/images/", F.concat("p_brand", F.lit(" "), F.col("p_size").cast("string"))).alias("url"), media_type(name).alias("media"), joined_vi(F.when(odd == 0, F.array("p_brand", "p_brand")).otherwise(F.array("p_brand", odd.cast("string")))).alias("joined"))
+
+
+@query("json_documents", """SELECT error, canonical, count(*) AS n FROM (SELECT CASE event_id % 3 WHEN 0 THEN NULL WHEN 1 THEN 'repeated_key' ELSE 'not_one_object' END AS error, CASE WHEN event_id % 3 = 0 THEN '{"a":1,"k":' || json_extract(props, '$.k') || '}' END AS canonical FROM events) GROUP BY ALL""")
+def json_documents(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.get_json_object("props", "$.k")
+    r = F.col("event_id") % 3
+    text = F.when(r == 0, F.concat(F.lit('```json\n{"k": '), k, F.lit(', "a": 1}\n```'))).when(r == 1, F.lit('{"a": 1, "a": 2}')).otherwise(F.lit('x {"a": 1}'))
+    x = d.table(spark, sf, "events").select(texts.checked_json(text, {"label"}).alias("c"))
+    return x.groupBy("c.error", "c.canonical").agg(F.count("*").alias("n"))
+
+
+@query("image_inventory", "SELECT count(*) AS n_images, count(*) FILTER (n > 1) AS n_repeated, (SELECT count(*) FROM vec WHERE vec_id % 5 = 0) AS n_without_image FROM (SELECT vec_id, 1 AS n FROM vec WHERE vec_id % 5 <> 0)", "vec")
+def image_inventory(spark: SparkSession, sf: str) -> DataFrame:
+    """A declared inventory against the ids of vectors, in both directions."""
+    v = d.vectors(spark, sf).select("vec_id")
+    files = v.where("vec_id % 5 <> 0").groupBy("vec_id").agg(F.count("*").alias("n"))
+    lacking = v.join(files, "vec_id", "left_anti").agg(F.count("*").alias("n_without_image"))
+    return files.agg(F.count("*").alias("n_images"), F.count_if(F.col("n") > 1).alias("n_repeated")).crossJoin(lacking)  # a row on each side

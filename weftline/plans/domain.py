@@ -154,7 +154,7 @@ PARTS = {
   UNION ALL SELECT s.split, s.kit_id || '_neg', s.kit_id, s.kit_id || '_pos', 0, list_transform(ids, lambda x, i: CASE WHEN i - 1 = position THEN replacement_item_id ELSE x END), position, original_item_id, replacement_item_id FROM samples s JOIN neg USING (split, kit_id)""",
     "vec": "SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings",
     "itemvec": """SELECT item_id, vec_id, label, v, CASE coarse WHEN 'TOP' THEN 1 WHEN 'BOTTOM' THEN 2 WHEN 'DRESS' THEN 3 WHEN 'OUTERWEAR' THEN 4 WHEN 'SHOES' THEN 5 WHEN 'BAG' THEN 6 WHEN 'HAT' THEN 7 END AS coarse_id FROM core JOIN vec ON vec_id = slot % (SELECT count(*) FROM embeddings)""",
-    "entry": "SELECT sample_id, split, pair_id, label, problem, original_item_id, len(ids) AS n_items, pos, item_id, vec_id, v, itemvec.label AS vlabel, coarse_id FROM (SELECT *, unnest(ids) AS item_id, generate_subscripts(ids, 1) - 1 AS pos FROM records) JOIN itemvec USING (item_id)",
+    "entry": "SELECT sample_id, split, pair_id, r.label, problem, original_item_id, len(ids) AS n_items, pos, item_id, vec_id, v, itemvec.label AS vlabel, coarse_id FROM (SELECT *, unnest(ids) AS item_id, generate_subscripts(ids, 1) - 1 AS pos FROM records) r JOIN itemvec USING (item_id)",
     "pairs": "SELECT a.sample_id, a.n_items, a.pos AS i, b.pos AS j, list_inner_product(a.v, b.v) AS cosine FROM entry a JOIN entry b ON a.sample_id = b.sample_id AND a.pos < b.pos",
     "scored": "SELECT r.sample_id, split, pair_id, label, len(ids) AS n_items, round(s, 9) AS compatibility_logit FROM records r JOIN (SELECT sample_id, avg(cosine) AS s FROM pairs GROUP BY 1) USING (sample_id)",
     "loo": """SELECT sample_id, n_items, full_logit, pos AS position, item_id, logit_without, delta, row_number() OVER (PARTITION BY sample_id ORDER BY delta DESC, pos) AS rank

@@ -48,9 +48,9 @@ def ranked(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFram
     return q, c, found, recommend.reranked(q, found, c, d.DIM)
 
 
-@query("reranked_candidates", "SELECT query_id, item_id, order_rank::INTEGER AS order_rank, used_category_id, false AS used_fallback, round(logit, 6) AS logit, round(improvement, 6) AS improvement, final_rank::INTEGER AS final_rank FROM ranked", "ranked")
+@query("reranked_candidates", "SELECT query_id, item_id, order_rank::INTEGER AS order_rank, used_category_id, false AS used_fallback, logit, round(improvement, 6) + 0.0 AS improvement, final_rank::INTEGER AS final_rank FROM ranked", "ranked")
 def reranked_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(ranked(spark, sf)[3])
+    return ranked(spark, sf)[3].withColumn("improvement", F.round("improvement", 6))
 
 
 @query("recommendations", """SELECT q.query_id, CASE WHEN coalesce(n, 0) = 3 THEN 'ok' ELSE 'insufficient_candidates' END AS status, coalesce(items, '') AS items FROM q
