@@ -87,6 +87,13 @@ def parts_for(rows: int, each: int) -> int:
     return max(1, math.ceil(rows / each))
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Holds the rows of an Arrow batch to what long texts allow, in this session; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def string_buffer(column) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets (n + 1) of an Arrow string column without nulls, not copied."""
     import pyarrow as pa

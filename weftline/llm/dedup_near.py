@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words
-from .common import mix64, slices_of, string_buffer, table, text_or_empty, written
+from .common import mix64, slices_of, small_batches, string_buffer, table, text_or_empty, written
 from .components import connected
 from .dedup_exact import bloom_test
 
@@ -25,7 +25,7 @@ BATCH, MISS = 32, 1e-6
 #: A candidate cluster over these many texts or shingles is cut into blocks, and pairs of blocks are verified.
 CLUSTER_TEXTS, CLUSTER_SHINGLES = 1500, 4_000_000
 #: Bytes of text that one step of a task works on.
-STEP = 1 << 20
+STEP = 1 << 18
 
 _rng = np.random.default_rng(19970501)
 FLIP, FACTOR = _rng.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64), _rng.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
@@ -161,6 +161,7 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     CLUSTER_TEXTS, in pairs of blocks, and each task returns a spanning forest of the confirmed links. That
     tests all pairs of a cluster, hence all pairs of its buckets.
     """
+    small_batches(docs.sparkSession)
     slim = written(sketches(docs), "sketches")
     reps = slim.where("n_shingles > 0 and doc_id is not null").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n"))
     reps = written(reps, "shingle-sets")

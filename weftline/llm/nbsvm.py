@@ -6,17 +6,16 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, slices_of, string_buffer, text_or_empty
+from .common import held_out, slices_of, small_batches, string_buffer, text_or_empty
 
 #: Labelled documents of each class that a model is fitted on, at most; the most indicators of one of them.
 PER_CLASS, MOST_FEATURES = 3000, 1 << 15
 #: Bytes of text that one step of a task works on.
-STEP = 1 << 20
+STEP = 1 << 18
 
 
 @dataclass
@@ -139,17 +138,17 @@ def train(docs: DataFrame, labels: DataFrame, label: str, features: Features, di
 
 
 def scorer(spark, model: Model, features: Features, prepare=None):
-    """A pandas UDF from texts (no nulls) to scores."""
+    """An Arrow function from texts (no nulls) to scores."""
     held = spark.sparkContext.broadcast(model)
+    small_batches(spark)
 
-    @F.pandas_udf("double")
-    def score(text: pd.Series) -> pd.Series:
-        column = pa.array(text, pa.large_string())
-        raw, at = string_buffer(column if prepare is None else prepare(column))
+    @F.arrow_udf("double")
+    def score(text: pa.Array) -> pa.Array:
+        raw, at = string_buffer(text if prepare is None else prepare(text))
         out = np.zeros(len(text))
         for i, j in slices_of(at, STEP):
             doc, code = features(raw[at[i] : at[j]], at[i : j + 1] - at[i])
             out[i:j] = held.value.scores(doc, code, j - i)
-        return pd.Series(out)
+        return pa.array(out)
 
     return score

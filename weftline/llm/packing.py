@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import parts_for, table, text_or_empty, written
+from .common import parts_for, small_batches, table, text_or_empty, written
 
 CAPACITY = 2048
 #: Pieces of a partition that is packed on its own, and rounds of exchange after the first.
@@ -73,6 +73,7 @@ def pieces(docs: DataFrame, *, json_path: str | None = None, ranks_path: str | N
             columns = list(zip(*got, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, PIECES)
 
 

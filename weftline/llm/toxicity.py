@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import nbsvm, words
-from .common import held_out, slices_of, string_buffer, table, text_or_empty
+from .common import held_out, slices_of, small_batches, string_buffer, table, text_or_empty
 
 #: Indicators (hashed words and their first letters), and the score from which a document is toxic.
 DIMS, THRESHOLD = 1 << 18, 0.5
@@ -21,7 +21,7 @@ STEM = 5
 LEAST_RATIO, LEAST_DOCS = 1.0, 3
 #: Longest token that is decoded; longer ones are keys and hashes.
 LONGEST = 40
-STEP = 1 << 20
+STEP = 1 << 18
 
 # What a written sign may stand for, with the channel's cost (negative log chance) of each.
 SIGNS = {
@@ -57,6 +57,7 @@ def language_counts(docs: DataFrame) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["code", "n"])
 
+    small_batches(docs.sparkSession)
     out = np.zeros(SYMBOLS**3, np.int64)
     for r in docs.select(text_or_empty().alias("text")).mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect():  # at most SYMBOLS^3 rows
         out[r.code] = r.n

@@ -23,7 +23,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
         inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
         for k, b in enumerate((BASE, inverse)):
-            x = np.full(max(n, 1 << 21), b, np.uint64)
+            x = np.full(max(n, 1 << 19), b, np.uint64)
             x[0] = 1
             _powers[k] = np.cumprod(x, dtype=np.uint64)
     return _powers[0][:n], _powers[1][:n]
