@@ -75,9 +75,11 @@ def retrieval_evaluation(spark: SparkSession, sf: str) -> DataFrame:
 @query("rank_then_filter", """SELECT query_id, item_id, rank::INTEGER AS rank FROM (SELECT q.query_id, c.item_id, c.master, q.problem_master, q.item_ids, row_number() OVER (PARTITION BY q.query_id ORDER BY round(list_inner_product(q.item_query, c.v), 9) DESC, c.item_id) AS rank FROM q, catalog c)
   WHERE rank <= 50 AND master = problem_master AND NOT list_contains(item_ids, item_id)""", "q", "catalog")
 def rank_then_filter(spark: SparkSession, sf: str) -> DataFrame:
-    """The earlier retrieval: the whole catalog is ranked, then filtered. Each query meets the catalog in one task per catalog part."""
+    """The earlier retrieval: the whole catalog is ranked, then filtered. The query set meets the catalog in blocks of both."""
     q, c = prepared(spark, sf)
-    pairs = q.select("query_id", "item_query", "problem_master", "item_ids").crossJoin(F.broadcast(c.select("item_id", "master", "v")))  # the query set against all rows; embeddings has a checked size here
+    blocks = max(1, c.count() // 4096)
+    asked = q.select("query_id", "item_query", "problem_master", "item_ids", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
+    pairs = asked.join(c.select("item_id", "master", "v", F.pmod(F.xxhash64("item_id"), F.lit(blocks)).alias("block")), "block")
     hits = recommend.top_hits(pairs.select("query_id", "item_id", "master", "problem_master", "item_ids", F.round(dot(F.col("item_query"), F.col("v")), 9).alias("similarity")), "query_id", k=50)
     return hits.where("master = problem_master").where(~F.array_contains("item_ids", F.col("item_id"))).select("query_id", "item_id", "rank")
 
