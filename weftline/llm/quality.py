@@ -1,4 +1,4 @@
-"""Quality classifier: Naive Bayes support vectors over indicators of byte trigrams."""
+"""Quality classifier: Naive Bayes support vectors over indicators of byte trigrams, size and repetition."""
 
 from __future__ import annotations
 
@@ -9,20 +9,26 @@ from pyspark.sql import functions as F
 from . import nbsvm
 from .common import held_out, table, text_or_empty
 
-#: Indicators (hashed trigrams), and the score from which a document passes.
-DIMS, THRESHOLD = 1 << 18, 0.3
+#: Indicators, those of them that aren't trigrams, and the score from which a document passes.
+DIMS, OWN, THRESHOLD = 1 << 18, 64, 0.3
+#: Bytes from which repetition is told.
+LONG = 200
 
 
 def trigrams(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (text number, hashed byte trigram) pairs in order; texts under three bytes have none."""
-    if len(raw) < 3:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    x = raw.astype(np.uint32)
-    code = ((x[:-2] << 16 | x[1:-1] << 8 | x[2:]) * np.uint32(2654435761)) >> np.uint32(14)
+    """Distinct (text number, indicator) pairs in order: hashed byte trigrams, and of each text the size class (powers of
+    two) and, from LONG bytes on, the class of its distinct trigrams per byte, which repetition lowers."""
     n = np.diff(offsets)
-    doc = np.repeat(np.arange(len(n), dtype=np.int64), n)[:-2]
-    inside = np.repeat(offsets[1:], n)[:-2] - np.arange(len(raw) - 2) >= 3
-    key = np.unique((doc << 18 | code.astype(np.int64))[inside])
+    texts = np.arange(len(n), dtype=np.int64)
+    key = np.zeros(0, np.int64)
+    if len(raw) >= 3:
+        x = raw.astype(np.uint32)
+        code = ((x[:-2] << 16 | x[1:-1] << 8 | x[2:]) * np.uint32(2654435761) >> np.uint32(14)) % np.uint32(DIMS - OWN)
+        inside = np.repeat(offsets[1:], n)[:-2] - np.arange(len(raw) - 2) >= 3
+        key = np.unique((np.repeat(texts, n)[:-2] << 18 | code.astype(np.int64))[inside])
+    size = np.minimum(np.log2(np.maximum(n, 1)).astype(np.int64), 31)
+    rich = np.minimum(16 * np.bincount(key >> 18, minlength=len(n)) // np.maximum(n, 1), 15) + 32
+    key = np.sort(np.concatenate([key, texts << 18 | DIMS - OWN + size, (texts << 18 | DIMS - OWN + rich)[n >= LONG]]), kind="stable")
     return key >> 18, key & (DIMS - 1)
 
 
@@ -34,7 +40,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, threshold: float = THRE
     """Scores each whole text by a model that is fitted on at most nbsvm.PER_CLASS labelled documents of each class.
 
     docs: doc_id, text and others; labels: doc_id, quality. Returns doc_id, held_out, score, predicted, a row
-    for each row. Null text counts as empty; empty texts have no indicators and get the score of the bias.
+    for each row. Null text counts as empty; empty texts have only the indicator of their size class.
     Without labels of both classes every score is the smoothed share of class 1. Empty tables give empty tables.
     """
     score = nbsvm.scorer(docs.sparkSession, quality_model(docs, labels, **options), trigrams)
