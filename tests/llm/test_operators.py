@@ -115,9 +115,10 @@ def near_truth(rows):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-@pytest.mark.parametrize("cluster", [dedup_near.CLUSTER_TEXTS, 3])
-def test_near_dedup(docs, none, monkeypatch, cluster):
+@pytest.mark.parametrize(("cluster", "blocks"), [(dedup_near.CLUSTER_TEXTS, dedup_near.CLUSTER_BLOCKS), (3, 1 << 30), (3, 1)])
+def test_near_dedup(docs, none, monkeypatch, cluster, blocks):
     monkeypatch.setattr(dedup_near, "CLUSTER_TEXTS", cluster)
+    monkeypatch.setattr(dedup_near, "CLUSTER_BLOCKS", blocks)
     got = dedup_near.near_dedup(docs)
     truth = near_truth([(r.doc_id, r.text) for r in docs.where("doc_id is not null").collect()])
     rows = got.collect()
@@ -167,6 +168,13 @@ def test_components(spark):
     assert components.connected(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_a_long_path_take_few_rounds(spark, monkeypatch):
+    rounds, one = [], components._round
+    monkeypatch.setattr(components, "_round", lambda links, number: rounds.append(number) or one(links, number))
+    got = components.connected(spark.range(120).selectExpr("id as a", "id + 1 as b")).collect()
+    assert len(got) == 121 and {r.label for r in got} == {0} and len(rounds) < 45
+
+
 def test_packing(docs, none):
     import public_tokenizers
     from tokenizers import Tokenizer

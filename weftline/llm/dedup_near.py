@@ -24,6 +24,8 @@ BANDS, ROWS = 48, 5
 BATCH, MISS = 32, 1e-6
 #: A candidate cluster over these many texts or shingles is cut into blocks, and pairs of blocks are verified.
 CLUSTER_TEXTS, CLUSTER_SHINGLES = 1500, 4_000_000
+#: A cluster of more blocks than that is verified bucket by bucket instead: a text is in at most BANDS of them.
+CLUSTER_BLOCKS = 16
 #: Bytes of text that one step of a task works on.
 STEP = 1 << 18
 
@@ -147,6 +149,13 @@ def _verify(key: tuple, got: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(found, columns=["a", "b"]).astype(np.int64)
 
 
+def placed(members: DataFrame) -> DataFrame:
+    """members: node, cluster, n (shingles). Adds blocks, the number of its cluster's blocks, and block, its own; 1 block up to the limits of a task."""
+    sizes = members.groupBy("cluster").agg(F.count("*").alias("texts"), F.sum("n").alias("shingles"))
+    blocks = F.when((F.col("texts") <= CLUSTER_TEXTS) & (F.col("shingles") <= CLUSTER_SHINGLES), F.lit(1)).otherwise(F.greatest(F.ceil(F.col("texts") * 2 / CLUSTER_TEXTS), F.ceil(F.col("shingles") * 2 / CLUSTER_SHINGLES)))
+    return members.join(sizes.select("cluster", blocks.cast("long").alias("blocks")), "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+
+
 def near_dedup(docs: DataFrame) -> DataFrame:
     """Groups of documents whose sets of five-word shingles are connected by similarities of 0.75 or more.
 
@@ -159,7 +168,9 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     yields one pair per member, with its smallest member, so a group of any size adds as many pairs as it has
     members and bands. Connected candidates form a cluster; its full sets meet in one task, or, beyond
     CLUSTER_TEXTS, in pairs of blocks, and each task returns a spanning forest of the confirmed links. That
-    tests all pairs of a cluster, hence all pairs of its buckets.
+    tests all pairs of a cluster, hence all pairs of its buckets. A cluster of more than CLUSTER_BLOCKS blocks, as
+    weak candidates chain up in large corpora, is verified by its buckets, each in one task or in pairs of blocks, so
+    that its sets are copied once per bucket and not once per block.
     """
     small_batches(docs.sparkSession)
     slim = written(sketches(docs), "sketches")
@@ -171,15 +182,16 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     clusters = connected(star).withColumnRenamed("label", "cluster")
     members = clusters.join(reps.groupBy(F.col("rep").alias("node")).agg(F.sum("n").alias("n")), "node")
     members = written(members, "cluster-members")
-    sizes = members.groupBy("cluster").agg(F.count("*").alias("texts"), F.sum("n").alias("shingles"))
-    blocks = F.when((F.col("texts") <= CLUSTER_TEXTS) & (F.col("shingles") <= CLUSTER_SHINGLES), F.lit(1)).otherwise(F.greatest(F.ceil(F.col("texts") * 2 / CLUSTER_TEXTS), F.ceil(F.col("shingles") * 2 / CLUSTER_SHINGLES)))
-    placed = members.join(sizes.select("cluster", blocks.cast("long").alias("blocks")), "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    whole = placed(members)
+    narrow, wide = whole.where(F.col("blocks") <= CLUSTER_BLOCKS), whole.where(F.col("blocks") > CLUSTER_BLOCKS)
+    by_bucket = keys.join(buckets, "key").withColumnRenamed("rep", "node").join(wide.select("node", "n"), "node").select("node", F.col("key").alias("cluster"), "n")
+    units = written(narrow.withColumn("wide", F.lit(False)).unionByName(placed(by_bucket).withColumn("wide", F.lit(True))), "units")
     test = bloom_test(members.select(F.xxhash64("node").alias("h")), max(1, members.count()))
     wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     sets = shingle_sets(wanted.where(test(F.xxhash64("doc_id"))))
-    full = sets.join(placed.select(F.col("node").alias("doc_id"), "cluster", "blocks", "block"), "doc_id")
+    full = sets.join(units.select(F.col("node").alias("doc_id"), "cluster", "wide", "blocks", "block"), "doc_id")
     full = full.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other"), "n_shingles": F.octet_length("shingles")})
-    links = full.drop("other", "blocks").groupBy("cluster", "low", "high").applyInPandas(_verify, "a long, b long")
+    links = full.drop("other", "blocks").groupBy("cluster", "wide", "low", "high").applyInPandas(_verify, "a long, b long")
     groups = connected(links)
     named = reps.join(groups, reps["rep"] == groups["node"], "left").select("f1", "f2", F.coalesce("label", "rep").alias("component"), (F.col("label").isNotNull() | (F.col("copies") > 1)).alias("linked")).where("linked")
     out = slim.join(named.drop("linked"), ["f1", "f2"], "left")
