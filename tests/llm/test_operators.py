@@ -329,6 +329,74 @@ def test_licenses(spark, none):
     assert "Python" not in plan and "Exchange" not in plan
 
 
+MIT = """MIT License
+
+Copyright (c) 2024 A. Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software"""
+BSD2 = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD3 = BSD2 + """
+3. Neither the name of Some Company, Inc. nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+GPL = """This program is free software{0} you can redistribute it and/or modify
+it under the terms of the GNU {1}General Public License as published by
+the Free Software Foundation{2} {3}version {4} of the License{5}.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."""
+LATER = ", or\n(at your option) any later version"
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""
+
+
+def test_licenses_of_whole_texts(spark):
+    texts = [
+        (MIT, ["MIT"]), (APACHE, ["Apache-2.0"]), (BSD2, ["BSD-2-Clause"]), (BSD3, ["BSD-3-Clause"]), (MPL, ["MPL-2.0"]), (ISC, ["ISC"]),
+        (GPL.format(":", "", ",", "either ", 3, LATER), ["GPL-3.0-or-later"]), (GPL.format(";", "", ";", "either ", 2, LATER), ["GPL-2.0-or-later"]),
+        (GPL.format(";", "", ";", "", 2, ""), ["GPL-2.0-only"]), (GPL.format(":", "Lesser ", ",", "either ", 3, LATER), ["LGPL-3.0-or-later"]),
+        (GPL.format(";", "Lesser ", ";", "either ", "2.1", LATER), ["LGPL-2.1-or-later"]), (f"{MPL}\n\n{MIT}", ["MIT", "MPL-2.0"]),
+        ("Title\nReleased under the MIT\nLicense.\nMore", ["MIT"]), ("Licensed under the Apache License,\nVersion 2.0. More", ["Apache-2.0"]),
+        ("Not so. Released under the MIT\n\nLicense.", []), ("Released under the MIT\nlicense of old.", []), ("This is not released under the MIT\nlicense.", []),
+    ]
+    wraps = [lambda t: t, lambda t: "# " + t.replace("\n", "\n# "), lambda t: "/* " + t.replace("\n", "\r\n * "), lambda t: "pass\n\n" + t + "\n\nend"]
+    rows = [(100 * i + k, wrap(t)) for i, (t, _) in enumerate(texts) for k, wrap in enumerate(wraps)]
+    got = {r.doc_id: list(r.licenses) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {100 * i + k: want for i, (_, want) in enumerate(texts) for k in range(len(wraps))}
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     rng = random.Random(2)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,6 +62,42 @@ RULES = (
     ("ISC", ("isc-grant",)),
 )
 
+# Sentences of whole license texts beyond the table above, which ORACLE holds as well, and rules tried after RULES.
+TEXT_SENTENCES = {
+    "lgpl-free": "is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation",
+    "lgpl-version21": "either version 2 1 of the license or at your option any later version",
+}
+TEXT_RULES = (
+    ("LGPL-3.0-or-later", ("lgpl-free", "gpl-version3")),
+    ("LGPL-2.1-or-later", ("lgpl-free", "lgpl-version21")),
+)
+
+#: Sentences that are found wherever they stand, as license texts go on after them or hold stops inside them. The others
+#: ("licensed under ...") must be whole sentences, as more words may change what they say.
+ANYWHERE = {
+    "mit-grant", "mit-notice", "as-is", "apache2-comply", "apache2-obtain", "gpl-free", "gpl-version3", "gpl-version2", "gpl-hope", "mpl2-subject",
+    "bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse", "isc-grant", "lgpl-free", "lgpl-version21",
+}
+
+# Other wordings in license texts, and the sentence that each stands for; * is up to 12 words, a last ! forbids "or" after it.
+WORDINGS = (
+    ("licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", ("apache2-licensed", "apache2-comply")),
+    ("licenses this file to you under the apache license version 2 0 the license", ("apache2-licensed",)),
+    ("under the terms of the gnu general public license version 2 as published by the free software foundation !", ("gpl2-licensed",)),
+    ("under the terms of the gnu general public license version 3 as published by the free software foundation !", ("gpl3-licensed",)),
+    ("under the terms of the gnu general public license as published by the free software foundation version 2 of the license !", ("gpl2-licensed",)),
+    ("under the terms of the gnu general public license as published by the free software foundation version 3 of the license !", ("gpl3-licensed",)),
+    ("is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", ("gpl-free",)),
+    ("gnu lesser general public license version 3 29 june 2007", ("lgpl3-licensed",)),
+    ("neither the name of * nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ("bsd-endorse",)),
+    ("the name of the author may not be used to endorse or promote products derived from this software without specific prior written permission", ("bsd-endorse",)),
+    ("permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", ("isc-grant",)),
+    ("you accept and agree to be bound by the terms and conditions of this creative commons attribution 4 0 international public license", ("cc-by4-licensed",)),
+    ("you accept and agree to be bound by the terms and conditions of this creative commons attribution sharealike 4 0 international public license", ("cc-by-sa4-licensed",)),
+    ("you accept and agree to be bound by the terms and conditions of this creative commons attribution noncommercial 4 0 international public license", ("cc-by-nc4-licensed",)),
+    ("affirmer hereby overtly fully permanently irrevocably and unconditionally waives abandons and surrenders all of affirmer s copyright and related rights", ("cc0-dedicated",)),
+)
+
 #: A sentence ends at a line's end, or at a full stop and the like before white space.
 SENTENCE_END = r"[\r\n]+|[.!?;:][ \t]+"
 #: Words one of which each known sentence holds; other sentences needn't be normalised.
@@ -71,19 +109,50 @@ def normal(sentence):
     return F.trim(F.regexp_replace(F.lower(sentence), r"[^a-z0-9]+", " "))
 
 
-def scan_licenses(docs: DataFrame, *, sentences=None, rules=RULES) -> DataFrame:
+#: Between two words: anything; and, inside a sentence that must be whole, no sentence's end but one line break.
+GAP, LINE_GAP = "[^a-z0-9]++", r"(?![a-z0-9])[^a-z0-9\r\n.!?;:]*+(?:[.!?;:](?![ \t\r\n])[^a-z0-9\r\n.!?;:]*+)?(?:\r?\n[^a-z0-9\r\n.!?;:]*+)?"
+
+
+def anywhere(wording: str) -> str:
+    """A pattern of the wording's words, whatever stands between them: wraps, comment signs, quotes, stops."""
+    found = "(?i)(?<![a-z0-9])"
+    for k, word in enumerate(wording.split()):
+        found += f"(?!{GAP}or(?![a-z0-9]))" if word == "!" else f"(?:{GAP}[a-z0-9]++){{1,12}}?" if word == "*" else (GAP if k else "") + word
+    return found + "(?![a-z0-9])"
+
+
+def whole(sentence: str) -> str:
+    """A pattern of the sentence where it is a whole one, which may be wrapped at single line breaks."""
+    return r"(?i)(^|[\r\n]|[.!?;:][ \t])[^a-z0-9\r\n.!?;:]*+" + LINE_GAP.join(sentence.split()) + r"(?=[^a-z0-9\r\n]*?(?:[\r\n]|$|[.!?;:][ \t]))"
+
+
+def isolated(text, known: dict[str, str]):
+    """The text with each known sentence, as wrapped and punctuated as it may be, in normal form on a line of its own."""
+    for wording, names in WORDINGS:
+        if set(names) <= set(known):
+            text = F.regexp_replace(text, anywhere(wording), "\n" + "\n".join(known[n] for n in names) + "\n")
+    for name, sentence in known.items():
+        words = " ".join(re.findall("[a-z0-9]+", sentence))
+        if words:
+            text = F.regexp_replace(text, anywhere(words), f"\n{sentence}\n") if name in ANYWHERE else F.regexp_replace(text, whole(words), f"$1\n{sentence}\n")
+    return text
+
+
+def scan_licenses(docs: DataFrame, *, sentences=None, rules=RULES + TEXT_RULES) -> DataFrame:
     """Finds licenses of whole texts. docs: doc_id, text, others are ignored; returns a row per row:
     doc_id, n_sentences (known ones), sentence_ids (in order, repeats kept), rule_numbers, licenses, license.
 
-    Each sentence's normal form is looked up; unknown sentences don't break a sequence. A rule matches if its
+    Known sentences are first put on lines of their own, so wrapped license texts with comment signs are read as well. Then
+    each sentence's normal form is looked up; unknown sentences don't break a sequence. A rule matches if its
     identifiers follow each other in the document's sequence; rules are tried in order and one that matches
     takes its identifiers away, all places of them at once, so that a special rule hides the general ones it holds.
     licenses: names of matched rules in the order of rules, each once; license: the first, else null. Null and
     empty texts have no sentences. A row is judged alone: no shuffle, no join.
     """
-    known = sentences or SENTENCES
+    known = sentences or SENTENCES | TEXT_SENTENCES
+    parts = F.split(isolated(text_or_empty(), known), SENTENCE_END)
     lookup = F.create_map(*(F.lit(x) for name, sentence in known.items() for x in (sentence, name)))
-    told = F.filter(F.split(text_or_empty(), SENTENCE_END), lambda s: s.rlike(TELLING)) if sentences is None else F.split(text_or_empty(), SENTENCE_END)
+    told = F.filter(parts, lambda s: s.rlike(TELLING)) if sentences is None else parts
     ids = F.filter(F.transform(told, lambda s: F.try_element_at(lookup, normal(s))), lambda i: i.isNotNull())
     df = docs.select("doc_id", F.when(F.lit(sentences is not None) | text_or_empty().rlike(TELLING), ids).otherwise(F.array().cast("array<string>")).alias("sentence_ids"))
     df = df.withColumn("rest", F.concat(F.lit("|"), F.array_join("sentence_ids", "||"), F.lit("|")))
