@@ -270,6 +270,32 @@ def test_mixing(docs, none):
     assert mixing.mix(none)[0].count() == 0 and mixing.mixed_documents(none).count() == 0
 
 
+def test_mixing_takes_small_sources_to_their_targets(spark):
+    rng = random.Random(4)
+    sizes = {f"s{i:02}": rng.randint(40, 400) for i in range(60)} | {"big": 200_000, "odd": 257, "one": 1}
+    rows = [(s, k, min(50, n - k)) for s, n in sizes.items() for k in range(0, n, 50)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, source string, at long, size long").repartition(4)
+    for weights in ((5, 2, 1), (1, 1, 900)):
+        out, pieces = mixing.mix(df, weights=weights)
+        got, slots = out.collect(), pieces.collect()
+        order = sorted(sizes)
+        want = dict(zip(order, water_level([sizes[s] for s in order], [weights[i % 3] for i in range(len(order))])))
+        taken, by_doc, by_slot = Counter(), Counter(), Counter()
+        for r in got:
+            taken[r.source] += r.taken
+        for p in slots:
+            by_doc[p.doc_id] += p.words
+            by_slot[p.slot] += p.words
+        assert all(0 < taken[s] <= 2 * sizes[s] and abs(taken[s] - want[s]) <= min(128, want[s] / 2 + 1) for s in order)
+        assert all(taken[s] == 2 * sizes[s] for s in order if want[s] == 2 * sizes[s])
+        assert {r.doc_id: r.taken for r in got if r.taken} == dict(by_doc) and max(by_slot.values()) <= 256
+        assert sorted(by_slot) == list(range(len(by_slot)))
+        for s in order:  # each stretch of the mix holds the source's share
+            mine = [p for p in {(p.slot, p.source) for p in slots} if p[1] == s]
+            half = sum(slot < len(by_slot) / 2 for slot, _ in mine)
+            assert abs(half - len(mine) / 2) <= 4
+
+
 def test_sharding(docs, none):
     got = sharding.shard_rows(docs).collect()
     slots = defaultdict(list)
