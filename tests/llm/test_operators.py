@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -464,6 +465,29 @@ def test_toxicity(labelled, none):
     assert toxicity.score_toxicity(none, labels).count() == 0
 
 
+DISGUISES = [
+    "g" * 60 + "rimble", "gr1mbl3" + "-" * 60, "g r  i m   b l e", "g - r - i - m - b - l - e", "ggrriimmbbllee", "grimmble", "gri-mble", "gr.im.ble", "grim_ble", "g*rimble", "gr-1mble", "GGRRIIMMBBLLEE",
+]
+
+
+def test_toxicity_reads_each_disguise(labelled, spark):
+    docs, labels = labelled
+    restore = toxicity.Restorer(toxicity.costs(toxicity.language_counts(docs)))
+    for form in DISGUISES:
+        text = f"the river {form} light"
+        assert "grimble" in restore(pa.array([text, "the"]))[0].as_py()[len(text) :].split(), form
+    plain = ["the river-stone light", "garden.window paper", "", "g", "e", "-", "m m"]
+    assert restore(pa.array(plain)).to_pylist() == plain
+    edges = restore(pa.array(["gri", "mble -", "- le", "g", "g", "r"])).to_pylist()  # nothing is joined across texts
+    assert edges == ["gri", "mble -", "- le", "g", "g", "r"]
+    stretched = "ab3" * 50_000
+    assert len(toxicity.decode(stretched, toxicity.costs(np.ones((toxicity.SYMBOLS,) * 3)).tolist())) == 150_000
+    more = spark.createDataFrame([(2000 + i, f"the river stone {form} light paper", "x", 1, 0.1, "c") for i, form in enumerate([*DISGUISES, "window"])], DOCS)
+    many = docs.union(docs).union(docs).unionByName(more)  # few disguises among many plain words
+    got = {r.doc_id: r.predicted for r in toxicity.score_toxicity(many, labels).where("doc_id >= 2000").collect()}
+    assert got == {2000 + i: int(i < len(DISGUISES)) for i in range(len(DISGUISES) + 1)}
+
+
 def test_dual_coordinate_descent_separates():
     rng = np.random.default_rng(0)
     rows = [np.unique(np.r_[rng.integers(0, 50, 10), [60 if i % 2 else 61]]) for i in range(200)]

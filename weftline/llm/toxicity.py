@@ -19,8 +19,11 @@ DIMS, THRESHOLD = 1 << 18, 0.5
 STEM = 5
 #: Least log-count ratio of an indicator, and the least number of sample documents that hold it.
 LEAST_RATIO, LEAST_DOCS = 1.0, 3
-#: Longest token that is decoded; longer ones are keys and hashes.
-LONGEST = 40
+#: Read tokens with a letter doubled, or joined inside, if the language model finds the doubling, or the word edges at the joint,
+#: by so much (negative log chance) unlikelier than the letter once, or no edges.
+DOUBLE_GAIN, JOINT_GAIN = 3.0, 0.0
+#: Longest token, in bytes, whose reading is kept.
+KEPT_BYTES = 64
 STEP = 1 << 18
 
 # What a written sign may stand for, with the channel's cost (negative log chance) of each.
@@ -92,28 +95,35 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
     return out
 
 
-def decode(token: str, cost: np.ndarray) -> str:
-    """The likeliest word behind a token under the language model: Viterbi over states of the last two symbols."""
+def decode(token: str, cost) -> str:
+    """The likeliest word behind a token under the language model: Viterbi over states of the last two symbols, in time
+    linear in the token's length. cost: of costs(), as an array or as lists."""
     index = lambda c: ord(c) - 96 if "a" <= c <= "z" else 0 if c == " " else 27
-    best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    best: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
     for step in lattice(token):
-        after: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (paid, word) in best.items():
+        after: dict[tuple[int, int], tuple[float, tuple]] = {}
+        for (a, b), (paid, path) in best.items():
             for string, price in step:
                 x, y, total = a, b, paid + price
                 for c in string:
                     k = index(c)
-                    total += float(cost[x, y, k])
+                    total += cost[x][y][k]
                     x, y = y, k
-                if (x, y) not in after or (total, word + string) < after[x, y]:
-                    after[x, y] = (total, word + string)
+                if (x, y) not in after or total < after[x, y][0]:
+                    after[x, y] = (total, (path, string))
         best = after
-    return min((paid + float(cost[a, b, 0]), word) for (a, b), (paid, word) in best.items())[1]
-
-
-def suspects(raw: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, bool]]:
-    """(start, end, spaced) of disguised spans in order: tokens with signs between letters or with letters tripled, and
-    runs of three or more single characters with one joint between each two."""
+    path, out = min(((paid + cost[a][b][0], path) for (a, b), (paid, path) in best.items()), key=lambda x: x[0])[1], []
+    while path:
+        path, string = path
+        out.append(string)
+    return "".join(reversed(out))
+
+
+def suspects(raw: np.ndarray, offsets: np.ndarray, cost: np.ndarray) -> list[tuple[int, int, bool]]:
+    """(start, end, spaced) of disguised spans in order, of any length: tokens with signs between letters, with letters tripled,
+    or with letters doubled that the language model finds unlikely; tokens joined by other joints than spaces, with
+    signs or with a joint that the model finds unlikely as a word's edge; and runs of three or more single characters
+    with joints between each two."""
     n = len(raw)
     if n < 3:
         return []
@@ -128,36 +138,68 @@ def suspects(raw: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, bool]
     size = ends - starts
     single = (size == 1) & letter[starts] & (raw[starts] < 128) | (size == 1) & sign[starts]
     near = np.zeros(len(starts), bool)  # joined to the run before it
-    near[1:] = single[1:] & single[:-1] & (starts[1:] - ends[:-1] == 1) & _join[raw[np.minimum(ends[:-1], n - 1)]]
-    near[1:] &= np.searchsorted(offsets, starts[1:], "right") == np.searchsorted(offsets, starts[:-1], "right")
+    joints, tight = sums(_join[raw]), sums(_join[raw] & (raw != 32))
+    same = np.searchsorted(offsets, starts[1:], "right") == np.searchsorted(offsets, starts[:-1], "right")
+    same &= joints[starts[1:]] - joints[ends[:-1]] == starts[1:] - ends[:-1]
+    near[1:] = single[1:] & single[:-1] & same & (starts[1:] > ends[:-1])
     out = []
+    chained = np.flatnonzero(same & (tight[starts[1:]] - tight[ends[:-1]] == starts[1:] - ends[:-1]) & (starts[1:] > ends[:-1])) + 1  # joined tightly to the run before
+    if len(chained):
+        odd = np.zeros(len(starts) + 1, bool)
+        odd[chained] = unlikely_edges(raw, starts, ends, chained, cost) > JOINT_GAIN
+        for part in np.split(chained, np.flatnonzero(np.diff(chained) > 1) + 1):
+            a, b = starts[part[0] - 1], ends[part[-1]]
+            if letters[b] - letters[a] >= 2 and (odd[part].any() or signs[b] > signs[a]):
+                out.append((int(a), int(b), False))
     link = np.flatnonzero(near)
     if len(link):
         for part in np.split(link, np.flatnonzero(np.diff(link) > 1) + 1):
             if len(part) >= 2 and letter[starts[part[0] - 1 : part[-1] + 1]].sum() * 2 > len(part):
                 out.append((int(starts[part[0] - 1]), int(ends[part[-1]]), True))
-    inner = (letters[ends] - letters[starts] >= 2) & (size <= LONGEST)
+    inner = letters[ends] - letters[starts] >= 2
     mixed = inner & (signs[ends] - signs[starts] > 0)
-    for k in np.flatnonzero(mixed | inner & (triples[ends] - triples[starts] > 0)):
+    doubled = np.flatnonzero((low[:-1] == low[1:]) & letter[:-1] & (raw[:-1] < 128))
+    owner = np.searchsorted(starts, doubled, "right") - 1
+    doubled, owner = doubled[doubled + 1 < ends[owner]], owner[doubled + 1 < ends[owner]]  # not across texts
+    twice = np.zeros(len(starts), bool)
+    twice[owner[unlikely_doubles(raw, starts[owner], ends[owner], doubled, cost) > DOUBLE_GAIN]] = True
+    for k in np.flatnonzero(mixed | inner & (twice | (triples[ends] - triples[starts] > 0))):
         out.append((int(starts[k]), int(ends[k]), False))
-    return sorted(out)
+    return sorted(set(out))
+
+
+def unlikely_doubles(raw, starts, ends, at, cost) -> np.ndarray:
+    """How much unlikelier the two equal letters from each place of a token are than the letter once."""
+    a, b = np.where(at > starts, SYMBOL[raw[at - 1]], 0), SYMBOL[raw[at]]
+    x = np.where(at + 2 < ends, SYMBOL[raw[np.minimum(at + 2, len(raw) - 1)]], 0)
+    return cost[a, b, b] + cost[b, b, x] - cost[a, b, x]
+
+
+def unlikely_edges(raw, starts, ends, k, cost) -> np.ndarray:
+    """How much unlikelier the end of each run k - 1 and the start of run k are as edges of words than as inside of one."""
+    e, f = ends[k - 1], starts[k]
+    y, z = np.where(e - 2 >= starts[k - 1], SYMBOL[raw[e - 2]], 0), SYMBOL[raw[e - 1]]
+    p, q = SYMBOL[raw[f]], np.where(f + 1 < ends[k], SYMBOL[raw[np.minimum(f + 1, len(raw) - 1)]], 0)
+    return np.where((z > 0) & (p > 0), cost[y, z, 0] + cost[z, 0, p] + cost[0, p, q] - cost[y, z, p] - cost[z, p, q], 0)
 
 
 class Restorer:
-    """Rewrites the suspect spans of texts; decoded tokens are kept, at most KEPT of them."""
+    """Rewrites the suspect spans of texts; decoded tokens of at most KEPT_BYTES are kept, at most KEPT of them."""
 
     KEPT = 200_000
 
     def __init__(self, cost: np.ndarray):
-        self.cost, self.known = cost, {}
+        self.cost, self.table, self.known = cost, cost.tolist(), {}
 
     def word(self, token: str) -> str:
         if token not in self.known:
             if len(self.known) >= self.KEPT:
                 self.known.clear()
             core = token.rstrip("".join(SIGNS)) if not token[-1].isalpha() else token  # signs at the end: also as decoration
-            read = {decode(x, self.cost) for x in (token, core) if x}
-            self.known[token] = " ".join(sorted(read))
+            read = " ".join(sorted({decode(x, self.table) for x in (token, core) if x}))
+            if len(token) > KEPT_BYTES:
+                return read
+            self.known[token] = read
         return self.known[token]
 
     def __call__(self, column) -> pa.Array:
@@ -168,7 +210,7 @@ class Restorer:
         out, touched = [], {}
         for i, j in slices_of(at, STEP):
             part, edge = raw[at[i] : at[j]], at[i : j + 1] - at[i]
-            spans = suspects(part, edge)
+            spans = suspects(part, edge, self.cost)
             if spans:
                 first = np.searchsorted(edge, [s[0] for s in spans], "right") - 1 + i
                 for d, (a, b, _) in zip(first.tolist(), spans, strict=True):
