@@ -272,3 +272,10 @@ def test_entry_and_registry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_bootstrap_query_draws_as_often_as_the_reference(spark):
+    from weftline.plans import registry
+
+    got = {r.statistic: r for r in registry.QUERIES["bootstrap_intervals"](spark, "/root/testdata/sf0.001").collect()}
+    assert set(got) == {"tau", "rho"} and all(9900 <= r.n_valid <= 10_000 and r.ci_low < r.ci_high for r in got.values())

@@ -186,7 +186,7 @@ def bootstrap(df: DataFrame, x: str, y: str, *, resamples: int = 1000, level: fl
             out.append((k, tau(a[at], b[at]), rho))
         return pd.DataFrame(out, columns=["resample", "tau", "rho"]).astype({"resample": "int32"})
 
-    drawn = df.select(x, y).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).groupBy("block").applyInPandas(run, "resample int, tau double, rho double")
+    drawn = df.select(x, y).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition(blocks, "block").groupBy("block").applyInPandas(run, "resample int, tau double, rho double")
     long = drawn.select(F.explode(F.array(*(F.struct(F.lit(s).alias("statistic"), F.col(s).alias("v")) for s in ("tau", "rho")))).alias("r")).select("r.*").where(~F.isnan("v"))
     low, high = (1 - level) / 2, 1 - (1 - level) / 2
     out = long.groupBy("statistic").agg(F.count("*").alias("n_valid"), F.percentile("v", F.lit(low)).alias("ci_low"), F.percentile("v", F.lit(high)).alias("ci_high"))

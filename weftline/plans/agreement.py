@@ -182,7 +182,7 @@ def human_subsets(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("bootstrap_intervals", None)
 def bootstrap_intervals(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.bootstrap(human(spark, sf), "compatibility_logit", "quality", resamples=200)
+    return metrics.bootstrap(human(spark, sf), "compatibility_logit", "quality", resamples=10_000, blocks=96)
 
 
 @query("latency_summary", "SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(min(value), 6) AS min, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, round(max(value), 6) AS max FROM events GROUP BY 1")
