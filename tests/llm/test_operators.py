@@ -465,6 +465,25 @@ def test_toxicity(labelled, none):
     assert toxicity.score_toxicity(none, labels).count() == 0
 
 
+def test_training_takes_whole_documents(spark, monkeypatch):
+    rng, seen = random.Random(8), []
+    signs = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"
+    texts = {i: "".join(rng.choices(signs, k=90_000 if i % 2 else 300)) for i in range(20)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2) for i in texts], "doc_id long, quality int")
+    monkeypatch.setattr(nbsvm, "fit", lambda rows, y, totals, dims, **_: seen.append((rows, y.tolist())))
+    whole = {}
+    for i, text in texts.items():
+        if zlib.crc32(str(i).encode()) % 5:
+            raw = np.frombuffer(text.encode(), np.uint8)
+            whole[i] = (i % 2, quality.trigrams(raw, np.array([0, len(raw)]))[1].tolist())
+    quality.quality_model(docs, labels)
+    assert sorted((y, r.tolist()) for r, y in zip(*seen[0])) == sorted(whole.values()) and max(len(c) for _, c in whole.values()) > 1 << 15
+    quality.quality_model(docs, labels, class_codes=200_000)  # fewer documents, each whole
+    few = [(y, r.tolist()) for r, y in zip(*seen[1])]
+    assert all(r in whole.values() for r in few) and Counter(y for y, _ in few) == {0: sum(y == 0 for y, _ in whole.values()), 1: 200_000 // max(len(c) for _, c in whole.values())}
+
+
 DISGUISES = [
     "g" * 60 + "rimble", "gr1mbl3" + "-" * 60, "g r  i m   b l e", "g - r - i - m - b - l - e", "ggrriimmbbllee", "grimmble", "gri-mble", "gr.im.ble", "grim_ble", "g*rimble", "gr-1mble", "GGRRIIMMBBLLEE",
 ]

@@ -10,10 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, slices_of, small_batches, string_buffer, text_or_empty
+from .common import held_out, slices_of, small_batches, string_buffer, text_or_empty, written
 
-#: Labelled documents of each class that a model is fitted on, at most; the most indicators of one of them.
-PER_CLASS, MOST_FEATURES = 3000, 1 << 15
+#: Labelled documents of each class that a model is fitted on, at most, and the most indicators of all of them together.
+PER_CLASS, CLASS_CODES = 3000, 1 << 24
 #: Bytes of text that one step of a task works on.
 STEP = 1 << 18
 
@@ -112,9 +112,11 @@ def fit(rows: list[np.ndarray], y: np.ndarray, totals: tuple[int, int], dims: in
 Features = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str, features: Features, dims: int, *, per_class: int = PER_CLASS, prepare=None, **options) -> Model:
+def train(docs: DataFrame, labels: DataFrame, label: str, features: Features, dims: int, *, per_class: int = PER_CLASS, class_codes: int = CLASS_CODES, prepare=None, **options) -> Model:
     """Fits on at most per_class labelled documents of each class, those with the least hashed doc_id outside the held-out fold.
 
+    Each of them has all its indicators; if those of a class are more than class_codes, fewer documents are taken, in the
+    same order, and one at least.
     labels: doc_id and label; null labels count as none, and of repeated ones the largest holds.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy(F.col("doc_id").alias("__wl_id")).agg(F.max(label).cast("int").alias("y"))
@@ -125,14 +127,24 @@ def train(docs: DataFrame, labels: DataFrame, label: str, features: Features, di
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, at = string_buffer(batch.column(1) if prepare is None else prepare(batch.column(1)))
-            got = []
             for i, j in slices_of(at, STEP):
                 doc, code = features(raw[at[i] : at[j]], at[i : j + 1] - at[i])
                 edge = np.searchsorted(doc, np.arange(j - i + 1))
-                got += [code[a:b][:MOST_FEATURES].astype("<u4").tobytes() for a, b in zip(edge, edge[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.binary())], ["y", "codes"])
+                got = [code[a:b].astype("<u4").tobytes() for a, b in zip(edge, edge[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], batch.column(2)[i:j], pa.array(got, pa.binary())], ["y", "id", "codes"])
 
-    rows = docs.join(sample, docs["doc_id"] == sample["__wl_id"]).select("y", text_or_empty().alias("text"), "__wl_id").select("y", "text").mapInArrow(run, "y int, codes binary").collect()  # bounded by per_class and MOST_FEATURES
+    spark = docs.sparkSession
+    small_batches(spark)
+    kind = known.schema["__wl_id"].dataType.simpleString()
+    made = docs.join(sample, docs["doc_id"] == sample["__wl_id"]).select("y", text_or_empty().alias("text"), F.col("__wl_id").alias("id"))
+    made = written(made.mapInArrow(run, f"y int, id {kind}, codes binary"), "nbsvm-sample")
+    taken, used = [], {0: 0, 1: 0}
+    for r in made.groupBy("y", "id").agg(F.sum(F.length("codes") / 4).cast("long").alias("n")).orderBy("y", F.xxhash64("id"), "id").collect():  # 2 * per_class ids
+        used[r.y] += r.n
+        if used[r.y] <= class_codes or used[r.y] == r.n:
+            taken.append((r.y, r.id))
+    chosen = F.broadcast(spark.createDataFrame(taken, f"y int, id {kind}"))
+    rows = made.join(chosen, ["y", "id"]).select("y", "codes").collect()  # bounded by per_class and class_codes
     rows.sort(key=lambda r: (r.y, bytes(r.codes)))
     return fit([np.frombuffer(bytes(r.codes), "<u4").astype(np.int64) for r in rows], np.array([r.y for r in rows], np.int64), (count.get(0, 0), count.get(1, 0)), dims, **options)
 
