@@ -424,6 +424,14 @@ def test_licenses_of_whole_texts(spark):
     assert got == {100 * i + k: want for i, (_, want) in enumerate(texts) for k in range(len(wraps))}
 
 
+@pytest.mark.parametrize("gap", [" ", "  ", "\t", "-", " / "])
+def test_licenses_prefilter_keeps_every_known_sentence(spark, gap):
+    known = licenses.SENTENCES | licenses.TEXT_SENTENCES
+    rows = [(i, s.upper().replace(" ", gap)) for i, s in enumerate(known.values())]
+    got = {r.doc_id: list(r.sentence_ids) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: [name] for i, name in enumerate(known)}
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     rng = random.Random(2)

@@ -100,8 +100,8 @@ WORDINGS = (
 
 #: A sentence ends at a line's end, or at a full stop and the like before white space.
 SENTENCE_END = r"[\r\n]+|[.!?;:][ \t]+"
-#: Words one of which each known sentence holds; other sentences needn't be normalised.
-TELLING = r"(?i)licens|permi|copyright|warrant|redistribut|compliance|free software|any later version|public domain|endorse"
+#: Words one of which each known sentence holds, with any signs between them; other sentences needn't be normalised.
+TELLING = r"(?i)licens|permi|copyright|warrant|redistribut|compliance|free[^a-z0-9]+software|any[^a-z0-9]+later[^a-z0-9]+version|public[^a-z0-9]+domain|endorse"
 
 
 def normal(sentence):
