@@ -1,7 +1,7 @@
 """Bloom filters over 64-bit hashes that are built by the executors in blocks and read by broadcast.
 
-A filter never takes more than max_bytes on the driver or an executor: beyond that the hash space is cut
-into slices, and each slice has a filter of its own that is built and used in a pass of its own.
+A filter grows with its hashes but never takes more than max_bytes on the driver or an executor: beyond that the
+hash space is cut into slices, and each slice has a filter of its own that is built, used and released before the next.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import mix64
@@ -35,6 +35,11 @@ def holds(filter_bytes: np.ndarray, h: np.ndarray, hashes: int) -> np.ndarray:
     return ((filter_bytes[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=1)
 
 
+def slice_of(h: Column, slices: int) -> Column:
+    """The slice of a hash, as build() cuts them."""
+    return F.pmod(F.shiftright(h, 1), F.lit(slices))
+
+
 def plan(rows: int, bits_per_row: int, max_bytes: int) -> tuple[int, int]:
     """(bits of a slice's filter, number of slices)."""
     need = max(BLOCK, rows * bits_per_row)
@@ -63,7 +68,7 @@ def build(hashes_df: DataFrame, column: str, *, bits: int, hashes: int, repeated
         for batch in batches:
             h = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             if slices > 1:
-                h = h[h % np.uint64(slices) == slice_no]
+                h = h[(h.view(np.int64) >> 1) % slices == slice_no]
             if not repeated:
                 h = np.unique(h)
             once.append(positions(h, bits, hashes).ravel())

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from . import words
 from .common import mix64, slices_of, small_batches, string_buffer, table, text_or_empty, written
 from .components import connected
-from .dedup_exact import bloom_test
+from .dedup_exact import met, split_by
 
 #: Words of a shingle; links need SIMILAR percent of the union in common.
 WIDTH, SIMILAR = 5, 75
@@ -22,9 +22,10 @@ WIDTH, SIMILAR = 5, 75
 BANDS, ROWS = 48, 5
 #: Hashes that are compared at a time, and the chance at which a pair may be at SIMILAR or above and still be pruned.
 BATCH, MISS = 32, 1e-6
-#: A candidate cluster over these many texts or shingles is cut into blocks, and pairs of blocks are verified.
+#: Candidates that meet in one task, at most, by number and by shingles; more are cut into blocks, and pairs of blocks meet.
 CLUSTER_TEXTS, CLUSTER_SHINGLES = 1500, 4_000_000
-#: A cluster of more blocks than that is verified bucket by bucket instead: a text is in at most BANDS of them.
+#: A cluster of more blocks than that is laid out by bucket, so that a text is copied BANDS times at most. Both layouts test the
+#: same pairs, those that share a band.
 CLUSTER_BLOCKS = 16
 #: Bytes of text that one step of a task works on.
 STEP = 1 << 18
@@ -66,11 +67,16 @@ def least_matches(threshold: float, miss: float = MISS) -> dict[int, int]:
     return out
 
 
-SKETCH = "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>"
+def shortened(low: np.ndarray) -> np.ndarray:
+    """16 bits of each signature hash: unequal hashes look equal once in 65,536 times, which only lets more pairs through."""
+    return (mix64(low) >> np.uint64(48)).astype(np.uint16)
+
+
+SKETCH = "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>, signature binary"
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """Of each text: the size of its shingle set, 128 bits that tell sets apart, and its band keys."""
+    """Of each text: the size of its shingle set, 128 bits that tell sets apart, its band keys and its shortened signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -82,121 +88,165 @@ def sketches(docs: DataFrame) -> DataFrame:
                 f1 = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
                 f2 = np.array([np.bitwise_xor.reduce(mix64(s + np.uint64(77))) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
                 some = np.flatnonzero(n)
-                keys = band_keys(np.array([signature(sets[k]) for k in some], np.uint64)) if len(some) else np.zeros((0, BANDS), np.uint64)
+                low = np.array([signature(sets[k]) for k in some], np.uint64).reshape(len(some), BANDS * ROWS)
+                keys, short = band_keys(low), iter(shortened(low))
                 ends = np.zeros(len(sets) + 1, np.int32)
                 ends[1:] = np.cumsum((n > 0) * BANDS)
                 bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(n), pa.array(f1), pa.array(f2), bands], ["doc_id", "n_shingles", "f1", "f2", "bands"])
+                marks = pa.array([next(short).tobytes() if k else b"" for k in n], pa.binary())
+                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(n), pa.array(f1), pa.array(f2), bands, marks], ["doc_id", "n_shingles", "f1", "f2", "bands", "signature"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, SKETCH)
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, shingles (binary, sorted 64-bit hashes) of texts that have words."""
+    """node (doc_id), n, signature, shingles (binary, sorted 64-bit hashes) of texts that have words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, at = string_buffer(batch.column(1))
             for i, j in slices_of(at, STEP):
                 sets = words.shingles(raw[at[i] : at[j]], at[i : j + 1] - at[i], WIDTH)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "shingles"])
+                marks = [shortened(signature(x)).tobytes() if len(x) else b"" for x in sets]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([len(x) for x in sets], pa.int64()), pa.array(marks, pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "n", "signature", "shingles"])
 
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, "doc_id long, shingles binary").where(F.octet_length("shingles") > 0)
+    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, "node long, n long, signature binary, shingles binary").where("n > 0")
 
 
-def links_within(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, *, similar: int = SIMILAR, miss: float = MISS) -> list[tuple[int, int]]:
+def survivors(n: np.ndarray, marks: np.ndarray, i: int, old: np.ndarray, least: dict[int, int], similar: int) -> np.ndarray:
+    """Those of old that may be similar to i: by sizes, by a band that both share, then by batches of hashes as long as the posterior allows."""
+    old = old[100 * np.minimum(n[old], n[i]) >= similar * np.maximum(n[old], n[i])]
+    old = old[(marks[old] == marks[i]).reshape(len(old), BANDS, ROWS).all(axis=2).any(axis=1)]
+    matches, done = np.zeros(len(old), np.int64), 0
+    for upto, need in least.items():
+        if not len(old):
+            break
+        matches += (marks[old, done:upto] == marks[i, done:upto]).sum(axis=1)
+        old, matches, done = old[matches >= need], matches[matches >= need], upto
+    return old
+
+
+def links_within(ids: np.ndarray, n: np.ndarray, marks: np.ndarray, side: np.ndarray, sets: list[np.ndarray] | None = None, *, similar: int = SIMILAR, miss: float = MISS) -> list[tuple[int, int]]:
     """Links that connect what the links of these texts connect (a spanning forest).
 
-    side: only pairs with different sides count, unless all sides are 0. Each text is compared with those
-    before it that it isn't yet connected to: by sizes, then by batches of hashes as long as the posterior
-    allows, then by the full sets.
+    n: set sizes; marks: shortened signatures; side: only pairs with different sides count, unless all sides are 0. Each text
+    is compared with those before it that it isn't yet connected to: by survivors(), then by the full sets if given.
     """
-    n = np.array([len(s) for s in sets], np.int64)
-    low = np.array([signature(s) for s in sets], np.uint64)
     least = least_matches(similar / 100, miss)
-    _, code = np.unique(np.concatenate(sets), return_inverse=True)
-    at = np.concatenate([[0], np.cumsum(n)])
-    mark = np.zeros(int(code.max()) + 1, bool)
+    if sets is not None:
+        _, code = np.unique(np.concatenate(sets), return_inverse=True)
+        at = np.concatenate([[0], np.cumsum(n)])
+        held = np.zeros(int(code.max()) + 1, bool)
     group, found, both = np.arange(len(ids)), [], bool(side.any())
     for i in range(1, len(ids)):
-        old = np.flatnonzero((group[:i] != group[i]) & (100 * np.minimum(n[:i], n[i]) >= similar * np.maximum(n[:i], n[i])) & ((side[:i] != side[i]) | (not both)))
-        matches, done = np.zeros(len(old), np.int64), 0
-        for upto, need in least.items():
-            if not len(old):
-                break
-            matches += (low[old, done:upto] == low[i, done:upto]).sum(axis=1)
-            old, matches, done = old[matches >= need], matches[matches >= need], upto
+        old = survivors(n, marks, i, np.flatnonzero((group[:i] != group[i]) & ((side[:i] != side[i]) | (not both))), least, similar)
         if not len(old):
             continue
-        own = code[at[i] : at[i + 1]]
-        mark[own] = True
+        if sets is not None:
+            held[code[at[i] : at[i + 1]]] = True
         for j in old:
             if group[j] != group[i]:
-                shared = int(mark[code[at[j] : at[j + 1]]].sum())
-                if 100 * shared >= similar * (n[i] + n[j] - shared):
+                shared = int(held[code[at[j] : at[j + 1]]].sum()) if sets is not None else 0
+                if sets is None or 100 * shared >= similar * (n[i] + n[j] - shared):
                     found.append((int(ids[i]), int(ids[j])))
                     group[group == group[j]] = group[i]
-        mark[own] = False
+        if sets is not None:
+            held[code[at[i] : at[i + 1]]] = False
     return found
 
 
 def _verify(key: tuple, got: pd.DataFrame) -> pd.DataFrame:
-    got = got.sort_values(["doc_id", "n_shingles"], ignore_index=True)
-    side = (got["block"] != got["block"].iloc[0]).to_numpy(np.int64) if got["low"].iloc[0] != got["high"].iloc[0] else np.zeros(len(got), np.int64)
-    if not len(got) or (got["low"].iloc[0] != got["high"].iloc[0] and not side.any()):
+    """Links of one cluster, bucket or pair of blocks; got: doc_id, n, signature, block, low, high and, to confirm links, shingles."""
+    got = got.sort_values(["doc_id", "n"], ignore_index=True)
+    apart = got["low"].iloc[0] != got["high"].iloc[0]
+    side = (got["block"] != got["block"].iloc[0]).to_numpy(np.int64) if apart else np.zeros(len(got), np.int64)
+    if len(got) < 2 or (apart and not side.any()):
         return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
-    found = links_within(got["doc_id"].to_numpy(np.int64), [np.frombuffer(s, np.uint64) for s in got["shingles"]], side)
+    marks = np.stack([np.frombuffer(s, np.uint16) for s in got["signature"]])
+    sets = [np.frombuffer(s, np.uint64) for s in got["shingles"]] if "shingles" in got else None
+    found = links_within(got["doc_id"].to_numpy(np.int64), got["n"].to_numpy(np.int64), marks, side, sets)
     return pd.DataFrame(found, columns=["a", "b"]).astype(np.int64)
 
 
-def placed(members: DataFrame) -> DataFrame:
-    """members: node, cluster, n (shingles). Adds blocks, the number of its cluster's blocks, and block, its own; 1 block up to the limits of a task."""
+def placed(members: DataFrame, weigh: bool) -> DataFrame:
+    """members: node, cluster, n (shingles). Adds blocks, the number of its cluster's blocks, and block, its own; 1 block up to the
+    limits of a task, that of shingles only if weigh."""
     sizes = members.groupBy("cluster").agg(F.count("*").alias("texts"), F.sum("n").alias("shingles"))
-    blocks = F.when((F.col("texts") <= CLUSTER_TEXTS) & (F.col("shingles") <= CLUSTER_SHINGLES), F.lit(1)).otherwise(F.greatest(F.ceil(F.col("texts") * 2 / CLUSTER_TEXTS), F.ceil(F.col("shingles") * 2 / CLUSTER_SHINGLES)))
-    return members.join(sizes.select("cluster", blocks.cast("long").alias("blocks")), "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    limits = {"texts": CLUSTER_TEXTS} | ({"shingles": CLUSTER_SHINGLES} if weigh else {})
+    need = F.greatest(F.lit(1), *(F.when(F.col(c) <= most, F.lit(1)).otherwise(F.ceil(F.col(c) * 2 / most)) for c, most in limits.items()))
+    return members.join(sizes.select("cluster", need.cast("long").alias("blocks")), "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+
+
+def units_of(members: DataFrame, keys: DataFrame, *, weigh: bool) -> DataFrame:
+    """The tasks that members (node, cluster, n) meet in: node, cluster, wide, blocks, block.
+
+    A cluster is one task, or is cut into blocks of which each pair is a task, or, with over CLUSTER_BLOCKS blocks as weak
+    candidates chain up in large corpora, is laid out by its buckets, each one task or blocks. keys: node, key of the buckets.
+    """
+    whole = written(placed(members, weigh), "placed")
+    narrow, wide = whole.where(F.col("blocks") <= CLUSTER_BLOCKS), whole.where(F.col("blocks") > CLUSTER_BLOCKS)
+    if wide.isEmpty():
+        return narrow.withColumn("wide", F.lit(False))
+    by_bucket = keys.join(wide.select("node", "n"), "node").select("node", F.col("key").alias("cluster"), "n")
+    return narrow.withColumn("wide", F.lit(False)).unionByName(placed(by_bucket, weigh).withColumn("wide", F.lit(True)))
+
+
+def linked(facts: DataFrame, units: DataFrame) -> DataFrame:
+    """Links a, b that _verify finds in each task of units; facts: node and what _verify needs of it."""
+    full = facts.join(units.select("node", "cluster", "wide", "blocks", "block"), "node").withColumnRenamed("node", "doc_id")
+    full = full.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+    return full.drop("other", "blocks").groupBy("cluster", "wide", "low", "high").applyInPandas(_verify, "a long, b long")
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
     """Groups of documents whose sets of five-word shingles are connected by similarities of 0.75 or more.
 
     docs: doc_id, text and any others (ignored). Returns a row per row: doc_id, n_shingles, component_id,
-    kept. Null and empty texts have no shingles and are linked with nothing. A row without a doc_id can't
-    represent a group: it has no component_id and is kept. Rows that repeat a doc_id with the same text are one
-    document; with another text each has its own group. An empty table gives an empty table.
-
-    Equal sets count once (their smallest doc_id). Texts that share a band key are candidates; a bucket
-    yields one pair per member, with its smallest member, so a group of any size adds as many pairs as it has
-    members and bands. Connected candidates form a cluster; its full sets meet in one task, or, beyond
-    CLUSTER_TEXTS, in pairs of blocks, and each task returns a spanning forest of the confirmed links. That
-    tests all pairs of a cluster, hence all pairs of its buckets. A cluster of more than CLUSTER_BLOCKS blocks, as
-    weak candidates chain up in large corpora, is verified by its buckets, each in one task or in pairs of blocks, so
-    that its sets are copied once per bucket and not once per block.
+    kept. Null and empty texts have no shingles and are linked with nothing; texts of any length are read whole. A row
+    without a doc_id can't represent a group: it has no component_id and is kept. Rows that repeat a doc_id with the same
+    text are one document; with another text each has its own group. An empty table gives an empty table.
+
+    Equal sets count once (their smallest doc_id); a hot set's copies stay where they are. Texts that share a band key are
+    candidates; a bucket yields one pair per member, with its smallest member, so a group of any size adds as many pairs
+    as it has members and bands. Connected candidates form a cluster, whose signatures meet first (480 bytes a text): pairs
+    that share a band are compared in batches against the posterior bound. What survives is connected again, into fewer
+    and smaller clusters, and only their full sets are made and moved, to confirm links. Each task returns a spanning forest.
+    The pairs tested are those that share a band, whatever the size of a cluster.
     """
     small_batches(docs.sparkSession)
     slim = written(sketches(docs), "sketches")
-    reps = slim.where("n_shingles > 0 and doc_id is not null").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n"))
-    reps = written(reps, "shingle-sets")
-    keys = reps.select("rep", F.explode("bands").alias("key"))
-    buckets = keys.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).where("pivot <> last").select("key", "pivot")
-    star = keys.join(buckets, "key").where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
-    clusters = connected(star).withColumnRenamed("label", "cluster")
-    members = clusters.join(reps.groupBy(F.col("rep").alias("node")).agg(F.sum("n").alias("n")), "node")
-    members = written(members, "cluster-members")
-    whole = placed(members)
-    narrow, wide = whole.where(F.col("blocks") <= CLUSTER_BLOCKS), whole.where(F.col("blocks") > CLUSTER_BLOCKS)
-    by_bucket = keys.join(buckets, "key").withColumnRenamed("rep", "node").join(wide.select("node", "n"), "node").select("node", F.col("key").alias("cluster"), "n")
-    units = written(narrow.withColumn("wide", F.lit(False)).unionByName(placed(by_bucket).withColumn("wide", F.lit(True))), "units")
-    test = bloom_test(members.select(F.xxhash64("node").alias("h")), max(1, members.count()))
-    wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    sets = shingle_sets(wanted.where(test(F.xxhash64("doc_id"))))
-    full = sets.join(units.select(F.col("node").alias("doc_id"), "cluster", "wide", "blocks", "block"), "doc_id")
-    full = full.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other"), "n_shingles": F.octet_length("shingles")})
-    links = full.drop("other", "blocks").groupBy("cluster", "wide", "low", "high").applyInPandas(_verify, "a long, b long")
-    groups = connected(links)
-    named = reps.join(groups, reps["rep"] == groups["node"], "left").select("f1", "f2", F.coalesce("label", "rep").alias("component"), (F.col("label").isNotNull() | (F.col("copies") > 1)).alias("linked")).where("linked")
-    out = slim.join(named.drop("linked"), ["f1", "f2"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
-    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
+    total, same = slim.count(), ["f1", "f2"]
+    able = slim.where("n_shingles > 0 and doc_id is not null")
+    repeated = able.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1")
+    repeated = written(repeated, "repeated-sets")
+    single, some = split_by(able, F.xxhash64(*same), repeated.select(F.xxhash64(*same).alias("h")))
+    single = single.unionByName(some.join(repeated.select(*same), same, "left_anti"))
+    _, heads = split_by(some, F.xxhash64(*same, "doc_id"), repeated.select(F.xxhash64(*same, "rep").alias("h")))
+    again = heads.groupBy(*same, "doc_id").count().where("count > 1").select("doc_id")  # rows repeated in full
+    heads = heads.dropDuplicates([*same, "doc_id"]).join(repeated.select(*same, F.col("rep").alias("doc_id")), [*same, "doc_id"], "left_semi")
+    reps = single.unionByName(heads).select(F.col("doc_id").alias("node"), "bands", F.col("n_shingles").alias("n"), "signature")
+    reps = written(reps, "distinct-sets")
+
+    keys = reps.select("node", F.explode("bands").alias("key"))
+    buckets = keys.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot <> last").select("key", "pivot")
+    shared = keys.join(buckets, "key")
+    star = shared.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+    sizes = reps.groupBy("node").agg(F.sum("n").alias("n"))
+    members = lambda links: connected(links).withColumnRenamed("label", "cluster").join(sizes, "node")
+    near = members(star)
+    likely = members(linked(reps.select("node", "n", "signature"), units_of(near, shared.select("node", "key"), weigh=False)))
+    likely = written(likely, "likely-members")
+    _, wanted = split_by(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null"), F.xxhash64("doc_id"), likely.select(F.xxhash64("node").alias("h")))
+    sets = shingle_sets(wanted)
+    if not again.isEmpty():
+        sets, twice = split_by(sets, F.xxhash64("node"), again.select(F.xxhash64("doc_id").alias("h")))
+        sets = sets.unionByName(twice.dropDuplicates(["node", "shingles"]))
+    groups = connected(linked(sets, units_of(likely, shared.select("node", "key"), weigh=True)))
+
+    kin = repeated.join(groups, repeated["rep"] == groups["node"], "left").select(*same, "copies", F.coalesce("label", "rep").alias("component_id"))
+    lone = single.select("doc_id", "n_shingles").join(groups, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))
+    rest = slim.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    out = lone.unionByName(met(some.select("doc_id", "n_shingles", *same), kin, same, "copies", total).select("doc_id", "n_shingles", "component_id")).unionByName(rest)
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
@@ -204,10 +254,9 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     """The documents of docs that near_dedup keeps, with all their columns. Others than those dropped pass the filter straight through."""
     found = written(near_dedup(docs), "near-dedup")
     gone = found.where("not kept").select(F.col("doc_id").alias("__wl_id")).distinct()
-    maybe = bloom_test(gone.select(F.xxhash64("__wl_id").alias("h")), max(1, found.where("not kept").count()))
-    rows = docs.withColumn("__wl_maybe", maybe(F.coalesce(F.xxhash64(F.col("doc_id").cast("long")), F.lit(0))))
-    again = rows.where("__wl_maybe")
-    return rows.where("not __wl_maybe").unionByName(again.join(gone, again["doc_id"] == gone["__wl_id"], "left_anti")).select(*docs.columns)
+    rows = docs.withColumn("__wl_long", F.col("doc_id").cast("long"))
+    stay, again = split_by(rows, F.coalesce(F.xxhash64("__wl_long"), F.lit(0)), gone.select(F.xxhash64("__wl_id").alias("h")))
+    return stay.unionByName(again.join(gone, again["__wl_long"] == gone["__wl_id"], "left_anti")).select(*docs.columns)
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
