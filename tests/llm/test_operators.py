@@ -178,7 +178,7 @@ def test_components_of_a_long_path_take_few_rounds(spark, monkeypatch):
     assert len(got) == 121 and {r.label for r in got} == {0} and len(rounds) < 45
 
 
-def test_packing(docs, none):
+def test_packing(spark, docs, none):
     import public_tokenizers
     from tokenizers import Tokenizer
 
@@ -201,6 +201,14 @@ def test_packing(docs, none):
             at += length
         assert at <= 2048
     assert len(bins) <= packing.lower_bound(np.array([r.length for r in got])) + 1
+    parts = defaultdict(set)
+    for r in got:
+        parts[r.partition].add(r.sequence_id)
+    said = {r.partition: r for r in packing.certificates(spark.createDataFrame(got, packing.PACKED)).collect()}
+    assert {p: said[p].sequences for p in parts} == {p: len(x) for p, x in parts.items()} and said[None].sequences == len(bins) and set(said) == {*parts, None}
+    for p in said:
+        bound = packing.lower_bound(np.array([r.length for r in got if p is None or r.partition == p]))
+        assert said[p].bound == bound <= said[p].sequences and said[p].certified == (said[p].sequences == bound)
     assert packing.pack_documents(none).count() == 0
 
 
@@ -224,6 +232,9 @@ def test_top_k(spark):
     rng = np.random.default_rng(1)
     v = [(i, [float(x) for x in rng.normal(0, 0.3, 8)]) for i in range(400)] + [(50, [0.1] * 8), (51, [0.1] * 8), (400, None), (450, [float("nan")] * 8), (451, [None] * 8), (500, [0.5] * 3), (501, [0.2] * 3), (None, [0.1] * 8), (600, []), (650, [1e30, 0.0])]
     df = spark.createDataFrame(v, "vec_id long, embedding array<float>").repartition(3)
+    huge = spark.createDataFrame([(0, [1e307, 1.0]), (50, [-1e307, 2.0]), (1, [1e18, 1.0]), (2, [1e18, 3.0]), (3, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    most = (1 << 63) - 1  # scores beyond a long tie there
+    assert sorted(map(tuple, topk.top_k(huge, huge.where("vec_id % 50 = 0"), k=3).collect())) == [(0, 1, 1, most), (0, 2, 2, most), (0, 3, 3, most), (50, 1, 0, -most), (50, 2, 1, -most), (50, 3, 2, -most)]
     got = topk.top_k(df, df.where("vec_id % 50 = 0"), shard_rows=90, leaf=7, query_block=3).collect()
     q = [(i, [int(np.floor(256 * float(np.float32(x)))) for x in e]) for i, e in v if i is not None and e is not None and all(x is not None and np.isfinite(x) for x in e)]
     truth = Counter()
@@ -269,7 +280,18 @@ def test_mixing(docs, none):
     key = lambda rs: Counter((r.doc_id, r.source, r["size"], r.taken) for r in rs)
     assert key(again.collect()) == key(got)
     copies = mixing.mixed_documents(docs, block_words=16)
-    assert copies.columns == docs.columns and copies.count() == sum(round(r.taken / max(1, r["size"])) for r in got)
+    assert copies.columns == docs.columns
+    words, by_text = Counter(), defaultdict(list)
+    for r in copies.collect():
+        words[r.source] += len(WORD.findall(r.text))
+        by_text[r.doc_id, r.source].append(r.text)
+    assert words == Counter({s: n for s, n in taken.items() if n})
+    for r in got:  # whole copies and at most one that is cut after a word
+        mine = [t for t in by_text[r.doc_id, r.source] if (r.text or "").startswith(t)]
+        assert r.doc_id in (2, 51, None) or sum(len(WORD.findall(t)) for t in mine) == r.taken and sum(t != r.text for t in mine) <= 1
+    clash = docs.limit(50).selectExpr("*", "7 as size", "1 as taken", "2 as start", "3 as target", "4 as source_size", "5 as y")
+    assert sorted((r.doc_id or -1, r["size"]) for r in mixing.mix(clash, block_words=16)[0].collect()) == sorted((r.doc_id or -1, len(WORD.findall(r.text or ""))) for r in clash.collect())
+    assert mixing.mixed_documents(clash).columns == clash.columns
     assert mixing.mix(none)[0].count() == 0 and mixing.mixed_documents(none).count() == 0
 
 
@@ -279,7 +301,7 @@ def test_mixing_takes_small_sources_to_their_targets(spark):
     rows = [(s, k, min(50, n - k)) for s, n in sizes.items() for k in range(0, n, 50)]
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, source string, at long, size long").repartition(4)
     for weights in ((5, 2, 1), (1, 1, 900)):
-        out, pieces = mixing.mix(df, weights=weights)
+        out, pieces = mixing.mix(df, size="size", weights=weights)
         got, slots = out.collect(), pieces.collect()
         order = sorted(sizes)
         want = dict(zip(order, water_level([sizes[s] for s in order], [weights[i % 3] for i in range(len(order))])))

@@ -66,9 +66,18 @@ def test_stages(spark, folder):
     near, rows = run(names[2], exact)
     assert sorted(r.doc_id for r in rows) == sorted(i for i, (_, c) in truth.items() if i == c)
 
-    taken = {r.doc_id: round(r.taken / max(1, r["size"])) for r in mixing.mix(near)[0].collect()}
+    word = re.compile(r"[^\x20\x09-\x0D]+")
+    taken, target = Counter(), {}
+    for r in mixing.mix(near)[0].collect():
+        taken[r.source] += r.taken
+        target[r.source] = r.target
     mixed, rows = run(names[3], near)
-    assert Counter(r.doc_id for r in rows) == Counter({i: n for i, n in taken.items() if n})
+    words = Counter()
+    for r in rows:
+        words[r.source] += len(word.findall(r.text or ""))
+    assert words == taken and all(abs(words[s] - target[s]) <= 128 for s in target)  # each source meets its target to half a block
+    kept = {r.doc_id: r.text for r in near.collect()}
+    assert all(kept[r.doc_id].startswith(r.text) for r in rows) and sum(r.text != kept[r.doc_id] for r in rows) <= 3
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     want = Counter()

@@ -44,25 +44,27 @@ def row_numbers(df: DataFrame, order: list, name: str = "row_number") -> tuple[D
     """df with dense numbers from 0 in the given order, and the number of rows.
 
     Rows are dealt by range and written; the counts of the ranges (one row each) give each range its first
-    number. Only rows that are equal in the whole order may swap numbers.
+    number. Only rows that are equal in the whole order may swap numbers; they spread over ranges as well.
     """
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = [*order, F.col("__wl_row")]
+    df = df.withColumn("__wl_row", F.monotonically_increasing_id())
     dealt = written(df.repartitionByRange(parts, *order).withColumn("__wl_part", F.spark_partition_id()), "ranges")
     counts = dealt.groupBy("__wl_part").agg(F.count("*").alias("__wl_n"))
     first = counts.withColumn("__wl_first", F.sum("__wl_n").over(Window.orderBy("__wl_part").rowsBetween(Window.unboundedPreceding, -1)))  # a row per range
     first = F.broadcast(first.select("__wl_part", F.coalesce("__wl_first", F.lit(0)).alias("__wl_first")))  # as many rows as shuffle partitions
     number = F.row_number().over(Window.partitionBy("__wl_part").orderBy(*order)) - 1
-    return dealt.withColumn(name, number).join(first, "__wl_part").withColumn(name, F.col(name) + F.col("__wl_first")).drop("__wl_part", "__wl_first"), dealt.count()
+    return dealt.withColumn(name, number).join(first, "__wl_part").withColumn(name, F.col(name) + F.col("__wl_first")).drop("__wl_part", "__wl_first", "__wl_row"), dealt.count()
 
 
 def shard_rows(docs: DataFrame, *, shards: int = SHARDS, keys=KEYS) -> DataFrame:
     """Deals documents into shards that differ by one row at most, in an order that only the row numbers decide.
 
-    docs: doc_id, text. Rows are numbered by doc_id (null first), then by size and checksum of the text;
+    docs: doc_id, text of any length, others are ignored. Rows are numbered by doc_id (null first), then by size and checksum of the text;
     the number's image p under the permutation gives shard p mod shards and slot p div shards, so anyone
     who knows the number of rows can compute both from a row number. Null text: size 1, checksum 0, as an
-    empty text. Repeated rows are different rows.
+    empty text. Repeated rows are different rows. An empty table gives an empty table.
     """
     slim = docs.select("doc_id", (F.octet_length(text_or_empty()) + 1).cast("long").alias("size"), F.crc32(text_or_empty().cast("binary")).alias("text_crc32"))
     numbered, rows = row_numbers(slim, [F.col("doc_id").asc_nulls_first(), F.col("size"), F.col("text_crc32")])

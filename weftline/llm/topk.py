@@ -1,4 +1,4 @@
-"""Exact top-k search by inner product: a ball tree in each shard, branch and bound, and the k-th scores found so far as a start."""
+"""Exact top-k search by inner product: a ball tree in each shard, branch and bound, and waves of shards that share the k-th scores so far."""
 
 from __future__ import annotations
 
@@ -14,15 +14,18 @@ from .common import parts_for, table, written
 K, SCALE, EVERY = 5, 256.0, 50
 #: Vectors of a shard and of a leaf; queries of a block that a task searches together.
 SHARD_ROWS, LEAF, QUERY_BLOCK = 8192, 64, 2048
-#: Scores up to here are sums that doubles hold exactly.
-EXACT = float(1 << 53)
+#: A wave searches so many times as many shards as all waves before it; so there are few waves, and most shards know good scores.
+WAVE = 3
+#: Scores up to here are sums that doubles hold exactly; the largest double and long.
+EXACT, MOST, LONG = float(1 << 53), 1.7976931348623157e308, (1 << 63) - 1
 
 
 def quantised(vectors: DataFrame, *, scale: float = SCALE) -> DataFrame:
-    """vec_id, v: floor(scale * x) of each component as a double, of vectors without null or non-finite components."""
+    """vec_id, v: floor(scale * x) of each component as a double, of vectors without null or non-finite components; a product beyond
+    the largest double is that double."""
     x = F.transform("embedding", lambda c: c.cast("double"))
     fine = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < float("inf")))
-    whole = F.transform(x, lambda c: c * F.lit(scale))
+    whole = F.transform(x, lambda c: F.greatest(F.least(c * F.lit(scale), F.lit(MOST)), F.lit(-MOST)))
     return vectors.where(fine).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(whole, lambda c: F.when(F.abs(c) < EXACT, F.floor(c).cast("double")).otherwise(c)).alias("v"))
 
 
@@ -32,7 +35,8 @@ class BallTree:
     def __init__(self, m: np.ndarray, leaf: int = LEAF):
         self.order = np.arange(len(m))
         self.centre, self.radius, self.rows, self.children = [], [], [], []
-        self._grow(m, 0, len(m), leaf)
+        with np.errstate(over="ignore", invalid="ignore"):
+            self._grow(m, 0, len(m), leaf)
         self.m = m[self.order]
         self.centre, self.radius = np.array(self.centre), np.array(self.radius)
 
@@ -45,7 +49,7 @@ class BallTree:
         self.radius.append(apart.max() * (1 + 1e-9))
         self.rows.append((a, b))
         self.children.append(None)
-        if b - a > leaf and apart.max() > 0:
+        if b - a > leaf and not apart.max() <= 0:
             one = part[apart.argmax()]
             other = part[((part - one) ** 2).sum(axis=1).argmax()]
             along = part @ (other - one)
@@ -58,28 +62,27 @@ class BallTree:
     def bounds(self, q: np.ndarray, length: np.ndarray, node: int) -> np.ndarray:
         """The largest inner product that a vector of the node can have with each query, with room for rounding."""
         best = q @ self.centre[node] + length * self.radius[node]
-        return best + 1e-9 * (length * (self.radius[node] + np.sqrt((self.centre[node] ** 2).sum()))) + 1e-6
+        best = best + 1e-9 * (length * (self.radius[node] + np.sqrt((self.centre[node] ** 2).sum()))) + 1e-6
+        return np.where(np.isnan(best), np.inf, best)  # beyond doubles nothing is pruned
 
 
-def dot(q: np.ndarray, m: np.ndarray, skip: np.ndarray) -> np.ndarray:
-    """Inner products of whole numbers as int64, exact; an error if one doesn't fit a long, but for those to skip (0)."""
+def dot(q: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Inner products of whole numbers as int64, exact; one beyond a long is the largest or smallest long but one."""
     if not q.size or not m.size:
         return np.zeros((len(q), len(m)), np.int64)
-    most = np.abs(q).max() * np.abs(m).max() * q.shape[1]
+    with np.errstate(over="ignore"):
+        most = np.abs(q).max() * np.abs(m).max() * q.shape[1]
     if most < EXACT:
         return (q @ m.T).astype(np.int64)
     whole = np.array([[int(x) for x in r] for r in q], object) @ np.array([[int(x) for x in r] for r in m], object).T
-    whole[skip] = 0
-    if max(abs(int(x)) for x in whole.ravel()) >= 1 << 63:
-        raise OverflowError("an inner product doesn't fit a long")
-    return whole.astype(np.int64)
+    return np.array([[max(-LONG, min(LONG, int(x))) for x in r] for r in whole], np.int64)
 
 
 def search(tree: BallTree, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query position, vec_id, score) of each query's k best rows of the tree that reach least, ties to smaller ids.
 
-    All queries go down together, at each node those whose bound reaches their k-th score so far; of two
-    children the one with the larger summed bound is first.
+    Queries go down together, at each node those whose bound reaches their k-th score so far; of two children each query
+    takes the one with the larger bound of its own first.
     """
     ids = ids[tree.order]
     n = len(q)
@@ -96,24 +99,26 @@ def search(tree: BallTree, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, le
             a, b = tree.rows[node]
             at = np.broadcast_to(ids[a:b], (len(alive), b - a))
             own = at == q_ids[alive][:, None]
-            got = dot(q[alive], tree.m[a:b], own)
+            got = dot(q[alive], tree.m[a:b])
             fit = (got >= kth[alive][:, None]) & ~own
             some = fit.any(axis=1)
             alive, got, at = alive[some], np.where(fit, got, np.iinfo(np.int64).min)[some], np.where(fit, at, np.iinfo(np.int64).max)[some]
             every, place = np.concatenate([score[alive], got], 1), np.concatenate([found[alive], at], 1)
-            best = np.lexsort((place, -(every + 1)), axis=1)[:, :k]  # + 1: the negative of the least long is itself
+            best = np.lexsort((place, ~every), axis=1)[:, :k]
             score[alive], found[alive] = np.take_along_axis(every, best, 1), np.take_along_axis(place, best, 1)
             full = found[alive, -1] != np.iinfo(np.int64).max
             kth[alive[full]] = np.maximum(kth[alive[full]], score[alive[full], -1].astype(np.float64))
             return
         left, right = tree.children[node]
-        if tree.bounds(q[alive], length[alive], right).sum() > tree.bounds(q[alive], length[alive], left).sum():
-            left, right = right, left
-        visit(left, alive)
-        visit(right, alive)
+        over = tree.bounds(q[alive], length[alive], right) > tree.bounds(q[alive], length[alive], left)
+        for one, other, mine in ((left, right, alive[~over]), (right, left, alive[over])):
+            if len(mine):
+                visit(one, mine)
+                visit(other, mine)
 
     if n and len(ids):
-        visit(0, np.arange(n))
+        with np.errstate(over="ignore", invalid="ignore"):
+            visit(0, np.arange(n))
     row, column = np.nonzero(found != np.iinfo(np.int64).max)
     return row, found[row, column], score[row, column]
 
@@ -153,24 +158,34 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = K, scale: float =
     vectors, queries: vec_id, embedding. Vectors (or queries) that are null or hold null or non-finite components, or
     that have no vec_id, take no part; only vectors of a query's dimension are candidates, and none with the query's
     own vec_id. Repeated rows are different candidates and different queries. With fewer than k candidates all are returned.
+    A component whose product with scale is beyond a double counts as the largest double, a score beyond a long as the largest
+    long (or its negative), and such scores tie. Empty tables give an empty table; other columns are ignored.
 
-    Vectors are dealt by hash into shards of about shard_rows, queries into blocks of about query_block. In the first
-    wave each query is searched in one shard; its k-th score there starts the bound for all other shards in the second,
-    where every block meets every shard (the query set against all rows), so queries are copied once per shard.
+    Vectors are dealt by row into shards of about shard_rows, queries into blocks of about query_block. Each block has its own
+    order of the shards and goes through them in waves: one shard, then WAVE times as many as before in each further wave,
+    always from the k-th score that all waves before found. A task is a block of queries and a shard; the query set
+    meets all rows, so a shard is copied once for each block of queries.
     """
     base = written(quantised(vectors, scale=scale), "vectors")
     asked = written(quantised(queries, scale=scale).withColumn("query_row", F.monotonically_increasing_id()), "queries")
     shards, blocks = parts_for(base.count(), shard_rows), parts_for(asked.count(), query_block)
-    base = base.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)))
-    asked = asked.withColumns({"home": F.pmod(F.xxhash64("vec_id"), F.lit(shards)), "block": F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks))})
-    first = asked.withColumn("least", F.lit(None).cast("double")).withColumn("shard", F.col("home"))
-    run = _searcher(k, leaf)
-    near = written(base.groupBy("shard").cogroup(first.groupBy("shard")).applyInPandas(run, HITS), "hits")
-    start = best(near, k).where(F.col("rank") == k).select("query_row", F.col("score").cast("double").alias("least"))
-    rest = asked.join(start, "query_row", "left").withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")))).where("shard <> home")
-    wide = base.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    far = wide.groupBy("shard", "block").cogroup(rest.groupBy("shard", "block")).applyInPandas(run, HITS)
-    return best(near.unionByName(far), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    base = base.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)))
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("query_row"), F.lit(blocks)))
+    run, number = _searcher(k, leaf), lambda x: F.lit(x).cast("long")
+    found, first, last = None, 0, 1
+    while first < shards:
+        start = best(found, k).where(F.col("rank") == k).select("query_row", F.col("score").cast("double").alias("least")) if found is not None else None
+        mine = asked.join(start, "query_row", "left") if start is not None else asked.withColumn("least", F.lit(None).cast("double"))
+        mine = mine.withColumn("shard", F.explode(F.sequence(number(first), number(last - 1)))).withColumn("shard", F.pmod(F.col("block") + F.col("shard"), number(shards)))
+        copies = base.withColumn("block", F.explode(F.sequence(number(0), number(blocks - 1)))).where(F.pmod(F.col("shard") - F.col("block"), number(shards)).between(first, last - 1))
+        hits = copies.groupBy("shard", "block").cogroup(mine.groupBy("shard", "block")).applyInPandas(run, HITS)
+        found = hits if found is None else best(found.unionByName(hits), k).drop("rank")
+        first, last = last, min(shards, last * (WAVE + 1))
+        if first < shards:
+            found = written(found, "hits")
+    if found is None:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    return best(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

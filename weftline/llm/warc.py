@@ -13,14 +13,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, table, written
+from .common import fresh_path, parts_for, table, written
+from .dedup_exact import met, split_by
 
 #: Payload bytes from which equal payloads are written once.
 LEAST_PAYLOAD = 100
 #: Payload bytes of an archive; bytes between two wanted records that are read along; bytes of one read.
 ARCHIVE_BYTES, GAP, SPAN = 64 << 20, 16 << 10, 8 << 20
-#: A group with more than 1 / HOT_SHARE of all rows is hot; so there are fewer than HOT_SHARE hot groups.
-HOT_SHARE = 1000
+#: Stretch of an archive that one task reads, and bytes of wanted records for which the readers get a task more.
+STRETCH, TASK_BYTES = 8 << 20, 4 << 20
 INDEX = "archive string, offset long, length long, page_id long, url string, payload_digest string, payload_bytes long, record_type string, refers_to long"
 
 
@@ -68,10 +69,7 @@ def decisions(pages: DataFrame, *, least: int = LEAST_PAYLOAD) -> DataFrame:
     slim = written(slim.where(F.col("bytes") >= least), "page-digests")
     rows = slim.count()
     groups = written(slim.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id")).alias("first")).where("n > 1").select("digest", "n", F.col("first.page_id").alias("first_id")), "page-groups")
-    hot = F.broadcast(groups.where(F.col("n") * HOT_SHARE > rows))  # under HOT_SHARE rows
-    cold = groups.where(F.col("n") * HOT_SHARE <= rows)
-    met = slim.join(hot, "digest").unionByName(slim.join(F.broadcast(hot.select("digest")), "digest", "left_anti").join(cold, "digest"))
-    return met.groupBy("page_id", "digest", "first_id").agg(F.count("*").alias("copies"))
+    return met(slim, groups, ["digest"], "n", rows).groupBy("page_id", "digest", "first_id").agg(F.count("*").alias("copies"))
 
 
 def write_archives(pages: DataFrame, folder: str, *, least: int = LEAST_PAYLOAD, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
@@ -86,11 +84,12 @@ def write_archives(pages: DataFrame, folder: str, *, least: int = LEAST_PAYLOAD,
     html = F.coalesce("html", F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.sha2(html.cast("binary"), 256).alias("digest"))
     other = decided.select(F.col("page_id").alias("__wl_p"), F.col("digest").alias("__wl_d"), "first_id", F.lit(True).alias("shared"), "copies")
-    met = rows.join(other, rows["page_id"].eqNullSafe(other["__wl_p"]) & (rows["digest"] == other["__wl_d"]), "left").drop("__wl_p", "__wl_d")
-    if not decided.where("copies > 1").isEmpty():  # pages repeated in full meet in one task; the rest stays where it is
-        same = met.where("copies > 1").repartition("page_id", "digest")
-        met = met.where("copies is null or copies = 1").unionByName(same)
-    met = met.sortWithinPartitions("page_id", "digest")
+    lone, some = split_by(rows, F.xxhash64("page_id", "digest"), decided.select(F.xxhash64("page_id", "digest").alias("h")))  # pages that share no payload stay where they are
+    found = some.join(other, some["page_id"].eqNullSafe(other["__wl_p"]) & (some["digest"] == other["__wl_d"]), "left").drop("__wl_p", "__wl_d")
+    if not decided.where("copies > 1").isEmpty():  # pages repeated in full meet in one task, by tasks of the digest's hash
+        found = found.where("copies is null or copies = 1").unionByName(found.where("copies > 1").repartition("page_id", "digest"))
+    found = lone.withColumns({"first_id": F.lit(None).cast("long"), "shared": F.lit(None).cast("boolean"), "copies": F.lit(None).cast("long")}).unionByName(found)
+    found = found.sortWithinPartitions("page_id", "digest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, out, name, at, last, used = None, None, "", 0, None, 0
@@ -120,7 +119,7 @@ def write_archives(pages: DataFrame, folder: str, *, least: int = LEAST_PAYLOAD,
             if out is not None:
                 out.close()
 
-    return written(met.select("page_id", "url", "html", "digest", "first_id", "shared").mapInArrow(run, INDEX), "warc-index")
+    return written(found.select("page_id", "url", "html", "digest", "first_id", "shared").mapInArrow(run, INDEX), "warc-index")
 
 
 def spans(offset: np.ndarray, length: np.ndarray, *, gap: int = GAP, span: int = SPAN) -> list[tuple[int, int]]:
@@ -136,11 +135,12 @@ def spans(offset: np.ndarray, length: np.ndarray, *, gap: int = GAP, span: int =
 RECORD = "page_id long, url string, payload string, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
-def read_records(index: DataFrame, folder: str, *, gap: int = GAP, span: int = SPAN) -> DataFrame:
-    """The records that index selects, read from the archives: columns of RECORD; a revisit's payload is null.
+def read_records(index: DataFrame, folder: str, *, gap: int = GAP, span: int = SPAN, payloads: bool = True, task_bytes: int = TASK_BYTES) -> DataFrame:
+    """The records that index selects, read from the archives: columns of RECORD; a revisit's payload is null, and, unless
+    payloads are wanted, all are.
 
-    Wanted ranges are cut by archive and 64 MB of it, sorted, and coalesced into reads. Payloads of responses
-    are held against their digests; a mismatch is an error.
+    Wanted ranges are cut by archive and STRETCH of it, dealt to as many tasks as their bytes need, sorted, and coalesced into
+    reads. Payloads of responses are held against their digests; a mismatch is an error.
     """
     number = lambda x: None if x == "none" else int(x)
 
@@ -160,17 +160,18 @@ def read_records(index: DataFrame, folder: str, *, gap: int = GAP, span: int = S
                     if not revisit and (hashlib.sha256(payload).hexdigest() != digest or len(payload) != int(head["payload-bytes"])):
                         raise ValueError(f"a payload in {key[0]} at {offset[i]} doesn't have its digest")
                     page = number(head["warc-record-id"][len("<urn:page:") : -1])
-                    out.append((page, head.get("warc-target-uri"), None if revisit else payload.decode(), int(head["payload-bytes"]), digest, head["warc-type"], number(head["warc-refers-to"][len("<urn:page:") : -1]) if revisit else None))
+                    out.append((page, head.get("warc-target-uri"), payload.decode() if payloads and not revisit else None, int(head["payload-bytes"]), digest, head["warc-type"], number(head["warc-refers-to"][len("<urn:page:") : -1]) if revisit else None))
         return pd.DataFrame({c: pd.array([r[k] for r in out], kind) for k, (c, kind) in enumerate(zip([x.split()[0] for x in RECORD.split(", ")], ("Int64", "object", "object", "Int64", "object", "object", "Int64"), strict=True))})
 
-    part = index.select("archive", "offset", "length").withColumn("__wl_part", F.expr(f"offset div {ARCHIVE_BYTES}"))
-    return part.groupBy("archive", "__wl_part").applyInPandas(fetch, RECORD)
+    part = index.select("archive", "offset", "length").withColumn("__wl_part", F.expr(f"offset div {STRETCH}"))
+    tasks = parts_for(part.agg(F.sum("length")).first()[0] or 0, task_bytes)
+    return part.repartition(tasks, "archive", "__wl_part").groupBy("archive", "__wl_part").applyInPandas(fetch, RECORD)
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = fresh_path(spark, "warc")
     index = write_archives(table(spark, sf_dir, "pages"), folder)
-    return read_records(index, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read_records(index, folder, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 ORACLE = """
