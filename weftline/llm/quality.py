@@ -40,8 +40,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, threshold: float = THRE
     """Scores each whole text by a model that is fitted on at most nbsvm.PER_CLASS labelled documents of each class.
 
     docs: doc_id, text and others; labels: doc_id, quality. Returns doc_id, held_out, score, predicted, a row
-    for each row. Null text counts as empty; empty texts have only the indicator of their size class.
-    Without labels of both classes every score is the smoothed share of class 1. Empty tables give empty tables.
+    for each row. Texts of any length are read whole. Null text counts as empty; empty texts have only the indicator of their
+    size class. Without labels of both classes every score is the smoothed share of class 1. Repeated rows get equal scores; other
+    columns, whatever their names, are ignored. Empty tables give empty tables.
     """
     score = nbsvm.scorer(docs.sparkSession, quality_model(docs, labels, **options), trigrams)
     out = docs.select("doc_id", held_out().alias("held_out"), score(text_or_empty()).alias("score"))

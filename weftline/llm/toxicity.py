@@ -11,12 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import nbsvm, words
-from .common import held_out, slices_of, small_batches, string_buffer, table, text_or_empty
+from .common import held_out, mix64, slices_of, small_batches, string_buffer, table, text_or_empty
 
 #: Indicators (hashed words and their first letters), and the score from which a document is toxic.
 DIMS, THRESHOLD = 1 << 18, 0.5
-#: Letters of a word that stand for its inflected forms.
-STEM = 5
+#: Bytes of a word that stand for its inflected forms, and the numbers of different forms in a text that are told apart from one.
+STEM, FORMS = 5, (2, 3)
 #: Least log-count ratio of an indicator, and the least number of sample documents that hold it.
 LEAST_RATIO, LEAST_DOCS = 1.0, 3
 #: Read tokens with a letter doubled, or joined inside, if the language model finds the doubling, or the word edges at the joint,
@@ -31,7 +31,7 @@ SIGNS = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "&": "a", "#": "h",
 }
-SIGN_COST, DROP_COST, JOIN_COST, SPLIT_COST = 1.0, 0.5, 0.2, 1.5
+SIGN_COST, DROP_COST, JOIN_COST, SPLIT_COST, TAIL_COST = 1.0, 0.5, 0.2, 1.5, 0.5
 
 #: Symbols of the language model: 0 a word's edge, 1-26 letters, 27 any other letter.
 SYMBOLS = 28
@@ -76,9 +76,10 @@ def costs(counts: np.ndarray) -> np.ndarray:
 
 
 def lattice(token: str) -> list[list[tuple[str, float]]]:
-    """Of each run of equal signs, what it may stand for: strings (empty: left out; a joint may be a space) with costs of the channel."""
+    """Of each run of equal signs, what it may stand for: strings (empty: left out; a joint may be a space) with costs of the channel.
+    Signs at the end of a token may be decoration."""
     out: list[list[tuple[str, float]]] = []
-    i = 0
+    i, tail = 0, len(token.rstrip("".join(SIGNS)))
     while i < len(token):
         j = i
         while j < len(token) and token[j] == token[i]:
@@ -86,7 +87,7 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
         c, n = token[i], j - i
         if c in SIGNS:
             letters = [(x, SIGN_COST) for x in SIGNS[c]]
-            out.append([(x * k, cost + DROP_COST * (n - k)) for x, cost in letters for k in range(1, min(n, 2) + 1)])
+            out.append([(x * k, cost + DROP_COST * (n - k)) for x, cost in letters for k in range(1, min(n, 2) + 1)] + ([("", TAIL_COST)] if i >= tail else []))
         elif c.isalpha():
             out.append([(c * k, DROP_COST * min(n - k, 2)) for k in range(1, min(n, 2) + 1)] + ([(c * n, 0.0)] if n > 2 else []))
         else:
@@ -165,7 +166,7 @@ def suspects(raw: np.ndarray, offsets: np.ndarray, cost: np.ndarray) -> list[tup
     twice[owner[unlikely_doubles(raw, starts[owner], ends[owner], doubled, cost) > DOUBLE_GAIN]] = True
     for k in np.flatnonzero(mixed | inner & (twice | (triples[ends] - triples[starts] > 0))):
         out.append((int(starts[k]), int(ends[k]), False))
-    return sorted(set(out))
+    return sorted(set(out), key=lambda s: (s[0], -s[1]))
 
 
 def unlikely_doubles(raw, starts, ends, at, cost) -> np.ndarray:
@@ -195,15 +196,14 @@ class Restorer:
         if token not in self.known:
             if len(self.known) >= self.KEPT:
                 self.known.clear()
-            core = token.rstrip("".join(SIGNS)) if not token[-1].isalpha() else token  # signs at the end: also as decoration
-            read = " ".join(sorted({decode(x, self.table) for x in (token, core) if x}))
+            read = decode(token, self.table)
             if len(token) > KEPT_BYTES:
                 return read
             self.known[token] = read
         return self.known[token]
 
     def __call__(self, column) -> pa.Array:
-        """The texts with each suspect span followed by its likeliest readings."""
+        """The texts with each suspect span replaced by its likeliest reading; a span inside another counts for nothing."""
         if isinstance(column, pa.ChunkedArray):
             column = column.combine_chunks()
         raw, at = string_buffer(column)
@@ -212,23 +212,42 @@ class Restorer:
             part, edge = raw[at[i] : at[j]], at[i : j + 1] - at[i]
             spans = suspects(part, edge, self.cost)
             if spans:
-                first = np.searchsorted(edge, [s[0] for s in spans], "right") - 1 + i
+                first = np.searchsorted(edge, [s[0] for s in spans], "right") - 1
                 for d, (a, b, _) in zip(first.tolist(), spans, strict=True):
-                    touched.setdefault(d, []).append(bytes(part[a:b]).decode("utf-8", "ignore").lower())
+                    touched.setdefault(d + i, []).append((a - int(edge[d]), b - int(edge[d])))
         if not touched:
             return column
-        for d, text in enumerate(column.to_pylist()):
-            out.append(text if d not in touched else text + "\n" + " ".join(self.word(t) for t in touched[d] if t))
+        for d in range(len(column)):
+            text = bytes(raw[at[d] : at[d + 1]])
+            out.append((self.restored(text, touched[d]) if d in touched else text).decode("utf-8", "ignore"))
         return pa.array(out, pa.large_string())
 
+    def restored(self, text: bytes, spans: list[tuple[int, int]]) -> bytes:
+        """spans: (start, end) in order of start, the wider first."""
+        parts, upto = [], 0
+        for a, b in spans:
+            if b <= upto:
+                continue
+            parts.append(text[upto:a] if a >= upto else b" ")
+            token = text[a:b].decode("utf-8", "ignore").lower()
+            parts.append((self.word(token) if token else "").encode())
+            upto = b
+        return b"".join([*parts, text[upto:]])
+
 
 def word_features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (text number, indicator) pairs: each run of letters, and its first STEM bytes if it is longer."""
+    """Distinct (text number, indicator) pairs: each run of letters; of longer ones their first STEM bytes, and whether a text has
+    FORMS or more different runs that begin with these."""
     starts, ends = words.runs(words.LETTERS[raw], offsets)
-    doc = np.searchsorted(offsets, starts, "right") - 1
+    doc = (np.searchsorted(offsets, starts, "right") - 1).astype(np.uint64)
     long = ends - starts > STEM
-    code = np.concatenate([words.hashes(raw, starts, ends), words.hashes(raw, starts[long], starts[long] + STEM) ^ np.uint64(0x5BF03635)]) % np.uint64(DIMS)
-    key = np.unique(np.concatenate([doc, doc[long]]).astype(np.int64) << 18 | code.astype(np.int64))
+    full = words.hashes(raw, starts, ends)
+    stem = words.hashes(raw, starts[long], starts[long] + STEM) ^ np.uint64(0x5BF03635)
+    found = [(doc, full), (doc[long], stem)]
+    forms = np.unique(np.stack([doc[long], stem, full[long]]), axis=1)
+    stems, n = np.unique(forms[:2], axis=1, return_counts=True)
+    found += [(stems[0, n >= m], mix64(stems[1, n >= m] + np.uint64(m))) for m in FORMS]
+    key = np.unique(np.concatenate([d.astype(np.int64) << 18 | (h % np.uint64(DIMS)).astype(np.int64) for d, h in found]))
     return key >> 18, key & (DIMS - 1)
 
 
@@ -237,9 +256,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float = THR
 
     docs: doc_id, text and others; labels: doc_id, toxic. Returns doc_id, held_out, score, predicted, a row for
     each row. The character model counts all documents; the word model is fitted on at most nbsvm.PER_CLASS labelled
-    documents of each class outside the held-out fold, restored as well. A text keeps its own words and gains the
-    readings of its suspect spans, so plain words never get lost. Null text counts as empty; empty texts get the
-    score of the bias. Without labels of both classes every score is the smoothed share of class 1.
+    documents of each class outside the held-out fold, restored as well. What is scored is the restored text: each suspect
+    span gives way to its reading. Texts of any length are read whole. Null text counts as empty; empty texts get the
+    score of the bias. Without labels of both classes every score is the smoothed share of class 1. Repeated rows get equal
+    scores; other columns, whatever their names, are ignored. Empty tables give empty tables.
     """
     spark = docs.sparkSession
     cost = spark.sparkContext.broadcast(costs(language_counts(docs)))
