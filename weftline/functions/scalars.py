@@ -81,14 +81,18 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
+def bound(value: Column, f) -> Column:
+    """f(value) with value worked out once, however often f uses it: inside a lambda an expression would be worked out for each element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def length(v: Column) -> Column:
-    return F.sqrt(dot(v, v))
+    return bound(v, lambda w: F.sqrt(dot(w, w)))
 
 
 def unit(v: Column) -> Column:
     """The vector of length 1; null for vectors that are too short or not finite."""
-    n = length(v)
-    return F.when(finite(n) & (n > F.lit(1e-12)), F.transform(v, lambda x: x / n))
+    return bound(v, lambda w: bound(F.sqrt(dot(w, w)), lambda n: F.when(finite(n) & (n > F.lit(1e-12)), F.transform(w, lambda x: x / n))))
 
 
 def wide(v: Column) -> Column:

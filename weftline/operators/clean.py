@@ -11,6 +11,8 @@ DROP = "DROP"
 #: Ids of the seven categories, 0 for padding.
 CATEGORY_IDS = {"TOP": 1, "BOTTOM": 2, "DRESS": 3, "OUTERWEAR": 4, "SHOES": 5, "BAG": 6, "HAT": 7}
 MIN_ITEMS, MAX_ITEMS = 3, 8
+#: Parts into which rows without an id are dealt.
+SPREAD = 1 << 16
 
 
 def require(df: DataFrame, *columns: str) -> DataFrame:
@@ -38,7 +40,8 @@ def audited_items(raw: DataFrame, order: list) -> DataFrame:
     bad = F.col("item_id").isNull() | (F.col("item_id") == "") | F.col("master").isNull() | (F.col("master") == "")
     df = df.withColumns({"_bad": bad, "kit_id": kit_of(F.col("item_id")), "slot": slot_of(F.col("item_id"))})
     malformed = ~F.col("item_id").contains("_") | (F.col("kit_id") == "")
-    turn = F.row_number().over(Window.partitionBy("item_id", "_bad").orderBy(*order))
+    spread = F.when(F.col("_bad"), F.pmod(F.xxhash64(*order), F.lit(SPREAD)))  # missing ids are counted, not compared: they needn't meet
+    turn = F.row_number().over(Window.partitionBy("item_id", spread).orderBy(*order))
     state = F.when(F.col("_bad"), "missing").when(malformed, "malformed").when(turn > 1, "duplicate").otherwise("kept")
     return df.withColumn("state", state).drop("_bad")
 
@@ -98,11 +101,11 @@ def in_kit_order(*fields: str) -> Column:
     return F.array_sort(F.collect_list(entry))
 
 
-def outfits(items: DataFrame, *, least: int = MIN_ITEMS, most: int | None = MAX_ITEMS) -> DataFrame:
-    """kit_id, n_items, items (array of item structs in kit order) of kits with least to most items. A kit is small, so it fits a row."""
-    n = F.col("n_items")
+def outfits(items: DataFrame, *, least: int = MIN_ITEMS) -> DataFrame:
+    """kit_id, n_items, items (array of item structs in kit order) of kits with at least least items; expect.load_issues reports those
+    that are too long for a scorer. A kit is small, so it fits a row."""
     df = items.groupBy("kit_id").agg(F.count("*").alias("n_items"), in_kit_order("master", "coarse", "slot").alias("items"))
-    return df.where((n >= least) & (n <= most) if most else n >= least)
+    return df.where(F.col("n_items") >= least)
 
 
 def kit_report(kits: DataFrame, before: DataFrame, after: DataFrame, *, least: int = MIN_ITEMS) -> DataFrame:

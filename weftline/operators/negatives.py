@@ -69,5 +69,5 @@ def families(samples: DataFrame, made: DataFrame) -> DataFrame:
     df = samples.select("split", "kit_id", F.col("items.item_id").alias("items")).join(one, ["split", "kit_id"])
     swapped = F.transform("items", lambda x, i: F.when(i == F.col("swap.position"), F.col("swap.replacement_item_id")).otherwise(x))
     positive = df.select("split", F.concat("kit_id", F.lit("_pos")).alias("sample_id"), F.col("kit_id").alias("source_kit_id"), F.lit(None).cast("string").alias("pair_id"), F.lit(1).alias("label"), "items", F.when(F.lit(False), F.col("swap")).alias("swap"))
-    negative = df.select("split", F.concat("kit_id", F.lit("_neg")).alias("sample_id"), F.col("kit_id").alias("source_kit_id"), F.concat("kit_id", F.lit("_pos")).alias("pair_id"), F.lit(0).alias("label"), swapped.alias("items"), "swap")
+    negative = df.select("split", F.concat("kit_id", F.lit("_neg_1")).alias("sample_id"), F.col("kit_id").alias("source_kit_id"), F.concat("kit_id", F.lit("_pos")).alias("pair_id"), F.lit(0).alias("label"), swapped.alias("items"), "swap")
     return positive.unionByName(negative)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from .scoring import centroid, mean_pair_cosine
 
 #: Hits of each channel, results of a recommendation, and recall depths of an evaluation.
 K, FINAL, DEPTHS = 200, 3, (50, 100, 200)
+#: Items and queries that one task multiplies.
+POOL_ROWS, QUERY_ROWS = 8192, 1024
 
 
 def top_hits(pairs: DataFrame, query: str, *, k: int, score: str = "similarity", item: str = "item_id") -> DataFrame:
@@ -18,20 +22,68 @@ def top_hits(pairs: DataFrame, query: str, *, k: int, score: str = "similarity",
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def catalog_search(queries: DataFrame, catalog: DataFrame, *, k: int, scope: list[str], digits: int = 9) -> DataFrame:
-    """Exact cosine top-k inside scope columns, without the query's own item: query_id, item_id, similarity, rank."""
-    q = queries.select("query_id", *scope, F.col("v").alias("_q"), F.col("own_id"))
-    pairs = q.join(catalog, scope).where(~F.col("item_id").eqNullSafe(F.col("own_id")))
-    return top_hits(pairs.select("query_id", "item_id", F.round(dot(F.col("_q"), F.col("v")), digits).alias("similarity")), "query_id", k=k)
+def block_hits(queries: DataFrame, catalog: DataFrame, channels: list[str], *, k: int, digits: int = 9, pool_rows: int = POOL_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
+    """query_id, channel, item_id, similarity, rank: of each channel the k best items of the query's scope, none of its own.
+
+    queries: query_id, scope, own (ids), and a vector for each channel (null: no hits); catalog: scope, item_id, v. A scope's
+    pool and its queries are cut into blocks; a task multiplies one block of each, for all channels at once, and returns the k best
+    of its block, so no pair of a query and an item leaves a task unless it is among those.
+    """
+
+    def blocks(df: DataFrame, rows: int, name: str) -> DataFrame:
+        return df.groupBy("scope").agg(F.ceil(F.count("*") / rows).alias(name))  # a row per scope
+
+    cut = blocks(catalog, pool_rows, "_pools").join(blocks(queries, query_rows, "_asks"), "scope")
+    asked = queries.select("query_id", "scope", "own", *channels).join(cut, "scope").withColumn("_q", F.pmod(F.xxhash64("query_id"), F.col("_asks"))).withColumn("_p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_pools") - 1)))
+    pool = catalog.select("scope", "item_id", "v").join(cut, "scope").withColumn("_p", F.pmod(F.xxhash64("item_id"), F.col("_pools"))).withColumn("_q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_asks") - 1)))
+    asked, pool = (df.toDF(*df.columns) for df in (asked, pool))  # both may come from one table
+
+    def best(key: tuple, q: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
+        out: list[pd.DataFrame] = []
+        if len(q) and len(items):
+            items = items.sort_values("item_id", ignore_index=True)
+            name, m = items["item_id"].to_numpy(object), np.stack(items["v"].to_numpy()).astype(np.float64)
+            at = {x: i for i, x in enumerate(name)}
+            for channel in channels:
+                some = q[q[channel].notna()]
+                if not len(some):
+                    continue
+                for i in range(0, len(some), 128):
+                    few = some.iloc[i : i + 128]
+                    score = np.round(np.stack(few[channel].to_numpy()).astype(np.float64) @ m.T, digits)
+                    for row, own in zip(score, few["own"], strict=True):
+                        row[[at[x] for x in own if x in at]] = -np.inf
+                    top = np.argsort(-score, axis=1, kind="stable")[:, :k]  # items are in order, so ties go to the smaller id
+                    row, column = np.nonzero(np.take_along_axis(score, top, 1) > -np.inf)
+                    top = top[row, column]
+                    out.append(pd.DataFrame({"query_id": few["query_id"].to_numpy()[row], "channel": channel, "item_id": name[top], "similarity": score[row, top]}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "channel": [], "item_id": [], "similarity": []})
+
+    kind = queries.schema["query_id"].dataType.simpleString()
+    near = asked.groupBy("scope", "_p", "_q").cogroup(pool.groupBy("scope", "_p", "_q")).applyInPandas(best, f"query_id {kind}, channel string, item_id string, similarity double")
+    rank = F.row_number().over(Window.partitionBy("query_id", "channel").orderBy(F.col("similarity").desc(), "item_id"))  # k rows from each block
+    return near.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def catalog_search(queries: DataFrame, catalog: DataFrame, *, k: int, scope: str, digits: int = 9) -> DataFrame:
+    """Exact cosine top-k inside a scope column, without the query's own item: query_id, item_id, similarity, rank."""
+    q = queries.select("query_id", F.col(scope).alias("scope"), F.array("own_id").alias("own"), "v")
+    return block_hits(q, catalog.select(F.col(scope).alias("scope"), "item_id", "v"), ["v"], k=k, digits=digits).drop("channel")
+
+
+#: Names of the two scopes of a pool.
+BY_MASTER, BY_CLASS = "exact_master_category", "core7_fallback"
 
 
-def scoped_pool(queries: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Candidates of each query: those of its problem item's master category, or, without one, of its coarse class; never items
-    of the outfit. queries: query_id, problem_master, problem_coarse_id, item_ids; catalog: item_id, master, coarse_id, v."""
-    one = queries.where("problem_master is not null").join(catalog, F.col("problem_master") == F.col("master")).withColumn("scope", F.lit("master_category"))
-    other = queries.where("problem_master is null").join(catalog, F.col("problem_coarse_id") == F.col("coarse_id")).withColumn("scope", F.lit("core7_fallback"))
-    both = one.unionByName(other)
-    return both.where(~F.array_contains("item_ids", F.col("item_id")))
+def scope_of_query() -> Column:
+    """The pool of a query: its problem item's master category, or, without one, its coarse class."""
+    return F.coalesce(F.concat(F.lit("master:"), F.col("problem_master")), F.concat(F.lit("class:"), F.col("problem_coarse_id").cast("string")))
+
+
+def scoped_catalog(catalog: DataFrame) -> DataFrame:
+    """Each item in both of its pools: scope, item_id, v."""
+    both = F.array(F.concat(F.lit("master:"), F.col("master")), F.concat(F.lit("class:"), F.col("coarse_id").cast("string")))
+    return catalog.select("*", F.explode(both).alias("scope")).where("scope is not null")
 
 
 def retrieval_queries(outfits: DataFrame, dim: int) -> DataFrame:
@@ -47,26 +99,41 @@ def hybrid(queries: DataFrame, catalog: DataFrame, *, k: int = K, digits: int =
 
     The filter to the category comes before either ranking. Order: the better of both ranks (k + 1 for none), then item_id.
     """
-    pool = scoped_pool(queries, catalog)
-    hits = lambda c, name: top_hits(pool.select("query_id", "item_id", F.round(dot(F.col(c), F.col("v")), digits).alias("similarity")).where("similarity is not null"), "query_id", k=k).select("query_id", "item_id", F.col("rank").alias(f"{name}_rank"), F.col("similarity").alias(f"{name}_similarity"))
-    both = hits("item_query", "item").join(hits("context_query", "context"), ["query_id", "item_id"], "full_outer")
+    asked = queries.select("query_id", scope_of_query().alias("scope"), F.col("item_ids").alias("own"), F.col("item_query").alias("item"), F.col("context_query").alias("context"))
+    found = block_hits(asked, scoped_catalog(catalog), ["item", "context"], k=k, digits=digits)
+    of = lambda c, name: F.max(F.when(F.col("channel") == name, F.col(c)))
+    both = found.groupBy("query_id", "item_id").agg(*(of(c, n).alias(f"{n}_{c}") for n in ("item", "context") for c in ("rank", "similarity")))
     best = F.least(F.coalesce("item_rank", F.lit(k + 1)), F.coalesce("context_rank", F.lit(k + 1)))
     return both.withColumn("order_rank", F.row_number().over(Window.partitionBy("query_id").orderBy(best, "item_id")))
 
 
-def retrieval_counters(queries: DataFrame, catalog: DataFrame, candidates: DataFrame) -> DataFrame:
-    """By query: scope, pool size, own items left out of it, hits of each channel, both, union."""
-    own = F.aggregate("item_ids", F.lit(0), lambda n, x: n)  # keeps the column in the plan's projection
-    sizes_m = catalog.groupBy(F.col("master").alias("problem_master")).agg(F.count("*").alias("_m"))
-    sizes_c = catalog.groupBy(F.col("coarse_id").alias("problem_coarse_id")).agg(F.count("*").alias("_c"))
-    inside = queries.select("query_id", "problem_master", "problem_coarse_id", F.explode(F.array_distinct("item_ids")).alias("item_id")).join(catalog.select("item_id", "master", "coarse_id"), "item_id")
-    inside = inside.where(F.when(F.col("problem_master").isNotNull(), F.col("master") == F.col("problem_master")).otherwise(F.col("coarse_id") == F.col("problem_coarse_id"))).groupBy("query_id").agg(F.count("*").alias("n_own"))
-    got = candidates.groupBy("query_id").agg(F.count("item_rank").alias("n_item"), F.count("context_rank").alias("n_context"), F.count_if(F.col("item_rank").isNotNull() & F.col("context_rank").isNotNull()).alias("n_both"), F.count("*").alias("n_union"))
-    df = queries.select("query_id", "problem_master", "problem_coarse_id", own.alias("_o")).join(sizes_m, "problem_master", "left").join(sizes_c, "problem_coarse_id", "left").join(inside, "query_id", "left").join(got, "query_id", "left")
-    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    scope = F.when(F.col("problem_master").isNotNull(), "master_category").otherwise("core7_fallback")
-    size = F.coalesce(F.when(F.col("problem_master").isNotNull(), F.col("_m")).otherwise(F.col("_c")), F.lit(0))
-    return df.select("query_id", scope.alias("scope"), (size - F.coalesce("n_own", F.lit(0))).alias("n_pool"), zero("n_own"), zero("n_item"), zero("n_context"), zero("n_both"), zero("n_union"))
+def pool_states(items: DataFrame, metadata: DataFrame, vectors: DataFrame, images: DataFrame) -> DataFrame:
+    """items: item_id, master, coarse_id, as the pools name them. Adds state: the first that an item lacks of missing_metadata (no
+    master or class of its own), missing_embedding and missing_image, else eligible. metadata: item_id, own_master, own_coarse;
+    vectors, images: item_id. Three joins by item, each with one row an item."""
+    has = lambda df, name: df.select("item_id").distinct().withColumn(name, F.lit(True))
+    df = items.join(metadata.select("item_id", "own_master", "own_coarse"), "item_id", "left").join(has(vectors, "_v"), "item_id", "left").join(has(images, "_i"), "item_id", "left")
+    state = F.when(F.col("own_master").isNull() | F.col("own_coarse").isNull(), "missing_metadata").when(F.col("_v").isNull(), "missing_embedding").when(F.col("_i").isNull(), "missing_image").otherwise("eligible")
+    return df.withColumn("state", state).drop("own_master", "own_coarse", "_v", "_i")
+
+
+def retrieval_counters(queries: DataFrame, pool: DataFrame, candidates: DataFrame) -> DataFrame:
+    """By query: the scope of its pool, eligible items of it and those left out by the first reason, hits of each channel, both, union.
+
+    pool: rows of pool_states(). Items of the outfit belong to no count: a pool is counted once, and each query takes away its own items.
+    """
+    states = ("eligible", "missing_metadata", "missing_embedding", "missing_image")
+    scoped = scoped_catalog(pool).select("scope", "item_id", "state")
+    count = [F.count_if(F.col("state") == s).alias(f"_{s}") for s in states]
+    sizes = scoped.groupBy("scope").agg(*count)
+    asked = queries.select("query_id", scope_of_query().alias("scope"), F.col("problem_master").isNull().alias("used_core7_fallback"), "item_ids")
+    own = asked.select("query_id", "scope", F.explode(F.array_distinct("item_ids")).alias("item_id")).join(scoped, ["scope", "item_id"]).groupBy("query_id").agg(*(c.alias(f"_own_{s}") for s, c in zip(states, count, strict=True)))
+    got = candidates.groupBy("query_id").agg(F.count("item_rank").alias("problematic_hit_count"), F.count("context_rank").alias("context_hit_count"), F.count_if(F.col("item_rank").isNotNull() & F.col("context_rank").isNotNull()).alias("both_count"), F.count("*").alias("union_count"))
+    df = asked.join(sizes, "scope", "left").join(own, "query_id", "left").join(got, "query_id", "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    names = dict(zip(states, ("category_pool_count", "missing_metadata_count", "missing_embedding_count", "missing_image_count"), strict=True))
+    scope = F.when(F.col("used_core7_fallback"), BY_CLASS).otherwise(BY_MASTER)
+    return df.select("query_id", scope.alias("retrieval_scope"), "used_core7_fallback", *((zero(f"_{s}") - zero(f"_own_{s}")).alias(n) for s, n in names.items()), *(zero(c).alias(c) for c in ("problematic_hit_count", "context_hit_count", "both_count", "union_count")))
 
 
 def reranked(queries: DataFrame, candidates: DataFrame, catalog: DataFrame, dim: int, *, digits: int = 9) -> DataFrame:
@@ -95,26 +162,52 @@ def recommended(queries: DataFrame, ranked: DataFrame, *, final: int = FINAL) ->
 
 def evaluation(queries: DataFrame, candidates: DataFrame, ranked: DataFrame, *, depths=DEPTHS, epsilon: float = 0.0) -> DataFrame:
     """One row: recall of the ground truth by channel and depth, coverage of the union, conditional MRR before and after the
-    rerank, rank changes, success rate of the first result. queries: query_id, truth_id."""
+    rerank, rank changes, failures, and of the FINAL first results the share that improves by over epsilon. queries: query_id, truth_id."""
     truth = queries.select("query_id", F.col("truth_id").alias("item_id"))
     of = candidates.select("query_id", "item_id", "item_rank", "context_rank", "order_rank").join(ranked.select("query_id", "item_id", "final_rank"), ["query_id", "item_id"], "left").join(truth, ["query_id", "item_id"])
-    first = ranked.where("final_rank = 1").select("query_id", (F.col("improvement") > epsilon).alias("success"))
-    df = queries.select("query_id").join(of.drop("item_id"), "query_id", "left").join(first, "query_id", "left")
+    final = ranked.where(F.col("final_rank") <= FINAL).groupBy("query_id").agg(F.count("*").alias("_final"), F.count_if(F.col("improvement") > epsilon).alias("_better"))
+    df = queries.select("query_id").join(of.drop("item_id"), "query_id", "left").join(final, "query_id", "left")
     mean = lambda c: F.avg(F.coalesce(c, F.lit(False)).cast("double"))
     change = F.col("order_rank") - F.col("final_rank")
     sums = [F.count("*").alias("n_queries")]
     for channel, column in (("item", "item_rank"), ("context", "context_rank"), ("hybrid", "order_rank")):
         sums += [mean(F.col(column) <= d).alias(f"{channel}_recall_{d}") for d in depths]
-    has = F.col("order_rank").isNotNull()
+    has, shown = F.col("order_rank").isNotNull(), F.coalesce("_final", F.lit(0))
+    sums += [F.count_if(~F.coalesce(F.col("order_rank") <= K, F.lit(False))).alias("ground_truth_not_in_hybrid_top200"), F.count_if(~has).alias("ground_truth_not_in_full_union"), F.count_if(has & F.col("final_rank").isNull()).alias("ground_truth_missing_after_rerank"), F.count_if(shown < FINAL).alias("fewer_than_three_final_candidates")]
+    sums += [F.sum(F.coalesce("_better", F.lit(0))).alias("successful"), F.sum(shown).alias("evaluated_recommendations")]
     part = lambda c: F.avg(F.when(has, c.cast("double")))
-    sums += [mean(has).alias("coverage"), part(F.lit(1.0) / F.col("order_rank")).alias("mrr_before"), part(F.lit(1.0) / F.col("final_rank")).alias("mrr_after"), part(change > 0).alias("improved"), part(change == 0).alias("unchanged"), part(change < 0).alias("worsened"), part(change).alias("mean_change"), F.percentile(change, F.lit(0.5)).alias("median_change"), mean(F.col("success")).alias("success_rate"), F.avg((F.coalesce("final_rank", F.lit(1 << 30)) <= 1).cast("double")).alias("hit_1"), F.avg((F.coalesce("final_rank", F.lit(1 << 30)) <= 3).cast("double")).alias("hit_3"), F.avg(F.coalesce(F.lit(1.0) / F.col("final_rank"), F.lit(0.0))).alias("mrr")]
+    sums += [mean(has).alias("coverage"), part(F.lit(1.0) / F.col("order_rank")).alias("mrr_before"), part(F.lit(1.0) / F.col("final_rank")).alias("mrr_after"), part(change > 0).alias("improved"), part(change == 0).alias("unchanged"), part(change < 0).alias("worsened"), part(change).alias("mean_change"), F.percentile(change, F.lit(0.5)).alias("median_change"), F.try_divide(F.sum("_better").cast("double"), F.sum("_final")).alias("success_rate"), F.avg((F.coalesce("final_rank", F.lit(1 << 30)) <= 1).cast("double")).alias("hit_1"), F.avg((F.coalesce("final_rank", F.lit(1 << 30)) <= 3).cast("double")).alias("hit_3"), F.avg(F.coalesce(F.lit(1.0) / F.col("final_rank"), F.lit(0.0))).alias("mrr")]
     return df.agg(*sums)
 
 
-def exclusion(swap: Column, n_items: Column, has_vectors: Column, has_metadata: Column, has_image: Column) -> Column:
-    """Why an evaluation leaves a sample out, the first reason in this order, else null."""
-    bad = swap.isNull() | swap["position"].isNull() | (swap["position"] < 0) | (swap["position"] >= n_items) | swap["original_item_id"].isNull()
-    return F.when(bad, "invalid_negative_metadata").when(~has_vectors, "missing_embedding").when(~has_metadata, "missing_metadata").when(~has_image, "missing_image")
+#: Why an evaluation leaves a sample out, in the order of tests.
+EXCLUSIONS = ("missing_negative_metadata", "invalid_negative_metadata", "missing_embedding", "missing_metadata", "missing_image")
+
+
+def required_items(records: DataFrame, vectors: DataFrame, metadata: DataFrame, images: DataFrame) -> DataFrame:
+    """records: sample_id, items (ids), swap (struct). Adds exclusion (the first reason of EXCLUSIONS, else null) and required,
+    has_vector, has_metadata, has_image: how many of the items and the original one there are, and how many have each.
+
+    vectors, metadata, images: item_id of those that are there. Three joins by item.
+    """
+    swap = F.col("swap")
+    need = records.select("sample_id", F.explode(F.concat("items", F.filter(F.array(swap["original_item_id"]), lambda x: x.isNotNull() & (x != "")))).alias("item_id"))
+    for name, df in (("_v", vectors), ("_m", metadata), ("_i", images)):
+        need = need.join(df.select("item_id").distinct().withColumn(name, F.lit(True)), "item_id", "left")
+    n = need.groupBy("sample_id").agg(F.count("*").alias("required"), F.count("_v").alias("has_vector"), F.count("_m").alias("has_metadata"), F.count("_i").alias("has_image"))
+    at, filled = swap["position"], lambda c: F.coalesce(c != "", F.lit(False))
+    valid = F.coalesce((at >= 0) & (at < F.size("items")), F.lit(False)) & filled(swap["original_item_id"]) & filled(swap["replacement_item_id"])
+    valid = valid & F.coalesce(F.get("items", at) == swap["replacement_item_id"], F.lit(False))
+    tests = [swap.isNull(), ~valid, *(F.col(c) < F.col("required") for c in ("has_vector", "has_metadata", "has_image"))]
+    reason = F.coalesce(*(F.when(t, name) for name, t in zip(EXCLUSIONS, tests, strict=True)))
+    return records.join(n, "sample_id").withColumn("exclusion", reason)
+
+
+def coverage(checked: DataFrame) -> DataFrame:
+    """One row over required_items(): checks, available of each kind, their ratios, and how many samples each reason leaves out."""
+    df = checked.agg(F.count("*").alias("total_queries"), F.count_if(F.col("exclusion").isNull()).alias("valid_queries"), F.sum("required").alias("required_item_checks"), F.sum("has_vector").alias("embedding_available"), F.sum("has_metadata").alias("metadata_available"), F.sum("has_image").alias("image_available"), *(F.count_if(F.col("exclusion") == r).alias(r) for r in EXCLUSIONS))
+    ratio = lambda c: F.coalesce(F.try_divide(F.col(c).cast("double"), F.col("required_item_checks")), F.lit(0.0))
+    return df.withColumns({"embedding_ratio": ratio("embedding_available"), "metadata_ratio": ratio("metadata_available"), "image_ratio": ratio("image_available")})
 
 
 def trace(queries: DataFrame, candidates: DataFrame, final: DataFrame, *, k: int = K) -> DataFrame:

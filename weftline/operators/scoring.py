@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import dot, pair_count, unit, vector_sum
+from ..functions.scalars import bound, dot, pair_count, unit, vector_sum
 
 
 def with_vectors(records: DataFrame, catalog: DataFrame, *keep: str) -> DataFrame:
@@ -24,8 +24,7 @@ def with_vectors(records: DataFrame, catalog: DataFrame, *keep: str) -> DataFram
 
 def pair_sum(vectors: Column, dim: int) -> Column:
     """The sum of inner products over all pairs: (|sum|^2 - sum of |v|^2) / 2."""
-    total = vector_sum(vectors, dim)
-    return (dot(total, total) - F.aggregate(vectors, F.lit(0.0), lambda s, v: s + dot(v, v))) / F.lit(2.0)
+    return (bound(vector_sum(vectors, dim), lambda total: dot(total, total)) - F.aggregate(vectors, F.lit(0.0), lambda s, v: s + dot(v, v))) / F.lit(2.0)
 
 
 def mean_pair_cosine(vectors: Column, dim: int) -> Column:
@@ -121,4 +120,4 @@ def learned_logits(outfits: DataFrame, model: PairScorer, *keep: str) -> DataFra
 
 def centroid(vectors: Column, dim: int) -> Column:
     """The unit vector of the mean; null if the mean is zero."""
-    return unit(F.transform(vector_sum(vectors, dim), lambda x: x / F.size(vectors)))
+    return bound(F.size(vectors), lambda n: unit(F.transform(vector_sum(vectors, dim), lambda x: x / n)))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import percent_score, sigmoid
 from ..operators import metrics, scoring
 from . import domain as d
-from .domain import query
+from .domain import query, staged
 
 SCALE, BIAS = 0.47218, -0.17733
 
@@ -18,7 +18,7 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def entries(spark: SparkSession, sf: str) -> DataFrame:
-    return scoring.with_vectors(d.records(spark, sf), d.item_vectors(spark, sf), "sample_id", "split", "label")
+    return staged(spark, sf, "entries", lambda: scoring.with_vectors(d.records(spark, sf), d.item_vectors(spark, sf), "sample_id", "split", "label"))
 
 
 @query("item_pairs", "SELECT n_items::INTEGER AS n_items, count(*) AS n_pairs, round(avg(cosine), 6) AS mean_cosine FROM pairs GROUP BY 1", "pairs")
@@ -48,10 +48,10 @@ def context_centroids(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def loo(spark: SparkSession, sf: str) -> DataFrame:
-    return scoring.leave_one_out(entries(spark, sf).where("label = 0"), d.DIM, "sample_id")
+    return staged(spark, sf, "leave-one-out", lambda: scoring.leave_one_out(entries(spark, sf).where("label = 0"), d.DIM, "sample_id"))
 
 
-@query("leave_one_out", "SELECT sample_id, n_items::INTEGER AS n_items, position::INTEGER AS position, rank::INTEGER AS rank, item_id, round(full_logit, 6) AS full_logit, round(logit_without, 6) AS logit_without, round(delta, 6) AS delta FROM loo WHERE sample_id LIKE '%_neg'", "loo")
+@query("leave_one_out", "SELECT sample_id, n_items::INTEGER AS n_items, position::INTEGER AS position, rank::INTEGER AS rank, item_id, round(full_logit, 6) AS full_logit, round(logit_without, 6) AS logit_without, round(delta, 6) AS delta FROM loo WHERE sample_id LIKE '%_neg_1'", "loo")
 def leave_one_out(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(loo(spark, sf))
 

@@ -68,7 +68,7 @@ def clean_positives(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("outfit_lengths", "SELECT n_items, count(*) AS n_outfits FROM (SELECT count(*) AS n_items FROM core GROUP BY kit_id) WHERE n_items >= 3 GROUP BY 1", "core")
 def outfit_lengths(spark: SparkSession, sf: str) -> DataFrame:
-    return clean.length_histogram(clean.outfits(d.core(spark, sf), most=None))
+    return clean.length_histogram(clean.outfits(d.core(spark, sf)))
 
 
 @query("debug_kits", "SELECT kit_id, split FROM kits ORDER BY kit_id LIMIT 100", "kits")
@@ -77,7 +77,7 @@ def debug_kits(spark: SparkSession, sf: str) -> DataFrame:
     return d.kits(spark, sf).select("kit_id", "split").orderBy("kit_id").limit(100)
 
 
-@query("item_metadata", "SELECT *, 'item_metadata_v1' AS item_metadata_version, 'mapping_v2' AS category_mapping_version FROM meta", "meta")
+@query("item_metadata", "SELECT *, 'core7-item-metadata-v1' AS item_metadata_version, 'core7-v2' AS category_mapping_version FROM meta", "meta")
 def item_metadata(spark: SparkSession, sf: str) -> DataFrame:
     return d.metadata(spark, sf)
 

@@ -19,7 +19,7 @@ def docs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("evidence_documents", """SELECT l.sample_id, any_value(l.n_items)::INTEGER AS n_items, max(CASE WHEN rank = 1 THEN position END)::INTEGER AS problematic_item_index, max(CASE WHEN rank = 1 THEN item_id END) AS problematic_item_id, max(CASE WHEN rank = 1 THEN coarse END) AS problematic_category,
-  round(max(CASE WHEN rank = 1 THEN delta END) - max(CASE WHEN rank = 2 THEN delta END), 6) + 0.0 AS top1_top2_delta_gap, any_value(l.n_items) = 3 AS uses_two_item_extrapolation, string_agg(position, ',' ORDER BY rank) AS ranking FROM loo l JOIN core USING (item_id) WHERE sample_id LIKE '%_neg' GROUP BY 1""", "loo", "core")
+  round(max(CASE WHEN rank = 1 THEN delta END) - max(CASE WHEN rank = 2 THEN delta END), 6) + 0.0 AS top1_top2_delta_gap, any_value(l.n_items) = 3 AS uses_two_item_extrapolation, string_agg(position, ',' ORDER BY rank) AS ranking FROM loo l JOIN core USING (item_id) WHERE sample_id LIKE '%_neg_1' GROUP BY 1""", "loo", "core")
 def evidence_documents(spark: SparkSession, sf: str) -> DataFrame:
     x = docs(spark, sf).withColumn("ranking", F.array_join(F.transform("ranked_items", lambda r: r["item_index"].cast("string")), ","))
     return rounded(x.drop("ranked_items", "full_logit"))
@@ -28,7 +28,7 @@ def evidence_documents(spark: SparkSession, sf: str) -> DataFrame:
 @query("evidence_issues", """SELECT code, count(*) AS n FROM (SELECT unnest(CASE WHEN r = 1 THEN ['delta_identity'] WHEN r = 2 THEN ['gap_identity'] WHEN r = 3 THEN ['problem_not_first'] WHEN r = 4 THEN ['extrapolation_flag'] ELSE [] END) AS code FROM (SELECT source_kit_id::BIGINT % 30 AS r FROM records WHERE label = 0)) GROUP BY code""", "records")
 def evidence_issues(spark: SparkSession, sf: str) -> DataFrame:
     """The document validator over documents with one fault for each of a few residues of the kit number."""
-    r = F.expr("cast(replace(sample_id, '_neg', '') as bigint)") % 30
+    r = F.expr("cast(replace(sample_id, '_neg_1', '') as bigint)") % 30
     bad = docs(spark, sf).withColumns({
         "full_logit": F.when(r == 1, F.col("full_logit") + 1.0).otherwise(F.col("full_logit")), "top1_top2_delta_gap": F.when(r == 2, F.col("top1_top2_delta_gap") + 1.0).otherwise(F.col("top1_top2_delta_gap")),
         "problematic_item_index": F.when(r == 3, F.col("problematic_item_index") + 1).otherwise(F.col("problematic_item_index")), "uses_two_item_extrapolation": F.when(r == 4, ~F.col("uses_two_item_extrapolation")).otherwise(F.col("uses_two_item_extrapolation")),
@@ -40,12 +40,12 @@ VI = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in evidence.CATEGORY_VI.items())
 
 
 @query("explanations", f"""SELECT sample_id, 'Món ' || max(CASE WHEN rank = 1 THEN position END) || ' (' || max(CASE WHEN rank = 1 THEN CASE coarse {VI} END END) || ') đứng đầu khi bỏ lần lượt từng món.' AS headline,
-  'loo_certainty_not_calibrated,visual_labels_are_inferences' || CASE WHEN any_value(n_items) = 3 THEN ',loo_uses_two_item_extrapolation' ELSE '' END AS limitations FROM loo JOIN core USING (item_id) WHERE sample_id LIKE '%_neg' GROUP BY 1""", "loo", "core")
+  'loo_certainty_not_calibrated,visual_labels_are_inferences' || CASE WHEN any_value(n_items) = 3 THEN ',loo_uses_two_item_extrapolation' ELSE '' END AS limitations FROM loo JOIN core USING (item_id) WHERE sample_id LIKE '%_neg_1' GROUP BY 1""", "loo", "core")
 def explanations(spark: SparkSession, sf: str) -> DataFrame:
     return evidence.explained(docs(spark, sf)).select("sample_id", "headline", "limitations")
 
 
-@query("prompt_contexts", "SELECT sample_id, max(CASE WHEN rank = 1 THEN position END)::INTEGER AS problematic_item_index, string_agg(coarse, ',' ORDER BY position) AS categories FROM loo JOIN core USING (item_id) WHERE sample_id LIKE '%_neg' GROUP BY 1", "loo", "core")
+@query("prompt_contexts", "SELECT sample_id, max(CASE WHEN rank = 1 THEN position END)::INTEGER AS problematic_item_index, string_agg(coarse, ',' ORDER BY position) AS categories FROM loo JOIN core USING (item_id) WHERE sample_id LIKE '%_neg_1' GROUP BY 1", "loo", "core")
 def prompt_contexts(spark: SparkSession, sf: str) -> DataFrame:
     return evidence.prompt_context(docs(spark, sf)).select("sample_id", "problematic_item_index", F.array_join("items.coarse_category", ",").alias("categories"))
 

@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import wide
 from ..operators import clean, negatives, scoring
+from ..sources.staging import staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 ORDER = ["l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice"]
 DIM = 64
-META_VERSION, MAP_VERSION = "item_metadata_v1", "mapping_v2"
+# Versions that item metadata and its mapping state.
+META_VERSION, MAP_VERSION = "core7-item-metadata-v1", "core7-v2"
 
 
 def query(name: str, sql: str | None, *needs: str):
@@ -35,7 +37,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def held(df: DataFrame) -> DataFrame:
-    """A table that one query reads several times: kept on the executors, in memory and then on disk, recomputed where lost."""
+    """A small table that one query reads several times: kept on the executors, in memory and then on disk, recomputed where lost."""
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
@@ -70,27 +72,27 @@ def overrides(spark: SparkSession) -> DataFrame:
 
 
 def items(spark: SparkSession, sf: str) -> DataFrame:
-    return clean.clean_items(raw_items(spark, sf), [F.col(c) for c in ORDER])
+    return staged(spark, sf, "items", lambda: clean.clean_items(raw_items(spark, sf), [F.col(c) for c in ORDER]))
 
 
 def core(spark: SparkSession, sf: str) -> DataFrame:
-    return clean.core_items(items(spark, sf), base_mapping(spark))
+    return staged(spark, sf, "core", lambda: clean.core_items(items(spark, sf), base_mapping(spark)))
 
 
 def samples(spark: SparkSession, sf: str) -> DataFrame:
-    return clean.outfits(core(spark, sf)).join(kits(spark, sf).select("kit_id", "split"), "kit_id")
+    return staged(spark, sf, "samples", lambda: clean.outfits(core(spark, sf)).join(kits(spark, sf).select("kit_id", "split"), "kit_id"))
 
 
 def metadata(spark: SparkSession, sf: str) -> DataFrame:
-    return clean.item_metadata(samples(spark, sf), core(spark, sf), version=META_VERSION, mapping_version=MAP_VERSION)
+    return staged(spark, sf, "metadata", lambda: clean.item_metadata(samples(spark, sf), core(spark, sf), version=META_VERSION, mapping_version=MAP_VERSION))
 
 
 def made_negatives(spark: SparkSession, sf: str) -> DataFrame:
-    return negatives.negatives(samples(spark, sf), metadata(spark, sf))
+    return staged(spark, sf, "negatives", lambda: negatives.negatives(samples(spark, sf), metadata(spark, sf)))
 
 
 def records(spark: SparkSession, sf: str) -> DataFrame:
-    return negatives.families(samples(spark, sf), made_negatives(spark, sf))
+    return staged(spark, sf, "records", lambda: negatives.families(samples(spark, sf), made_negatives(spark, sf)))
 
 
 def vectors(spark: SparkSession, sf: str) -> DataFrame:
@@ -107,6 +109,10 @@ def item_vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 def scored_records(spark: SparkSession, sf: str) -> DataFrame:
     """Predictions of the stand-in scorer: sample_id, split, pair_id, label, n_items, compatibility_logit."""
+    return staged(spark, sf, "scored", lambda: _scored(spark, sf))
+
+
+def _scored(spark: SparkSession, sf: str) -> DataFrame:
     r = scoring.with_vectors(records(spark, sf), item_vectors(spark, sf), "sample_id", "split", "pair_id", "label")
     return scoring.scored(r, DIM).select("sample_id", "split", "pair_id", "label", F.size("entries").alias("n_items"), F.round("compatibility_logit", 9).alias("compatibility_logit"))
 
@@ -117,6 +123,10 @@ def catalog(spark: SparkSession, sf: str) -> DataFrame:
 
 def test_queries(spark: SparkSession, sf: str) -> DataFrame:
     """Negatives of the test split as retrieval queries: the swapped position is the problem, the original's vector the truth."""
+    return staged(spark, sf, "queries", lambda: _test_queries(spark, sf))
+
+
+def _test_queries(spark: SparkSession, sf: str) -> DataFrame:
     r = records(spark, sf).where("label = 0 and split = 'test'").select("sample_id", "items", F.col("swap.position").alias("problem"), F.col("swap.original_item_id").alias("_orig"))
     iv = item_vectors(spark, sf).select("item_id", "vec_id", "label", "v")
     name = F.concat(F.lit("v"), F.col("vec_id").cast("string"))
@@ -138,7 +148,7 @@ PARTS = {
     "mapping": """SELECT 'Brand#' || n AS master, CASE WHEN n >= 21 THEN 'DROP' WHEN n >= 19 THEN 'HAT' WHEN n >= 16 THEN 'BAG' WHEN n >= 13 THEN 'SHOES' WHEN n >= 10 THEN 'OUTERWEAR' WHEN n >= 8 THEN 'DRESS' WHEN n >= 5 THEN 'BOTTOM' ELSE 'TOP' END AS coarse FROM range(1, 27) t(n)""",
     "core": "SELECT items.*, coarse FROM items JOIN mapping USING (master) WHERE coarse <> 'DROP'",
     "kits": "SELECT o_orderkey::VARCHAR AS kit_id, CASE o_orderstatus WHEN 'F' THEN 'train' WHEN 'O' THEN 'valid' ELSE 'test' END AS split, o_orderpriority FROM orders",
-    "samples": """SELECT split, kit_id, n_items, ids FROM (SELECT kit_id, count(*) AS n_items, list(item_id ORDER BY slot NULLS LAST, item_id) AS ids FROM core GROUP BY kit_id) JOIN kits USING (kit_id) WHERE n_items BETWEEN 3 AND 8""",
+    "samples": """SELECT split, kit_id, n_items, ids FROM (SELECT kit_id, count(*) AS n_items, list(item_id ORDER BY slot NULLS LAST, item_id) AS ids FROM core GROUP BY kit_id) JOIN kits USING (kit_id) WHERE n_items >= 3""",
     "used": "SELECT split, kit_id, n_items, unnest(ids) AS item_id, generate_subscripts(ids, 1) - 1 AS pos FROM samples",
     "meta": "SELECT DISTINCT used.split, core.item_id, core.kit_id AS source_kit_id, core.slot, core.master, core.coarse FROM used JOIN core USING (item_id)",
     "pool": "SELECT *, row_number() OVER (PARTITION BY split, master ORDER BY substr(sha256(item_id), 1, 2), item_id) - 1 AS pool_index, count(*) OVER (PARTITION BY split, master) AS pool_size FROM meta",
@@ -151,7 +161,7 @@ PARTS = {
   FROM (SELECT *, unnest(range(0, own + 1)) AS step FROM spot) s JOIN pool p ON p.split = s.split AND p.master = s.master AND p.pool_index = (s.start + s.step) % s.pool_size WHERE p.source_kit_id <> s.kit_id""",
     "neg": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY split, kit_id ORDER BY step) AS r FROM probe) WHERE r = 1",
     "records": """SELECT s.split, s.kit_id || '_pos' AS sample_id, s.kit_id AS source_kit_id, NULL::VARCHAR AS pair_id, 1 AS label, ids, NULL::BIGINT AS problem, NULL::VARCHAR AS original_item_id, NULL::VARCHAR AS replacement_item_id FROM samples s JOIN neg USING (split, kit_id)
-  UNION ALL SELECT s.split, s.kit_id || '_neg', s.kit_id, s.kit_id || '_pos', 0, list_transform(ids, lambda x, i: CASE WHEN i - 1 = position THEN replacement_item_id ELSE x END), position, original_item_id, replacement_item_id FROM samples s JOIN neg USING (split, kit_id)""",
+  UNION ALL SELECT s.split, s.kit_id || '_neg_1', s.kit_id, s.kit_id || '_pos', 0, list_transform(ids, lambda x, i: CASE WHEN i - 1 = position THEN replacement_item_id ELSE x END), position, original_item_id, replacement_item_id FROM samples s JOIN neg USING (split, kit_id)""",
     "vec": "SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings",
     "itemvec": """SELECT item_id, vec_id, label, v, CASE coarse WHEN 'TOP' THEN 1 WHEN 'BOTTOM' THEN 2 WHEN 'DRESS' THEN 3 WHEN 'OUTERWEAR' THEN 4 WHEN 'SHOES' THEN 5 WHEN 'BAG' THEN 6 WHEN 'HAT' THEN 7 END AS coarse_id FROM core JOIN vec ON vec_id = slot % (SELECT count(*) FROM embeddings)""",
     "entry": "SELECT sample_id, split, pair_id, r.label, problem, original_item_id, len(ids) AS n_items, pos, item_id, vec_id, v, itemvec.label AS vlabel, coarse_id FROM (SELECT *, unnest(ids) AS item_id, generate_subscripts(ids, 1) - 1 AS pos FROM records) r JOIN itemvec USING (item_id)",

@@ -5,20 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import dot
 from ..operators import recommend
 from . import domain as d
 from .agreement import rounded
-from .domain import query
+from .domain import query, staged
 
 
 def prepared(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    return d.held(recommend.retrieval_queries(d.test_queries(spark, sf), d.DIM)), d.catalog(spark, sf)
+    return staged(spark, sf, "retrieval-queries", lambda: recommend.retrieval_queries(d.test_queries(spark, sf), d.DIM)), d.catalog(spark, sf)
 
 
 def candidates(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     q, c = prepared(spark, sf)
-    return q, c, d.held(recommend.hybrid(q, c))
+    return q, c, staged(spark, sf, "candidates", lambda: recommend.hybrid(q, c))
 
 
 @query("catalog_search", """SELECT query_id, item_id, round(similarity, 6) AS similarity, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, item_id) AS rank
@@ -26,7 +25,7 @@ def candidates(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, Data
 def catalog_search(spark: SparkSession, sf: str) -> DataFrame:
     c = d.catalog(spark, sf)
     q = c.select(F.col("item_id").alias("query_id"), F.col("item_id").alias("own_id"), "master", "v")
-    return rounded(recommend.catalog_search(q, c, k=10, scope=["master"]))
+    return rounded(recommend.catalog_search(q, c, k=10, scope="master"))
 
 
 @query("hybrid_candidates", "SELECT query_id, item_id, item_rank::INTEGER AS item_rank, context_rank::INTEGER AS context_rank, order_rank::INTEGER AS order_rank FROM cand", "cand")
@@ -34,18 +33,33 @@ def hybrid_candidates(spark: SparkSession, sf: str) -> DataFrame:
     return candidates(spark, sf)[2].select("query_id", "item_id", "item_rank", "context_rank", "order_rank")
 
 
-@query("retrieval_counters", """SELECT q.query_id, CASE WHEN problem_master IS NULL THEN 'core7_fallback' ELSE 'master_category' END AS scope, coalesce(n_pool, 0) AS n_pool, coalesce(n_own, 0) AS n_own, coalesce(n_item, 0) AS n_item, coalesce(n_context, 0) AS n_context, coalesce(n_both, 0) AS n_both, coalesce(n_union, 0) AS n_union FROM q
-  LEFT JOIN (SELECT query_id, count(*) AS n_pool FROM scope GROUP BY 1) USING (query_id)
-  LEFT JOIN (SELECT query_id, count(*) AS n_own FROM (SELECT DISTINCT query_id, problem_master, problem_coarse_id, unnest(item_ids) AS item_id FROM q) o JOIN catalog c USING (item_id) WHERE CASE WHEN problem_master IS NULL THEN c.coarse_id = problem_coarse_id ELSE c.master = problem_master END GROUP BY 1) USING (query_id)
-  LEFT JOIN (SELECT query_id, count(item_rank) AS n_item, count(context_rank) AS n_context, count(*) FILTER (item_rank IS NOT NULL AND context_rank IS NOT NULL) AS n_both, count(*) AS n_union FROM cand GROUP BY 1) USING (query_id)""", "q", "scope", "cand", "catalog")
+def faulty_pool(spark: SparkSession, sf: str) -> DataFrame:
+    """The catalog as the pools name it, against metadata, vectors and images that lack some of its items."""
+    c = d.catalog(spark, sf).withColumn("n", F.substring("item_id", 2, 20).cast("long"))
+    own = c.where("n % 29 <> 3").select("item_id", F.when(F.col("n") % 23 == 1, None).otherwise(F.col("master")).alias("own_master"), F.col("coarse_id").alias("own_coarse"))
+    return recommend.pool_states(c.drop("n"), own, c.where("n % 19 <> 2"), c.where("n % 17 <> 3"))
+
+
+POOL = "(SELECT *, CASE WHEN n % 29 = 3 OR n % 23 = 1 THEN 'm' WHEN n % 19 = 2 THEN 'e' WHEN n % 17 = 3 THEN 'i' ELSE 'ok' END AS state FROM (SELECT *, substr(item_id, 2)::BIGINT AS n FROM catalog))"
+
+
+@query("pool_states", f"SELECT master, CASE state WHEN 'm' THEN 'missing_metadata' WHEN 'e' THEN 'missing_embedding' WHEN 'i' THEN 'missing_image' ELSE 'eligible' END AS state, count(*) AS n FROM {POOL} GROUP BY ALL", "catalog")
+def pool_states(spark: SparkSession, sf: str) -> DataFrame:
+    return faulty_pool(spark, sf).groupBy("master", "state").agg(F.count("*").alias("n"))
+
+
+@query("retrieval_counters", f"""SELECT q.query_id, CASE WHEN problem_master IS NULL THEN 'core7_fallback' ELSE 'exact_master_category' END AS retrieval_scope, problem_master IS NULL AS used_core7_fallback, coalesce(n_ok, 0) AS category_pool_count, coalesce(n_m, 0) AS missing_metadata_count, coalesce(n_e, 0) AS missing_embedding_count,
+  coalesce(n_i, 0) AS missing_image_count, coalesce(n_item, 0) AS problematic_hit_count, coalesce(n_context, 0) AS context_hit_count, coalesce(n_both, 0) AS both_count, coalesce(n_union, 0) AS union_count FROM q
+  LEFT JOIN (SELECT query_id, count(*) FILTER (state = 'ok') AS n_ok, count(*) FILTER (state = 'm') AS n_m, count(*) FILTER (state = 'e') AS n_e, count(*) FILTER (state = 'i') AS n_i FROM q JOIN {POOL} c ON (q.problem_master IS NOT NULL AND c.master = q.problem_master OR q.problem_master IS NULL AND c.coarse_id = q.problem_coarse_id) AND NOT list_contains(q.item_ids, c.item_id) GROUP BY 1) USING (query_id)
+  LEFT JOIN (SELECT query_id, count(item_rank) AS n_item, count(context_rank) AS n_context, count(*) FILTER (item_rank IS NOT NULL AND context_rank IS NOT NULL) AS n_both, count(*) AS n_union FROM cand GROUP BY 1) USING (query_id)""", "q", "cand", "catalog")
 def retrieval_counters(spark: SparkSession, sf: str) -> DataFrame:
-    q, c, found = candidates(spark, sf)
-    return recommend.retrieval_counters(q, c, found)
+    q, _, found = candidates(spark, sf)
+    return recommend.retrieval_counters(q, faulty_pool(spark, sf), found)
 
 
 def ranked(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     q, c, found = candidates(spark, sf)
-    return q, c, found, recommend.reranked(q, found, c, d.DIM)
+    return q, c, found, staged(spark, sf, "reranked", lambda: recommend.reranked(q, found, c, d.DIM))
 
 
 @query("reranked_candidates", "SELECT query_id, item_id, order_rank::INTEGER AS order_rank, used_category_id, false AS used_fallback, logit, round(improvement, 6) + 0.0 AS improvement, final_rank::INTEGER AS final_rank FROM ranked", "ranked")
@@ -65,8 +79,9 @@ RECALL = ", ".join(f"round(avg(coalesce({c} <= {k}, false)::INT), 6) AS {n}_reca
 
 @query("retrieval_evaluation", f"""SELECT count(*) AS n_queries, {RECALL}, round(avg((order_rank IS NOT NULL)::INT), 6) AS coverage, round(avg(1.0 / order_rank), 6) AS mrr_before, round(avg(1.0 / final_rank), 6) AS mrr_after,
   round(avg((order_rank > final_rank)::INT), 6) AS improved, round(avg((order_rank = final_rank)::INT), 6) AS unchanged, round(avg((order_rank < final_rank)::INT), 6) AS worsened, round(avg(order_rank - final_rank), 6) AS mean_change, round(quantile_cont(order_rank - final_rank, 0.5), 6) AS median_change,
-  round(avg(coalesce(success, false)::INT), 6) AS success_rate, round(avg(coalesce(final_rank <= 1, false)::INT), 6) AS hit_1, round(avg(coalesce(final_rank <= 3, false)::INT), 6) AS hit_3, round(avg(coalesce(1.0 / final_rank, 0)), 6) AS mrr
-  FROM q LEFT JOIN (SELECT c.query_id, c.item_id AS truth_id, item_rank, context_rank, c.order_rank, final_rank FROM cand c JOIN ranked r USING (query_id, item_id)) t USING (query_id, truth_id) LEFT JOIN (SELECT query_id, improvement > 0 AS success FROM ranked WHERE final_rank = 1) USING (query_id)""", "q", "cand", "ranked")
+  count(*) FILTER (NOT coalesce(order_rank <= 200, false)) AS ground_truth_not_in_hybrid_top200, count(*) FILTER (order_rank IS NULL) AS ground_truth_not_in_full_union, count(*) FILTER (order_rank IS NOT NULL AND final_rank IS NULL) AS ground_truth_missing_after_rerank, count(*) FILTER (coalesce(n_final, 0) < 3) AS fewer_than_three_final_candidates,
+  sum(coalesce(n_better, 0))::BIGINT AS successful, sum(coalesce(n_final, 0))::BIGINT AS evaluated_recommendations, round(sum(n_better) / sum(n_final)::DOUBLE, 6) AS success_rate, round(avg(coalesce(final_rank <= 1, false)::INT), 6) AS hit_1, round(avg(coalesce(final_rank <= 3, false)::INT), 6) AS hit_3, round(avg(coalesce(1.0 / final_rank, 0)), 6) AS mrr
+  FROM q LEFT JOIN (SELECT c.query_id, c.item_id AS truth_id, item_rank, context_rank, c.order_rank, final_rank FROM cand c JOIN ranked r USING (query_id, item_id)) t USING (query_id, truth_id) LEFT JOIN (SELECT query_id, count(*) AS n_final, count(*) FILTER (improvement > 0) AS n_better FROM ranked WHERE final_rank <= 3 GROUP BY 1) USING (query_id)""", "q", "cand", "ranked")
 def retrieval_evaluation(spark: SparkSession, sf: str) -> DataFrame:
     q, _, found, r = ranked(spark, sf)
     return rounded(recommend.evaluation(q, found, d.held(r)))
@@ -77,11 +92,10 @@ def retrieval_evaluation(spark: SparkSession, sf: str) -> DataFrame:
 def rank_then_filter(spark: SparkSession, sf: str) -> DataFrame:
     """The earlier retrieval: the whole catalog is ranked, then filtered. The query set meets the catalog in blocks of both."""
     q, c = prepared(spark, sf)
-    blocks = max(1, c.count() // 4096)
-    asked = q.select("query_id", "item_query", "problem_master", "item_ids", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
-    pairs = asked.join(c.select("item_id", "master", "v", F.pmod(F.xxhash64("item_id"), F.lit(blocks)).alias("block")), "block")
-    hits = recommend.top_hits(pairs.select("query_id", "item_id", "master", "problem_master", "item_ids", F.round(dot(F.col("item_query"), F.col("v")), 9).alias("similarity")), "query_id", k=50)
-    return hits.where("master = problem_master").where(~F.array_contains("item_ids", F.col("item_id"))).select("query_id", "item_id", "rank")
+    asked = q.select("query_id", F.lit("all").alias("scope"), F.array().cast("array<string>").alias("own"), "item_query")
+    hits = recommend.block_hits(asked, c.select(F.lit("all").alias("scope"), "item_id", "v"), ["item_query"], k=50)
+    found = hits.join(c.select("item_id", "master"), "item_id").join(q.select("query_id", "problem_master", "item_ids"), "query_id")
+    return found.where("master = problem_master").where(~F.array_contains("item_ids", F.col("item_id"))).select("query_id", "item_id", "rank")
 
 
 @query("candidate_traces", """SELECT q.query_id, problem::INTEGER AS position, truth_id, list_aggregate(list_slice(coalesce(hybrid, []), 1, 200), 'string_agg', ',') AS hybrid, n_union FROM q LEFT JOIN (SELECT query_id, list(item_id ORDER BY order_rank) AS hybrid, count(*) AS n_union FROM cand GROUP BY 1) USING (query_id)""", "q", "cand")
@@ -94,8 +108,27 @@ def candidate_traces(spark: SparkSession, sf: str) -> DataFrame:
     return x.join(n, "query_id", "left").select("query_id", F.col("t.problematic_item_index").alias("position"), F.col("t.ground_truth_item_id").alias("truth_id"), F.array_join("t.hybrid_candidates_top200", ",").alias("hybrid"), "n_union")
 
 
-@query("evaluation_exclusions", """SELECT reason, count(*) AS n FROM (SELECT CASE WHEN label = 1 THEN 'invalid_negative_metadata' WHEN len(list_filter(ids, lambda x: x LIKE '%7')) > 0 THEN 'missing_embedding' WHEN len(list_filter(ids, lambda x: x LIKE '%3')) > 0 THEN 'missing_metadata' WHEN ids[1] LIKE '%1' THEN 'missing_image' END AS reason FROM records) GROUP BY 1""", "records")
+def faulty_samples(spark: SparkSession, sf: str) -> DataFrame:
+    """Records checked against vectors, metadata and images that lack some items; a few swaps are broken."""
+    r = d.records(spark, sf)
+    kit = F.col("source_kit_id").cast("long") % 40
+    swap = F.struct(F.when(kit == 2, 99).otherwise(F.col("swap.position")).alias("position"), F.col("swap.original_item_id"), F.when(kit == 3, "other").otherwise(F.col("swap.replacement_item_id")).alias("replacement_item_id"))
+    r = r.where("label = 0").withColumn("swap", F.when(kit != 1, swap))
+    items = d.core(spark, sf).select("item_id")
+    return recommend.required_items(r, items.where(~F.col("item_id").endswith("77")), items.where(~F.col("item_id").endswith("33")), items.where(~F.col("item_id").endswith("11")))
+
+
+CHECKED = """(SELECT *, CASE WHEN k = 1 THEN 'missing_negative_metadata' WHEN k IN (2, 3) THEN 'invalid_negative_metadata' WHEN v < n THEN 'missing_embedding' WHEN m < n THEN 'missing_metadata' WHEN i < n THEN 'missing_image' END AS exclusion
+  FROM (SELECT sample_id, k, len(need) AS n, len(list_filter(need, lambda x: x NOT LIKE '%77')) AS v, len(list_filter(need, lambda x: x NOT LIKE '%33')) AS m, len(list_filter(need, lambda x: x NOT LIKE '%11')) AS i
+    FROM (SELECT sample_id, source_kit_id::BIGINT % 40 AS k, CASE WHEN source_kit_id::BIGINT % 40 = 1 THEN ids ELSE list_append(ids, original_item_id) END AS need FROM records WHERE label = 0)))"""
+
+
+@query("evaluation_exclusions", f"SELECT exclusion, count(*) AS n FROM {CHECKED} GROUP BY 1", "records")
 def evaluation_exclusions(spark: SparkSession, sf: str) -> DataFrame:
-    has = lambda digit: F.exists("items", lambda x: x.endswith(digit))
-    reason = recommend.exclusion(F.col("swap"), F.size("items"), ~has("7"), ~has("3"), ~F.get("items", F.lit(0)).endswith("1"))
-    return d.records(spark, sf).groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
+    return faulty_samples(spark, sf).groupBy("exclusion").agg(F.count("*").alias("n"))
+
+
+@query("evaluation_coverage", f"""SELECT count(*) AS total_queries, count(*) FILTER (exclusion IS NULL) AS valid_queries, sum(n)::BIGINT AS required_item_checks, sum(v)::BIGINT AS embedding_available, sum(m)::BIGINT AS metadata_available, sum(i)::BIGINT AS image_available,
+  {", ".join(f"count(*) FILTER (exclusion = '{r}') AS {r}" for r in recommend.EXCLUSIONS)}, round(sum(v) / sum(n)::DOUBLE, 6) AS embedding_ratio, round(sum(m) / sum(n)::DOUBLE, 6) AS metadata_ratio, round(sum(i) / sum(n)::DOUBLE, 6) AS image_ratio FROM {CHECKED}""", "records")
+def evaluation_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(recommend.coverage(faulty_samples(spark, sf)))
