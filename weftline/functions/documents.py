@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 
@@ -58,6 +59,10 @@ def checked_json(column: Column, banned: set[str]) -> Column:
 
 
 def ordered_hash(df: DataFrame, value: Column, order: str, *, separator: str = "\n") -> DataFrame:
-    """sha256 of all values in order, joined: for manifests, whose lines fit one row. n, sha256."""
-    lines = F.array_sort(F.collect_list(F.struct(F.col(order), value.alias("_v"))))
-    return df.agg(F.count("*").alias("n"), F.sha2(F.array_join(F.transform(lines, lambda x: x["_v"]), separator), 256).alias("sha256"))
+    """sha256 of all values in order, joined: n, sha256. The executors sort; a hash takes its bytes one after the other, so the lines
+    then stream through the driver, one partition at a time."""
+    state, n = hashlib.sha256(), 0
+    for row in df.orderBy(order).select(value.alias("v")).toLocalIterator():
+        state.update((separator if n else "").encode() + (row.v or "").encode())
+        n += 1
+    return df.sparkSession.createDataFrame([(n, state.hexdigest())], "n long, sha256 string")

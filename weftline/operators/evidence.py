@@ -5,15 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import joined_vi
+from ..functions.scalars import dot, joined_vi, percent_score, sigmoid, vector_sum
 
 #: Tolerances of the identities that a document must keep.
 DELTA_TOLERANCE, GAP_TOLERANCE = 1e-5, 1e-7
 # Vietnamese names of the classes.
-CATEGORY_VI = {"TOP": "áo", "BOTTOM": "quần hoặc chân váy", "DRESS": "váy liền", "OUTERWEAR": "áo khoác", "SHOES": "giày dép", "BAG": "túi", "HAT": "mũ"}
+CATEGORY_VI = {"TOP": "áo trên", "BOTTOM": "quần hoặc váy dưới", "DRESS": "váy liền", "OUTERWEAR": "áo khoác", "SHOES": "giày", "BAG": "túi", "HAT": "mũ"}
 # Disclosures of each document, and the one for outfits of three items.
-LIMITATIONS = ("loo_certainty_not_calibrated", "visual_labels_are_inferences")
+LIMITATIONS = ("recommendation_not_implemented", "compatibility_logit_is_not_probability", "vlm_visual_observations_are_inferences")
 EXTRAPOLATION = "loo_uses_two_item_extrapolation"
+# Closed vocabularies of visual analyses.
+DIMENSIONS = ("color_harmony", "pattern_coherence", "silhouette_balance", "formality_alignment", "style_coherence")
+CONFIDENCES = ("low", "medium", "high")
+LOO_EFFECTS = ("supports_loo", "ambiguous", "contradicts_loo")
+RECOMMENDATION_EFFECTS = ("supports_recommendation", "ambiguous", "contradicts_recommendation")
+# Codes of refused requests, in the order of tests.
+REQUEST_CODES = ("insufficient_garments", "too_many_garments", "missing_embedding", "missing_category", "invalid_embedding_shape", "non_finite_embedding", "embedding_not_l2_normalized", "invalid_category", "duplicate_item_id")
+NORM_TOLERANCE = 1e-3
 
 
 def named_vi(coarse: Column) -> Column:
@@ -76,50 +84,156 @@ def prompt_context(docs: DataFrame) -> DataFrame:
     return docs.select("sample_id", items.alias("items"), "problematic_item_index", limitations(F.col("uses_two_item_extrapolation")).alias("limitations"))
 
 
-def recommendation_issues(recommendations: DataFrame, *, tolerance: float = 1e-5) -> DataFrame:
-    """query_id, code. recommendations: query_id, outfit_ids, problem_coarse_id, baseline, rows (rank, item_id, coarse_id, logit, improvement)."""
+def _found(df: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
+    broken = F.array(*(F.when(F.coalesce(c, F.lit(False)), F.lit(code)) for code, c in rules.items()))
+    return df.select(key, F.explode(F.filter(broken, lambda x: x.isNotNull())).alias("code"))
+
+
+def recommendation_issues(recommendations: DataFrame, *, tolerance: float = 1e-5, count: int = 3) -> DataFrame:
+    """query_id, code. recommendations: query_id, outfit_ids, problem_coarse, baseline, rows (rank, item_id, master, coarse, logit,
+    improvement); of scorer_ids, the reranked order, the first must be those of rows."""
     rows = F.col("rows")
     ids = F.transform(rows, lambda r: r["item_id"])
-    rules = {
-        "rank_sequence": F.transform(rows, lambda r: r["rank"].cast("int")) != F.transform(F.sequence(F.lit(1), F.size(rows)), lambda i: i.cast("int")),
-        "more_than_three": F.size(rows) > 3,
+    blank = lambda c: c.isNull() | (F.trim(c) == "")
+    bad = lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
+    place = F.transform(rows, lambda r: F.struct((-r["logit"]).alias("less"), r["item_id"].alias("id")))
+    return _found(recommendations, "query_id", {
+        "not_exactly_three_items": rows.isNull() | (F.size(rows) != count),
+        "rank_sequence": F.transform(rows, lambda r: r["rank"].cast("int")) != F.transform(F.sequence(F.lit(1), F.greatest(F.size(rows), F.lit(1))), lambda i: i.cast("int")),
+        "blank_field": F.exists(rows, lambda r: blank(r["item_id"]) | blank(r["master"]) | blank(r["coarse"])),
         "repeated_item": F.size(F.array_distinct(ids)) != F.size(ids),
         "item_of_the_outfit": F.arrays_overlap(ids, "outfit_ids"),
-        "other_class": F.exists(rows, lambda r: r["coarse_id"] != F.col("problem_coarse_id")),
+        "other_than_reranked": F.slice("scorer_ids", 1, count) != ids,
+        "unknown_category": F.exists(rows, lambda r: ~F.upper(r["coarse"]).isin(*CATEGORY_VI)),
+        "other_category": F.exists(rows, lambda r: F.upper(r["coarse"]) != F.col("problem_coarse")),
+        "logit_not_finite": F.exists(rows, lambda r: bad(r["logit"]) | bad(r["improvement"])),
         "improvement_identity": F.exists(rows, lambda r: F.abs(r["logit"] - F.col("baseline") - r["improvement"]) > tolerance),
-        "order": F.exists(F.sequence(F.lit(1), F.greatest(F.size(rows) - 1, F.lit(1))), lambda i: F.get(rows, i)["logit"] > F.get(rows, i - 1)["logit"]),
-    }
-    broken = F.array(*(F.when(F.coalesce(c, F.lit(False)), F.lit(code)) for code, c in rules.items()))
-    return recommendations.select("query_id", F.explode(F.filter(broken, lambda x: x.isNotNull())).alias("code"))
+        "order": F.array_sort(place) != place,
+    })
 
 
-def support_issues(analyses: DataFrame) -> DataFrame:
-    """sample_id, code of visual analyses. analyses: sample_id, n_items, problem, overall, observations (indices, dimension, effect, confidence)."""
-    obs = F.col("observations")
-    effects, confidences, overall = ("supports_problem", "contradicts_problem", "neutral"), ("low", "medium", "high"), ("supported", "contradicted", "inconclusive")
+def _vocabulary(obs: Column, effects: tuple[str, ...], prefix: str) -> dict[str, Column]:
+    out = lambda field, allowed: F.exists(obs, lambda o: ~F.coalesce(o[field].isin(*allowed), F.lit(False)))
+    return {f"{prefix}_dimension": out("dimension", DIMENSIONS), f"{prefix}_effect": out("effect", effects), f"{prefix}_confidence": out("confidence", CONFIDENCES)}
+
+
+def _support(overall: Column, obs: Column, effects: tuple[str, ...], prefix: str) -> dict[str, Column]:
+    """An overall label other than ambiguous needs an observation of the same effect."""
     has = lambda e: F.exists(obs, lambda o: o["effect"] == e)
-    rules = {
-        "unknown_overall": ~F.col("overall").isin(*overall),
-        "unknown_effect": F.exists(obs, lambda o: ~o["effect"].isin(*effects)),
-        "unknown_confidence": F.exists(obs, lambda o: ~o["confidence"].isin(*confidences)),
-        "index_out_of_range": F.exists(obs, lambda o: F.exists(o["indices"], lambda i: (i < 0) | (i >= F.col("n_items")))),
-        "problem_item_missing": F.exists(obs, lambda o: ~F.array_contains(o["indices"], F.col("problem"))),
-        "supported_without_evidence": (F.col("overall") == "supported") & ~has("supports_problem"),
-        "contradicted_without_evidence": (F.col("overall") == "contradicted") & ~has("contradicts_problem"),
+    yes, _, no = effects
+    return {
+        f"{prefix}_overall": ~F.coalesce(overall.isin(*effects), F.lit(False)),
+        f"{prefix}_overall_without_observations": (F.size(obs) == 0) & (overall != "ambiguous"),
+        f"{prefix}_support_without_observation": (F.size(obs) > 0) & (overall == yes) & ~has(yes),
+        f"{prefix}_contradiction_without_observation": (F.size(obs) > 0) & (overall == no) & ~has(no),
     }
-    broken = F.array(*(F.when(F.coalesce(c, F.lit(False)), F.lit(code)) for code, c in rules.items()))
-    return analyses.select("sample_id", F.explode(F.filter(broken, lambda x: x.isNotNull())).alias("code"))
 
 
-def cloned(analyses: Column) -> Column:
-    """Whether there are three or more analyses, all equal and all of high confidence."""
-    signature = F.array_distinct(F.transform(analyses, lambda a: F.to_json(a)))
-    return (F.size(analyses) >= 3) & (F.size(signature) == 1) & F.forall(analyses, lambda a: a["confidence"] == "high")
+def diagnosis_rules(n_items: Column, problem: Column, overall: Column, obs: Column, *, least: int = 1) -> dict[str, Column]:
+    """Rules of the observations of a diagnosis: item_indices (least of them, the problem item's among them), dimension, effect, confidence."""
+    i = lambda o: o["item_indices"]
+    return {
+        "diagnosis_too_many_observations": obs.isNull() | (F.size(obs) > n_items),
+        "diagnosis_index_count": F.exists(obs, lambda o: i(o).isNull() | (F.size(i(o)) < least) | (F.size(i(o)) > n_items)),
+        "diagnosis_unknown_item": F.exists(obs, lambda o: F.exists(i(o), lambda x: x.isNull() | (x < 0) | (x >= n_items))),
+        "diagnosis_repeated_index": F.exists(obs, lambda o: F.size(F.array_distinct(i(o))) != F.size(i(o))),
+        "diagnosis_without_problem_item": F.exists(obs, lambda o: ~F.array_contains(i(o), problem)),
+        **_vocabulary(obs, LOO_EFFECTS, "diagnosis"),
+        **_support(overall, obs, LOO_EFFECTS, "diagnosis"),
+    }
 
 
-def request_status(outfits: DataFrame, *, least: int = 3, most: int = 8) -> DataFrame:
-    """Requests answered or refused by the first rule that fails: request_id, status, error_code. outfits: request_id, item_ids, norms, coarse_ids."""
-    n = F.size("item_ids")
-    code = F.when(F.col("item_ids").isNull() | (n < least), "too_few_items").when(n > most, "too_many_items").when(F.size(F.array_distinct("item_ids")) != n, "duplicate_item_ids")
-    code = code.when(F.exists("coarse_ids", lambda c: c.isNull() | ~c.between(1, 7)), "invalid_category").when(F.exists("norms", lambda x: x.isNull() | F.isnan(x) | (F.abs(x - 1.0) > 1e-3)), "invalid_embedding")
-    return outfits.select("request_id", F.when(code.isNull(), "ok").otherwise("error").alias("status"), code.alias("error_code"))
+def recommendation_rules(n_items: Column, problem: Column, recs: Column) -> dict[str, Column]:
+    """Rules of three analyses of recommendations: rank, overall, observations (context_item_indices, never the problem item's)."""
+    i = lambda o: o["context_item_indices"]
+    any_obs = lambda f: F.exists(recs, lambda r: F.exists(r["observations"], f))
+    each = lambda rules: {k: F.exists(recs, lambda r: F.coalesce(rules(r)[k], F.lit(False))) for k in rules(F.get(recs, F.lit(0)))}
+    return {
+        "recommendations_not_three": recs.isNull() | (F.size(recs) != 3),
+        "recommendation_rank": F.transform(recs, lambda r: r["rank"].cast("int")) != F.array(F.lit(1), F.lit(2), F.lit(3)),
+        "recommendation_too_many_observations": F.exists(recs, lambda r: r["observations"].isNull() | (F.size(r["observations"]) > n_items - 1)),
+        "recommendation_index_count": any_obs(lambda o: i(o).isNull() | (F.size(i(o)) == 0) | (F.size(i(o)) > n_items - 1)),
+        "recommendation_outside_context": any_obs(lambda o: F.exists(i(o), lambda x: x.isNull() | (x < 0) | (x >= n_items) | (x == problem))),
+        "recommendation_repeated_index": any_obs(lambda o: F.size(F.array_distinct(i(o))) != F.size(i(o))),
+        **each(lambda r: _vocabulary(r["observations"], RECOMMENDATION_EFFECTS, "recommendation")),
+        **each(lambda r: _support(r["overall"], r["observations"], RECOMMENDATION_EFFECTS, "recommendation")),
+        "cloned_recommendations": cloned(recs),
+    }
+
+
+def cloned(recs: Column) -> Column:
+    """Whether three analyses are equal in overall and observations, not ambiguous, with observations all of high confidence."""
+    signature = F.transform(recs, lambda r: F.to_json(F.struct(r["overall"].alias("overall"), r["observations"].alias("observations"))))
+    first = F.get(recs, F.lit(0))
+    sure = (F.size(first["observations"]) > 0) & F.forall(first["observations"], lambda o: o["confidence"] == "high")
+    return (F.size(recs) == 3) & (F.size(F.array_distinct(signature)) == 1) & (first["overall"] != "ambiguous") & sure
+
+
+def analysis_issues(analyses: DataFrame, *, version: str = "vlm-visual-analysis-v1") -> DataFrame:
+    """sample_id, code of analyses of a diagnosis. analyses: sample_id, n_items, problem, problem_id, uses_two_item_extrapolation as the
+    evidence has them, and schema_version, out_index, out_id, overall, observations, limitations as the analysis states them."""
+    c = F.col
+    return _found(analyses, "sample_id", {
+        "schema_version": ~c("schema_version").eqNullSafe(F.lit(version)),
+        "changed_problem_index": ~c("out_index").eqNullSafe(c("problem")),
+        "changed_problem_id": ~c("out_id").eqNullSafe(c("problem_id")),
+        **diagnosis_rules(c("n_items"), c("problem"), c("overall"), c("observations")),
+        "limitations": ~c("limitations").eqNullSafe(limitations(c("uses_two_item_extrapolation"))),
+    })
+
+
+def analysis_issues_v2(analyses: DataFrame) -> DataFrame:
+    """sample_id, code of analyses of a diagnosis and its three recommendations. analyses: sample_id, n_items, problem, overall,
+    observations (two items at least), recommendations (rank, overall, observations)."""
+    c = F.col
+    return _found(analyses, "sample_id", diagnosis_rules(c("n_items"), c("problem"), c("overall"), c("observations"), least=2) | recommendation_rules(c("n_items"), c("problem"), c("recommendations")))
+
+
+def request_errors(requests: DataFrame, dim: int, *, least: int = 3, most: int = 8, tolerance: float = NORM_TOLERANCE) -> DataFrame:
+    """Adds error_code, the first of REQUEST_CODES that a request breaks, else null, and error_index, the item that breaks it where one does.
+
+    requests: request_id, items (struct item_id, coarse_category_id, embedding; null item_id: by place).
+    """
+    items, n = F.col("items"), F.coalesce(F.size("items"), F.lit(0))
+    norms = F.transform(items, lambda x: F.sqrt(F.aggregate(x["embedding"], F.lit(0.0), lambda s, y: s + y * y)))
+    first = lambda f: F.get(F.filter(F.transform(items, lambda x, i: F.when(F.coalesce(f(x), F.lit(False)), i)), lambda i: i.isNotNull()), F.lit(0))
+    df = requests.withColumn("_norms", norms)
+    lacks = first(lambda x: x["embedding"].isNull() | x["coarse_category_id"].isNull())
+    unit = F.get(F.filter(F.transform("_norms", lambda v, i: F.when(F.abs(v - 1.0) > tolerance, i)), lambda i: i.isNotNull()), F.lit(0))
+    ids = F.transform(items, lambda x, i: F.coalesce(x["item_id"].cast("string"), F.concat(F.lit("item-"), i.cast("string"))))
+    df = df.withColumns({"_lacks": lacks, "_unit": unit})
+    code = F.when(n < least, REQUEST_CODES[0]).when(n > most, REQUEST_CODES[1])
+    code = code.when(F.get(items, F.col("_lacks"))["embedding"].isNull() & F.col("_lacks").isNotNull(), REQUEST_CODES[2]).when(F.col("_lacks").isNotNull(), REQUEST_CODES[3])
+    code = code.when(F.exists(items, lambda x: F.size(x["embedding"]) != dim), REQUEST_CODES[4])
+    code = code.when(F.exists(items, lambda x: F.exists(x["embedding"], lambda y: y.isNull() | F.isnan(y) | (F.abs(y) == float("inf")))), REQUEST_CODES[5])
+    code = code.when(F.col("_unit").isNotNull(), REQUEST_CODES[6]).when(F.exists(items, lambda x: ~x["coarse_category_id"].between(1, 7)), REQUEST_CODES[7])
+    code = code.when(F.size(F.array_distinct(ids)) != n, REQUEST_CODES[8])
+    df = df.withColumn("error_code", code)
+    at = F.when(F.col("error_code").isin(*REQUEST_CODES[2:4]), F.col("_lacks")).when(F.col("error_code") == REQUEST_CODES[6], F.col("_unit"))
+    return df.withColumn("error_index", at).drop("_norms", "_lacks", "_unit")
+
+
+def analysed(requests: DataFrame, dim: int, *, scale: float, bias: float, digits: int = 9) -> DataFrame:
+    """The record of each request: request_id, status, error (code, item_index, item_count), compatibility (logit, score),
+    diagnosis (problematic_item_index, problematic_item_id, ranked_item_indices, deltas_without_minus_full, uses_two_item_extrapolation).
+
+    Scored, calibrated and diagnosed in one pass over each row by the stand-in scorer: no join, no shuffle.
+    """
+    df = request_errors(requests, dim)
+    fine = F.col("error_code").isNull()
+    vectors = F.when(fine, F.transform("items", lambda x: F.transform(x["embedding"], lambda y: y.cast("double"))))
+    n, pairs = F.size("items"), lambda k: k * (k - 1) / F.lit(2.0)
+    df = df.withColumn("_v", vectors).withColumn("_t", vector_sum(F.col("_v"), dim))
+    df = df.withColumn("_p", (dot(F.col("_t"), F.col("_t")) - F.aggregate("_v", F.lit(0.0), lambda s, v: s + dot(v, v))) / F.lit(2.0))
+    df = df.withColumn("_logit", F.col("_p") / pairs(n))
+    df = df.withColumn("_deltas", F.transform("_v", lambda v: F.round((F.col("_p") - (dot(v, F.col("_t")) - dot(v, v))) / pairs(n - 1) - F.col("_logit"), digits)))
+    order = F.transform(F.array_sort(F.transform("_deltas", lambda x, i: F.struct((-x).alias("less"), i.alias("i")))), lambda x: x["i"])
+    df = df.withColumn("_order", F.when(fine, order))
+    worst = F.get("_order", F.lit(0))
+    named = F.coalesce(F.get("items", worst)["item_id"].cast("string"), F.concat(F.lit("item-"), worst.cast("string")))
+    return df.select(
+        "request_id", F.when(fine, "ok").otherwise("error").alias("status"),
+        F.when(~fine, F.struct(F.col("error_code").alias("code"), F.col("error_index").alias("item_index"), F.coalesce(n, F.lit(0)).alias("item_count"))).alias("error"),
+        F.when(fine, F.struct(F.col("_logit").alias("compatibility_logit"), percent_score(sigmoid(F.col("_logit") * F.lit(scale) + F.lit(bias))).alias("compatibility_score"))).alias("compatibility"),
+        F.when(fine, F.struct(worst.alias("problematic_item_index"), named.alias("problematic_item_id"), F.col("_order").alias("ranked_item_indices"), F.col("_deltas").alias("deltas_without_minus_full"), (n == 3).alias("uses_two_item_extrapolation"))).alias("diagnosis"),
+    )

@@ -9,8 +9,8 @@ from ..functions.scalars import blank_to_null, finite, length
 
 #: Examples of an issue that a report shows.
 EXAMPLES = 50
-#: Fields that a negative's swap must have.
-SWAP_TYPE = "same_master_category_other_kit"
+# Fixed value: the type that a negative's swap states.
+SWAP_TYPE = "same_category_different_kit"
 
 
 def issues(df: DataFrame, rules: dict[str, Column], *keep: str) -> DataFrame:
@@ -48,36 +48,60 @@ def repeats(df: DataFrame, key: str, code: str) -> DataFrame:
 
 
 def positive_issues(samples: DataFrame, known: DataFrame, *, least: int = 3) -> DataFrame:
-    """Clean positives: sample_id, code. samples: sample_id, source_kit_id, label, items, declared_items; known: item_id."""
-    items = F.col("items")
+    """Clean positives: sample_id, code. samples: sample_id, source_kit_id, paired_positive_sample_id, label, items,
+    negative_metadata (any type); known: item_id of items with a class. An item without a class counts once for each sample."""
+    items, sample, kit = F.col("items"), F.col("sample_id"), F.col("source_kit_id")
+    none = lambda c: c.isNull() | (c == "")
+    short = items.isNull() | (F.size(items) < least)
+    repeated = ~short & (F.size(F.array_distinct(items)) != F.size(items))
     rules = {
-        "invalid_sample_id": blank_to_null(F.col("sample_id")).isNull(),
-        "invalid_source_kit": blank_to_null(F.col("source_kit_id")).isNull(),
-        "invalid_label": F.col("label").isNull() | (F.col("label") != 1),
-        "too_few_items": F.size(items) < least,
-        "item_count_mismatch": F.size(items) != F.col("declared_items"),
-        "repeated_item": F.size(F.array_distinct(items)) != F.size(items),
-        "blank_item": F.exists(items, lambda x: blank_to_null(x).isNull()),
-        "item_of_other_kit": F.exists(items, lambda x: ~x.startswith(F.concat("source_kit_id", F.lit("_")))),
+        "invalid_sample_id": sample.isNull() | ~sample.endswith("_pos"),
+        "invalid_source_kit_id": none(kit),
+        "sample_id_source_kit_mismatch": ~none(kit) & ~sample.eqNullSafe(F.concat(kit, F.lit("_pos"))),
+        "paired_positive_sample_id_must_be_null": F.col("paired_positive_sample_id").isNotNull(),
+        "label_must_be_1": F.col("label").isNull() | (F.col("label") != 1),
+        "negative_metadata_must_be_null": F.col("negative_metadata").isNotNull(),
+        "outfit_below_min_items": short,
+        "duplicate_item_in_outfit": repeated,
     }
     found = issues(samples, rules, "sample_id")
-    missing = samples.select("sample_id", F.explode("items").alias("item_id")).join(known.select("item_id"), "item_id", "left_anti").select("sample_id", F.lit("item_without_category").alias("code")).distinct()
-    return found.unionByName(missing).unionByName(repeats(samples, "sample_id", "duplicate_sample_id"))
+    lacking = samples.where(~short & ~repeated).select("sample_id", F.explode("items").alias("item_id")).join(known.select("item_id"), "item_id", "left_anti").select("sample_id", F.lit("missing_category_item").alias("code"))
+    return found.unionByName(lacking).unionByName(repeats(samples.where(sample.endswith("_pos")), "sample_id", "duplicate_sample_id"))
 
 
-def metadata_issues(metadata: DataFrame, samples: DataFrame, *, version: str, mapping_version: str, classes: list[str]) -> DataFrame:
-    """Item metadata: item_id, code; its items must be those of the samples, in both directions."""
+def metadata_issues(metadata: DataFrame, samples: DataFrame, *, split: str, version: str, mapping_version: str, classes: list[str]) -> DataFrame:
+    """Item metadata of one split: item_id, code; its items must be those of the samples, in both directions."""
+    none = lambda c: F.col(c).isNull() | (F.col(c) == "")
+    differs = lambda c, v: ~F.col(c).eqNullSafe(F.lit(v))
     rules = {
-        "wrong_metadata_version": F.col("item_metadata_version") != version,
-        "wrong_mapping_version": F.col("category_mapping_version") != mapping_version,
-        "blank_master": blank_to_null(F.col("master")).isNull(),
-        "unknown_class": F.col("coarse").isNull() | ~F.col("coarse").isin(*classes),
-        "blank_kit": blank_to_null(F.col("source_kit_id")).isNull(),
+        "invalid_item_id": none("item_id"),
+        "item_metadata_version_mismatch": differs("item_metadata_version", version),
+        "category_mapping_version_mismatch": differs("category_mapping_version", mapping_version),
+        "split_mismatch": differs("split", split),
+        "invalid_source_kit_id": none("source_kit_id"),
+        "invalid_master_category": none("master"),
+        "invalid_coarse_category": F.col("coarse").isNull() | ~F.col("coarse").isin(*classes),
     }
+    named = metadata.where(~none("item_id"))
     used = samples.select(F.explode("items").alias("item_id")).distinct()
-    extra = metadata.select("item_id").join(used, "item_id", "left_anti").withColumn("code", F.lit("metadata_without_sample"))
-    lacking = used.join(metadata.select("item_id"), "item_id", "left_anti").withColumn("code", F.lit("sample_item_without_metadata"))
-    return issues(metadata, rules, "item_id").unionByName(extra).unionByName(lacking).unionByName(repeats(metadata, "item_id", "duplicate_item"))
+    extra = named.select("item_id").distinct().join(used, "item_id", "left_anti").withColumn("code", F.lit("extra_in_metadata"))
+    lacking = used.join(named.select("item_id"), "item_id", "left_anti").withColumn("code", F.lit("missing_from_metadata"))
+    return issues(metadata, rules, "item_id").unionByName(extra).unionByName(lacking).unionByName(repeats(named, "item_id", "duplicate_item_id"))
+
+
+def load_issues(records: DataFrame, known: DataFrame, *, least: int = 2, most: int = 8) -> DataFrame:
+    """Records that a scorer can't load: sample_id, code. records: sample_id, label, items; known: item_id of items with a vector and a
+    class. No record is dropped: a caller decides what an issue costs."""
+    items = F.col("items")
+    rules = {
+        "invalid_sample_id": blank_to_null(F.col("sample_id")).isNull(),
+        "invalid_label": F.col("label").isNull() | ~F.col("label").isin(0, 1),
+        "too_few_items": items.isNull() | (F.size(items) < least),
+        "too_many_items": F.size(items) > most,
+        "duplicate_item": F.size(F.array_distinct(items)) != F.size(items),
+    }
+    lacking = records.select("sample_id", F.explode("items").alias("item_id")).join(known.select("item_id"), "item_id", "left_anti").select("sample_id", F.lit("missing_vector_or_class").alias("code")).distinct()
+    return issues(records, rules, "sample_id").unionByName(lacking)
 
 
 def embedding_issues(cache: DataFrame, *, dim: int, tolerance: float = 1e-2) -> DataFrame:
@@ -159,7 +183,7 @@ def pair_issues(records: DataFrame, metadata: DataFrame, *, least: int = 3) -> D
     at = F.get(swapped, F.lit(0))
     filled = F.col("swap.position").isNotNull() & F.col("swap.original_item_id").isNotNull() & F.col("swap.replacement_item_id").isNotNull() & F.col("swap.master").isNotNull() & F.col("swap.replacement_kit_id").isNotNull() & F.col("swap.kind").isNotNull()
     second = staged([
-        ("negative_sample_id_mismatch", F.col("sample_id") != F.concat("source_kit_id", F.lit("_neg")), False),
+        ("negative_sample_id_mismatch", F.col("sample_id") != F.concat("source_kit_id", F.lit("_neg_1")), False),
         ("negative_missing_positive_pair", F.col("_pid").isNull(), True),
         ("pair_source_kit_mismatch", F.col("_pkit") != F.col("source_kit_id"), False),
         ("pair_length_mismatch", F.size("items") != F.size("_pitems"), True),

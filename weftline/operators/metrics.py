@@ -12,22 +12,42 @@ from ..functions.scalars import finite, log_loss, sigmoid
 NAN = float("nan")
 
 
-def cumulative(df: DataFrame, value: str, counts: dict[str, Column], *, keys: list[str] | None = None, width: float = 1e-3) -> DataFrame:
+#: Bins that the distinct values of a key are cut into.
+BINS = 256
+
+
+def cumulative(df: DataFrame, value: str, counts: dict[str, Column], *, keys: list[str] | None = None, bins: int = BINS) -> DataFrame:
     """A row per distinct value (within keys): its counts, and below_*: the counts of all smaller values.
 
-    Values are counted map-side, then summed in equal-width bins and inside each bin, so that no task holds more
-    than the bins or one bin's distinct values.
+    Values are counted map-side, then summed in bins and inside each bin. Edges of bins are approximate quantiles of a key's
+    distinct values, so whatever the range and the ties of the values, no task holds more than the bins or about one bin's share.
     """
     keys = keys or []
-    per = df.groupBy(*keys, value).agg(*(c.alias(n) for n, c in counts.items())).withColumn("_bin", F.floor(F.col(value) / F.lit(width)))
-    bins = per.groupBy(*keys, "_bin").agg(*(F.sum(n).alias(f"_s_{n}") for n in counts))
-    order = Window.partitionBy(*keys or [F.lit(1)]).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = bins.select(*keys, "_bin", *(F.coalesce(F.sum(f"_s_{n}").over(order), F.lit(0)).alias(f"_b_{n}") for n in counts))
+    per = df.groupBy(*keys, value).agg(*(c.alias(n) for n, c in counts.items()))
+    edges = per.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(value, F.array(*(F.lit(i / bins) for i in range(1, bins))), 10_000)).alias("_edges"))
+    per = (per.join(edges, keys) if keys else per.join(F.broadcast(edges))).withColumn("_bin", F.size(F.filter("_edges", lambda e: e <= F.col(value)))).drop("_edges")
+    sums = per.groupBy(*keys, "_bin").agg(*(F.sum(n).alias(f"_s_{n}") for n in counts))
+    order = Window.partitionBy(*keys or [F.lit(1)]).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)  # at most bins rows a key
+    sums = sums.select(*keys, "_bin", *(F.coalesce(F.sum(f"_s_{n}").over(order), F.lit(0)).alias(f"_b_{n}") for n in counts))
     inside = Window.partitionBy(*keys, "_bin").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    out = per.select("*", *(F.coalesce(F.sum(n).over(inside), F.lit(0)).alias(f"_i_{n}") for n in counts)).join(bins, [*keys, "_bin"])
+    out = per.select("*", *(F.coalesce(F.sum(n).over(inside), F.lit(0)).alias(f"_i_{n}") for n in counts)).join(sums, [*keys, "_bin"])
     return out.select(*keys, value, *counts, *((F.col(f"_i_{n}") + F.col(f"_b_{n}")).alias(f"below_{n}") for n in counts))
 
 
+def quantiles(df: DataFrame, value: str, points: dict[str, float], *, keys: list[str] | None = None) -> DataFrame:
+    """Of each key, linear quantiles of the values that aren't null, exact, from cumulative counts: no buffer of a key's values."""
+    keys = keys or []
+    c = cumulative(df.where(F.col(value).isNotNull()), value, {"n": F.count("*")}, keys=keys)
+    totals = c.groupBy(*keys).agg(F.sum("n").alias("_total"))
+    c = c.join(totals, keys) if keys else c.join(F.broadcast(totals))  # a row per key
+    at = lambda rank: F.max(F.when(F.col("below_n") <= rank, F.col(value).cast("double")))
+    place = lambda p: F.lit(p) * (F.col("_total") - 1)
+    parts = [x for i, p in enumerate(points.values()) for x in (at(F.floor(place(p))).alias(f"_l{i}"), at(F.ceil(place(p))).alias(f"_h{i}"))]
+    got = c.groupBy(*keys).agg(F.max("_total").alias("_total"), *parts)
+    share = lambda p: place(p) - F.floor(place(p))
+    return got.select(*keys, *((F.col(f"_l{i}") * (F.lit(1.0) - share(p)) + F.col(f"_h{i}") * share(p)).alias(n) for i, (n, p) in enumerate(points.items())))
+
+
 def nan_if_null(c: Column) -> Column:
     return F.coalesce(c, F.lit(NAN))
 
@@ -48,7 +68,8 @@ def roc_auc(df: DataFrame, *, keys: list[str] | None = None) -> DataFrame:
 
 
 def margins(df: DataFrame) -> DataFrame:
-    """pair_id, margin: the positive's logit less the negative's, one row a family; an orphan on either side is left out."""
+    """pair_id, margin: the positive's logit less the negative's, one row a family; an orphan on either side has no margin, and
+    orphans() names it."""
     p = df.where("label = 1").select(F.col("sample_id").alias("pair_id"), F.col("compatibility_logit").alias("_p"))
     n = df.where("label = 0").select("pair_id", F.col("compatibility_logit").alias("_n"))
     return p.join(n, "pair_id").select("pair_id", (F.col("_p") - F.col("_n")).alias("margin"))
@@ -61,8 +82,9 @@ def orphans(df: DataFrame) -> DataFrame:
 
 def scorer_metrics(df: DataFrame) -> DataFrame:
     """One row: AUC, two-way fill-in (strictly positive margins), mean and median margin, counts."""
-    m = margins(df).agg(F.count("*").alias("n_families"), F.avg((F.col("margin") > 0).cast("double")).alias("fitb"), F.avg("margin").alias("mean_margin"), F.percentile("margin", F.lit(0.5)).alias("median_margin"))
-    return roc_auc(df).join(m)  # a row on each side
+    m = margins(df)
+    sums = m.agg(F.count("*").alias("n_families"), F.avg((F.col("margin") > 0).cast("double")).alias("fitb"), F.avg("margin").alias("mean_margin"))
+    return roc_auc(df).join(sums).join(quantiles(m, "margin", {"median_margin": 0.5}))  # a row on each side
 
 
 def calibration(df: DataFrame, *, scale: float = 1.0, bias: float = 0.0, bins: int = 10) -> DataFrame:
@@ -134,9 +156,8 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
 
 def class_summary(df: DataFrame, group: str, value: str) -> DataFrame:
     """By group: n, median, quartiles (linear), their distance, mean, sample deviation (NaN for one row)."""
-    q = lambda p: F.percentile(value, F.lit(p))
-    out = df.groupBy(group).agg(F.count("*").alias("n"), q(0.5).alias("median"), q(0.25).alias("q1"), q(0.75).alias("q3"), F.avg(value).alias("mean"), nan_if_null(F.stddev_samp(value)).alias("std"))
-    return out.withColumn("iqr", F.col("q3") - F.col("q1"))
+    out = df.groupBy(group).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), nan_if_null(F.stddev_samp(value)).alias("std"))
+    return out.join(quantiles(df, value, {"median": 0.5, "q1": 0.25, "q3": 0.75}, keys=[group]), group).withColumn("iqr", F.col("q3") - F.col("q1"))
 
 
 def pair_ordering(df: DataFrame, group: str, value: str, levels: list[int]) -> DataFrame:
@@ -195,8 +216,8 @@ def bootstrap(df: DataFrame, x: str, y: str, *, resamples: int = 1000, level: fl
 
 
 def latency_summary(df: DataFrame, value: str, *keys: str) -> DataFrame:
-    q = lambda p: F.percentile(value, F.lit(p))
-    return df.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.min(value).alias("min"), q(0.5).alias("p50"), q(0.95).alias("p95"), q(0.99).alias("p99"), F.max(value).alias("max"))
+    out = df.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"))
+    return out.join(quantiles(df, value, {"p50": 0.5, "p95": 0.95, "p99": 0.99}, keys=list(keys)), list(keys))
 
 
 def threshold_metrics(df: DataFrame, threshold: float) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import dot, vector_sum
+from .metrics import quantiles
 from .scoring import centroid, mean_pair_cosine
 
 #: Hits of each channel, results of a recommendation, and recall depths of an evaluation.
@@ -176,8 +177,9 @@ def evaluation(queries: DataFrame, candidates: DataFrame, ranked: DataFrame, *,
     sums += [F.count_if(~F.coalesce(F.col("order_rank") <= K, F.lit(False))).alias("ground_truth_not_in_hybrid_top200"), F.count_if(~has).alias("ground_truth_not_in_full_union"), F.count_if(has & F.col("final_rank").isNull()).alias("ground_truth_missing_after_rerank"), F.count_if(shown < FINAL).alias("fewer_than_three_final_candidates")]
     sums += [F.sum(F.coalesce("_better", F.lit(0))).alias("successful"), F.sum(shown).alias("evaluated_recommendations")]
     part = lambda c: F.avg(F.when(has, c.cast("double")))
-    sums += [mean(has).alias("coverage"), part(F.lit(1.0) / F.col("order_rank")).alias("mrr_before"), part(F.lit(1.0) / F.col("final_rank")).alias("mrr_after"), part(change > 0).alias("improved"), part(change == 0).alias("unchanged"), part(change < 0).alias("worsened"), part(change).alias("mean_change"), F.percentile(change, F.lit(0.5)).alias("median_change"), F.try_divide(F.sum("_better").cast("double"), F.sum("_final")).alias("success_rate"), F.avg((F.coalesce("final_rank", F.lit(1 << 30)) <= 1).cast("double")).alias("hit_1"), F.avg((F.coalesce("final_rank", F.lit(1 << 30)) <= 3).cast("double")).alias("hit_3"), F.avg(F.coalesce(F.lit(1.0) / F.col("final_rank"), F.lit(0.0))).alias("mrr")]
-    return df.agg(*sums)
+    sums += [mean(has).alias("coverage"), part(F.lit(1.0) / F.col("order_rank")).alias("mrr_before"), part(F.lit(1.0) / F.col("final_rank")).alias("mrr_after"), part(change > 0).alias("improved"), part(change == 0).alias("unchanged"), part(change < 0).alias("worsened"), part(change).alias("mean_change"), F.try_divide(F.sum("_better").cast("double"), F.sum("_final")).alias("success_rate"), F.avg((F.coalesce("final_rank", F.lit(1 << 30)) <= 1).cast("double")).alias("hit_1"), F.avg((F.coalesce("final_rank", F.lit(1 << 30)) <= 3).cast("double")).alias("hit_3"), F.avg(F.coalesce(F.lit(1.0) / F.col("final_rank"), F.lit(0.0))).alias("mrr")]
+    median = quantiles(df.select(change.alias("change")), "change", {"median_change": 0.5})
+    return df.agg(*sums).join(F.broadcast(median))  # a row on each side
 
 
 #: Why an evaluation leaves a sample out, in the order of tests.

@@ -123,35 +123,48 @@ def split_coverage(spark: SparkSession, sf: str) -> DataFrame:
 
 def _positives(spark: SparkSession, sf: str) -> DataFrame:
     s = d.samples(spark, sf)
-    return s.select(F.concat("kit_id", F.lit("_pos")).alias("sample_id"), F.col("kit_id").alias("source_kit_id"), F.lit(1).alias("label"), F.col("items.item_id").alias("items"), F.col("n_items").alias("declared_items"))
+    none = F.lit(None).cast("string")
+    return s.select("split", F.concat("kit_id", F.lit("_pos")).alias("sample_id"), F.col("kit_id").alias("source_kit_id"), none.alias("paired_positive_sample_id"), F.lit(1).alias("label"), F.col("items.item_id").alias("items"), none.alias("negative_metadata"))
 
 
 def _faulty(df: DataFrame) -> DataFrame:
     """One fault for each of a few residues of the kit number."""
-    r = F.col("source_kit_id").cast("long") % 50
-    first = F.get("items", F.lit(0))
-    return df.select("sample_id", F.when(r == 1, " ").otherwise(F.col("source_kit_id")).alias("source_kit_id"), F.when(r == 2, 0).otherwise(F.col("label")).alias("label"),
-                     F.when(r == 3, F.slice("items", 1, 2)).when(r == 4, F.concat("items", F.array(first))).when(r == 5, F.concat(F.array(F.lit("9_9")), "items")).otherwise(F.col("items")).alias("items"), "declared_items")
-
-
-@query("validate_positives", """SELECT code, count(*) AS n FROM (
-  SELECT unnest(list_filter([CASE WHEN r = 1 THEN 'invalid_source_kit' END, CASE WHEN r = 2 THEN 'invalid_label' END, CASE WHEN r = 3 THEN 'too_few_items' END, CASE WHEN r = 3 AND n_items <> 2 OR r IN (4, 5) THEN 'item_count_mismatch' END,
-    CASE WHEN r = 4 THEN 'repeated_item' END, CASE WHEN r = 1 OR r = 5 THEN 'item_of_other_kit' END, CASE WHEN r = 5 THEN 'item_without_category' END], lambda x: x IS NOT NULL)) AS code
-  FROM (SELECT kit_id::BIGINT % 50 AS r, n_items FROM samples)) GROUP BY code""", "samples")
+    kit = F.col("source_kit_id")
+    r, first = kit.cast("long") % 50, F.get("items", F.lit(0))
+    return df.select(
+        F.when(r == 8, F.concat(kit, F.lit("_p"))).when(r == 9, "z_pos").otherwise(F.col("sample_id")).alias("sample_id"), F.when(r == 1, "").otherwise(kit).alias("source_kit_id"), F.when(r == 6, "x").alias("paired_positive_sample_id"),
+        F.when(r == 2, 0).otherwise(F.col("label")).alias("label"), F.when(r == 7, "x").alias("negative_metadata"),
+        F.when(r == 3, F.slice("items", 1, 2)).when(r == 4, F.concat("items", F.array(first))).when(r == 5, F.concat(F.array(F.lit("9_9")), "items")).otherwise(F.col("items")).alias("items"),
+    )
+
+
+@query("validate_positives", """SELECT code, count(*) AS n FROM (SELECT unnest(CASE r WHEN 1 THEN ['invalid_source_kit_id'] WHEN 2 THEN ['label_must_be_1'] WHEN 3 THEN ['outfit_below_min_items'] WHEN 4 THEN ['duplicate_item_in_outfit'] WHEN 5 THEN ['missing_category_item']
+    WHEN 6 THEN ['paired_positive_sample_id_must_be_null'] WHEN 7 THEN ['negative_metadata_must_be_null'] WHEN 8 THEN ['invalid_sample_id', 'sample_id_source_kit_mismatch'] WHEN 9 THEN CASE WHEN place = 1 THEN ['sample_id_source_kit_mismatch'] ELSE ['sample_id_source_kit_mismatch', 'duplicate_sample_id'] END END) AS code
+  FROM (SELECT kit_id::BIGINT % 50 AS r, row_number() OVER (PARTITION BY kit_id::BIGINT % 50) AS place FROM samples)) GROUP BY code""", "samples")
 def validate_positives(spark: SparkSession, sf: str) -> DataFrame:
     found = expect.positive_issues(_faulty(_positives(spark, sf)), d.core(spark, sf))
     return found.groupBy("code").agg(F.count("*").alias("n"))
 
 
-@query("validate_metadata", """SELECT code, count(*) AS n FROM (
-  SELECT unnest(list_filter([CASE WHEN slot % 40 = 1 THEN 'wrong_metadata_version' END, CASE WHEN slot % 40 = 2 THEN 'unknown_class' END, CASE WHEN slot % 40 = 3 THEN 'sample_item_without_metadata' END], lambda x: x IS NOT NULL)) AS code FROM meta) GROUP BY code""", "meta")
+@query("validate_metadata", """SELECT code, count(*) AS n FROM (SELECT unnest(CASE slot % 40 WHEN 1 THEN ['item_metadata_version_mismatch'] WHEN 2 THEN ['invalid_coarse_category'] WHEN 3 THEN ['missing_from_metadata'] WHEN 4 THEN ['category_mapping_version_mismatch'] WHEN 5 THEN ['split_mismatch']
+    WHEN 6 THEN ['invalid_source_kit_id'] WHEN 7 THEN ['invalid_master_category'] WHEN 8 THEN ['invalid_item_id', 'missing_from_metadata'] WHEN 9 THEN ['extra_in_metadata'] WHEN 10 THEN ['duplicate_item_id'] END) AS code FROM meta WHERE split = 'train') GROUP BY code""", "meta")
 def validate_metadata(spark: SparkSession, sf: str) -> DataFrame:
+    """The metadata of one split with one fault for each of a few residues of the slot."""
     r = F.col("slot") % 40
-    m = d.metadata(spark, sf).where(r != 3).withColumns({"item_metadata_version": F.when(r == 1, "old").otherwise(F.col("item_metadata_version")), "coarse": F.when(r == 2, "SOCKS").otherwise(F.col("coarse"))})
-    found = expect.metadata_issues(m, _positives(spark, sf), version=d.META_VERSION, mapping_version=d.MAP_VERSION, classes=list(clean.CATEGORY_IDS))
+    bad = lambda c, n, value: F.when(r == n, value).otherwise(F.col(c))
+    m = d.metadata(spark, sf).where("split = 'train'")
+    extra = m.where(r == 9).withColumn("item_id", F.concat(F.lit("x"), "item_id")).unionByName(m.where(r == 10))
+    m = m.where(r != 3).withColumns({"item_metadata_version": bad("item_metadata_version", 1, "old"), "coarse": bad("coarse", 2, "SOCKS"), "category_mapping_version": bad("category_mapping_version", 4, "old"), "split": bad("split", 5, "valid"), "source_kit_id": bad("source_kit_id", 6, ""), "master": bad("master", 7, ""), "item_id": bad("item_id", 8, "")})
+    found = expect.metadata_issues(m.unionByName(extra), _positives(spark, sf).where("split = 'train'"), split="train", version=d.META_VERSION, mapping_version=d.MAP_VERSION, classes=list(clean.CATEGORY_IDS))
     return found.groupBy("code").agg(F.count("*").alias("n"))
 
 
+@query("load_issues", """SELECT code, count(*) AS n FROM (SELECT unnest(list_concat(CASE WHEN len(ids) > 8 THEN ['too_many_items'] ELSE [] END, CASE WHEN len(list_filter(ids, lambda x: x LIKE '%77')) > 0 THEN ['missing_vector_or_class'] ELSE [] END)) AS code FROM records) GROUP BY code""", "records")
+def load_issues(spark: SparkSession, sf: str) -> DataFrame:
+    """Records that a scorer of eight items can't load: long ones, and those with an item that lacks its vector."""
+    return expect.load_issues(d.records(spark, sf), d.core(spark, sf).where(~F.col("item_id").endswith("77"))).groupBy("code").agg(F.count("*").alias("n"))
+
+
 @query("negatives", "SELECT split, kit_id, 1 AS negative_number, position::INTEGER AS position, original_item_id, replacement_item_id, replacement_kit_id, master, coarse FROM neg", "neg")
 def made_negatives(spark: SparkSession, sf: str) -> DataFrame:
     return d.made_negatives(spark, sf)
@@ -190,29 +203,47 @@ def _typed(records: DataFrame) -> DataFrame:
 
 @query("validate_pairs", "SELECT 0::BIGINT AS n_issues, 'READY' AS status")
 def validate_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return expect.gate(expect.pair_issues(d.held(_typed(d.records(spark, sf))), d.held(d.metadata(spark, sf))))
+    return expect.gate(expect.pair_issues(_typed(d.records(spark, sf)), d.metadata(spark, sf)))
 
 
-@query("validate_faulty_pairs", """SELECT code, count(*) AS n FROM (
-  SELECT unnest(CASE WHEN label = 0 AND r = 1 THEN ['negative_metadata_missing'] WHEN label = 0 AND r = 2 THEN ['wrong_negative_type'] WHEN label = 0 AND r = 3 THEN ['negative_missing_positive_pair']
-    WHEN label = 0 AND r = 4 THEN ['swapped_index_mismatch'] WHEN label = 0 AND r = 5 THEN ['negative_sample_id_mismatch'] WHEN label = 1 AND r = 3 THEN ['positive_pair_count_not_one'] WHEN label = 1 AND r = 6 THEN ['positive_has_pair_reference']
-    WHEN label = 0 AND r = 7 THEN ['invalid_label'] WHEN label = 1 AND r = 7 THEN ['positive_pair_count_not_one'] WHEN label = 0 AND r = 8 THEN ['swap_category_metadata_mismatch'] WHEN label = 0 AND r = 9 THEN ['negative_metadata_missing_fields']
-    WHEN label = 0 AND r = 10 THEN ['replacement_kit_metadata_mismatch'] ELSE [] END) AS code FROM (SELECT label, source_kit_id::BIGINT % 60 AS r FROM records)) GROUP BY code""", "records")
+FAULTS = """CASE
+    WHEN label = 0 AND r = 1 THEN ['negative_metadata_missing'] WHEN label = 0 AND r = 2 THEN ['wrong_negative_type'] WHEN label = 0 AND r = 3 THEN ['negative_missing_positive_pair'] WHEN label = 1 AND r = 3 THEN ['positive_pair_count_not_one']
+    WHEN label = 0 AND r = 4 THEN ['swapped_index_mismatch'] WHEN label = 0 AND r = 5 THEN ['negative_sample_id_mismatch'] WHEN label = 1 AND r = 6 THEN ['positive_has_pair_reference'] WHEN label = 0 AND r = 7 THEN ['invalid_label'] WHEN label = 1 AND r = 7 THEN ['positive_pair_count_not_one']
+    WHEN label = 0 AND r = 8 THEN ['swap_category_metadata_mismatch'] WHEN label = 0 AND r = 9 THEN ['negative_metadata_missing_fields'] WHEN label = 0 AND r = 10 THEN ['replacement_kit_metadata_mismatch']
+    WHEN label = 1 AND r = 11 THEN ['positive_sample_id_mismatch', 'positive_pair_count_not_one'] WHEN label = 0 AND r = 11 THEN ['negative_missing_positive_pair'] WHEN label = 1 AND r = 12 THEN ['positive_has_negative_metadata']
+    WHEN label = 0 AND r = 13 THEN ['missing_sample_fields'] WHEN label = 0 AND r = 14 THEN ['outfit_below_min_items'] WHEN label = 1 AND r IN (13, 14) THEN ['positive_pair_count_not_one'] WHEN label = 0 AND r = 15 THEN ['invalid_swapped_item_index']
+    WHEN label = 0 AND r = 16 THEN ['original_item_mismatch'] WHEN label = 0 AND r = 17 THEN ['negative_sample_id_mismatch', 'pair_source_kit_mismatch'] WHEN label = 0 AND r = 18 THEN ['pair_length_mismatch'] WHEN label = 0 AND r = 19 THEN ['negative_not_exactly_one_swap']
+    WHEN label = 0 AND r = 20 THEN list_concat(['replacement_item_mismatch', 'replacement_already_in_positive', 'replacement_kit_metadata_mismatch', 'replacement_from_same_kit'], CASE WHEN next_master <> original_master THEN ['replacement_master_category_mismatch'] ELSE [] END)
+    WHEN label = 0 AND r = 21 THEN ['duplicate_item_inside_outfit', 'replacement_item_mismatch'] WHEN label = 0 AND r = 22 THEN ['missing_item_metadata', 'replacement_item_mismatch']
+    WHEN label = 1 AND r = 23 THEN ['missing_item_metadata', 'positive_item_wrong_source_kit'] WHEN label = 0 AND r = 23 THEN CASE WHEN problem = 0 THEN ['original_item_mismatch'] ELSE ['negative_not_exactly_one_swap'] END
+    WHEN label = 0 AND r = 24 THEN ['invalid_identity', 'negative_sample_id_mismatch', 'pair_source_kit_mismatch'] WHEN label = 1 AND r = 25 THEN ['duplicate_sample_id'] ELSE [] END"""
+
+
+@query("validate_faulty_pairs", f"""SELECT code, count(*) AS n FROM (SELECT unnest({FAULTS}) AS code FROM (SELECT label, problem, source_kit_id::BIGINT % 60 AS r, o.master AS original_master, x.master AS next_master
+  FROM records LEFT JOIN core o ON o.item_id = original_item_id LEFT JOIN core x ON x.item_id = ids[(problem + 1) % len(ids) + 1])) GROUP BY code""", "records", "core")
 def validate_faulty_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """The validator over records with one fault for each of a few residues of the kit number."""
-    r, neg = F.col("source_kit_id").cast("long") % 60, F.col("label") == 0
+    """The validator over records with one fault for each of a few residues of the kit number; all its 29 codes come up."""
+    r, neg, n = F.col("source_kit_id").cast("long") % 60, F.col("label") == 0, F.size("items")
     df = _typed(d.records(spark, sf))
-    part = lambda field, n, value: F.when(neg & (r == n), value).otherwise(F.col(f"swap.{field}"))
-    n = F.size("items")
-    swap = F.struct(part("position", 4, (F.col("swap.position") + 1) % n).alias("position"), F.col("swap.original_item_id"), part("replacement_item_id", 9, F.lit(None)).alias("replacement_item_id"), part("replacement_kit_id", 10, F.lit("0")).alias("replacement_kit_id"), part("master", 8, F.lit("none")).alias("master"), F.col("swap.coarse"), part("kind", 2, F.lit("other")).alias("kind"))
-    df = df.withColumns({
-        "swap": F.when(F.col("swap").isNotNull() & ~(neg & (r == 1)), swap),
-        "pair_id": F.when(neg & (r == 3), F.lit("none")).when(~neg & (r == 6), F.lit("x")).otherwise(F.col("pair_id")),
-        "sample_id": F.when(neg & (r == 5), F.concat("sample_id", F.lit("x"))).otherwise(F.col("sample_id")),
-        "label": F.when(neg & (r == 7), F.lit(2)).otherwise(F.col("label")),
-    })
-    found = expect.pair_issues(d.held(df), d.held(d.metadata(spark, sf)))
-    return found.groupBy("code").agg(F.count("*").alias("n"))
+    part = lambda field, *faults: F.coalesce(*(F.when(neg & (r == k), value) for k, value in faults), F.when(~(neg & r.isin(*(k for k, value in faults))), F.col(f"swap.{field}"))).alias(field)
+    at, own = F.col("swap.position"), F.get("items", (F.col("swap.position") + 1) % n)
+    swap = F.struct(
+        part("position", (4, (at + 1) % n), (15, F.lit(99))), part("original_item_id", (16, F.col("swap.replacement_item_id"))), part("replacement_item_id", (9, F.lit(None)), (20, own)), part("replacement_kit_id", (10, F.lit("0"))),
+        part("master", (8, F.lit("none"))), F.col("swap.coarse").alias("coarse"), part("kind", (2, F.lit("other"))),
+    )
+    put = lambda value: F.transform("items", lambda x, i: F.when(i == at, value).otherwise(x))
+    any_swap = F.struct(*(F.lit(v).cast(t).alias(k) for k, v, t in (("position", 0, "int"), ("original_item_id", "a", "string"), ("replacement_item_id", "b", "string"), ("replacement_kit_id", "c", "string"), ("master", "m", "string"), ("coarse", "k", "string"), ("kind", "x", "string"))))
+    faulty = df.select(
+        "split",
+        F.when(neg & (r == 5), F.concat("sample_id", F.lit("x"))).when(~neg & (r == 11), F.concat("source_kit_id", F.lit("_q"))).otherwise(F.col("sample_id")).alias("sample_id"),
+        F.when(neg & (r == 17), "zzz").when(neg & (r == 24), " ").otherwise(F.col("source_kit_id")).alias("source_kit_id"),
+        F.when(neg & (r == 3), "none").when(~neg & (r == 6), "x").otherwise(F.col("pair_id")).alias("pair_id"), F.when(neg & (r == 7), 2).otherwise(F.col("label")).alias("label"),
+        F.when(neg & (r == 13), None).when(neg & (r == 14), F.slice("items", 1, 2)).when(neg & (r == 18), F.concat("items", F.array("swap.original_item_id"))).when(neg & (r == 19), put(F.col("swap.original_item_id"))).when(neg & (r == 21), put(own)).when(neg & (r == 22), put(F.lit("none")))
+        .when(~neg & (r == 23), F.transform("items", lambda x, i: F.when(i == 0, F.lit("x_1")).otherwise(x))).otherwise(F.col("items")).alias("items"),
+        F.when(neg & (r != 1), swap).when(~neg & (r == 12), any_swap).alias("swap"),
+    )
+    again = faulty.where("label = 1 and cast(source_kit_id as long) % 60 = 25")
+    return expect.pair_issues(faulty.unionByName(again), d.metadata(spark, sf)).groupBy("code").agg(F.count("*").alias("n"))
 
 
 @query("split_leaks", """SELECT a.split AS split_a, b.split AS split_b, count(*) AS n_parts FROM (SELECT DISTINCT split, slot FROM meta) a JOIN (SELECT DISTINCT split, slot FROM meta) b ON a.slot = b.slot AND a.split < b.split GROUP BY ALL""", "meta")
