@@ -56,6 +56,21 @@ def negative_report(samples: DataFrame, made: DataFrame) -> DataFrame:
     return df.withColumns({"n_failed": F.col("n_samples") - F.col("n_with_negative"), "coverage": F.col("n_with_negative") / F.col("n_samples")})
 
 
+# Why a positive gets no negative, in the order of tests.
+FAILURES = ("invalid_positive_shape", "input_is_not_positive", "positive_missing_metadata", "no_valid_same_master_category_candidate")
+
+
+def failures(positives: DataFrame, metadata: DataFrame, made: DataFrame) -> DataFrame:
+    """sample_id, reason of positives without a negative: the first of FAILURES that holds. positives: split, sample_id,
+    source_kit_id, label, items (ids); metadata: split, item_id; made: split, kit_id."""
+    lacking = positives.select("split", "sample_id", F.explode("items").alias("item_id")).join(metadata.select("split", "item_id"), ["split", "item_id"], "left_anti").select("split", "sample_id").distinct().withColumn("_lacks", F.lit(True))
+    has = made.select("split", F.col("kit_id").alias("source_kit_id")).distinct().withColumn("_has", F.lit(True))
+    df = positives.join(lacking, ["split", "sample_id"], "left").join(has, ["split", "source_kit_id"], "left")
+    blank = lambda c: F.col(c).isNull() | (F.trim(F.col(c)) == "")
+    tests = (blank("sample_id") | blank("source_kit_id") | F.col("items").isNull() | (F.size("items") == 0), F.coalesce(F.col("label") != 1, F.lit(True)), F.col("_lacks").isNotNull(), F.col("_has").isNull())
+    return df.select("split", "sample_id", F.coalesce(*(F.when(t, r) for r, t in zip(FAILURES, tests, strict=True))).alias("reason")).where("reason is not null")
+
+
 def swap_histogram(made: DataFrame) -> DataFrame:
     return made.groupBy("split", "coarse").agg(F.count("*").alias("n_swaps"))
 

@@ -212,12 +212,25 @@ def coverage(checked: DataFrame) -> DataFrame:
     return df.withColumns({"embedding_ratio": ratio("embedding_available"), "metadata_ratio": ratio("metadata_available"), "image_ratio": ratio("image_available")})
 
 
-def trace(queries: DataFrame, candidates: DataFrame, final: DataFrame, *, k: int = K) -> DataFrame:
-    """One JSON document per query: item, context and hybrid lists cut to k, final list, counts."""
-    ids = lambda c: F.slice(F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct(c, "item_id")))), lambda x: x["item_id"]), 1, k)
-    lists = candidates.groupBy("query_id").agg(ids("item_rank").alias("item"), ids("context_rank").alias("context"), ids("order_rank").alias("hybrid"))
-    empty = F.array().cast("array<string>")
-    df = queries.select("query_id", "problem", "truth_id").join(lists, "query_id", "left").join(final.select("query_id", "status", "items"), "query_id", "left")
-    got = lambda c: F.coalesce(F.col(c), empty)
-    body = F.struct(F.col("query_id"), F.col("problem").alias("problematic_item_index"), F.col("truth_id").alias("ground_truth_item_id"), got("item").alias("item_retrieval_top200"), got("context").alias("context_retrieval_top200"), got("hybrid").alias("hybrid_candidates_top200"), got("items").alias("final_top3"), F.when(F.col("status") != "ok", F.col("status")).alias("failure_reason"))
+def trace(queries: DataFrame, candidates: DataFrame, ranked: DataFrame, counters: DataFrame, *, k: int = K, final: int = FINAL) -> DataFrame:
+    """One JSON document per query: whose it is, item, context and hybrid lists cut to k, final list, counts of each step, counts of what
+    the pool left out, why there are fewer results than final, and the rank of the truth before and after.
+
+    queries: query_id, source_split, problem, truth_id, replacement_id, item_ids; counters: rows of retrieval_counters().
+    """
+    ids = lambda c, n: F.slice(F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct(c, "item_id")))), lambda x: x["item_id"]), 1, n)
+    both = candidates.select("query_id", "item_id", "item_rank", "context_rank", "order_rank").join(ranked.select("query_id", "item_id", "final_rank"), ["query_id", "item_id"], "left")
+    lists = both.groupBy("query_id").agg(ids("item_rank", k).alias("item"), ids("context_rank", k).alias("context"), ids("order_rank", k).alias("hybrid"), ids("final_rank", final).alias("last"), F.count("*").alias("_union"), F.count("final_rank").alias("_reranked"))
+    truth = both.join(queries.select("query_id", F.col("truth_id").alias("item_id")), ["query_id", "item_id"]).select("query_id", F.col("order_rank").alias("_pre"), F.col("final_rank").alias("_post"))
+    df = queries.join(lists, "query_id", "left").join(truth, "query_id", "left").join(counters, "query_id", "left")
+    got = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>"))
+    n = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("int")
+    size = lambda c: F.size(got(c))
+    counts = F.struct(n("category_pool_count").alias("category_pool"), size("item").alias("item_retrieval"), size("context").alias("context_retrieval"), size("hybrid").alias("hybrid_top200"), n("_union").alias("full_union"), n("_reranked").alias("reranked"), size("last").alias("final"))
+    left_out = F.struct(F.lit(0).alias("master_category"), n("missing_metadata_count").alias("missing_metadata"), n("missing_image_count").alias("missing_image"), n("missing_embedding_count").alias("missing_embedding"))
+    body = F.struct(
+        F.col("query_id"), F.col("source_split"), F.col("problem").alias("problematic_item_index"), F.get("item_ids", F.col("problem")).alias("problematic_item_id"), F.col("truth_id").alias("ground_truth_item_id"), F.col("replacement_id").alias("replacement_item_id"),
+        got("item").alias("item_retrieval_top200"), got("context").alias("context_retrieval_top200"), got("hybrid").alias("hybrid_candidates_top200"), got("last").alias("final_top3"), counts.alias("candidate_counts"), left_out.alias("excluded_counts"),
+        F.when(size("last") < final, "fewer_than_three_final_candidates").alias("failure_reason"), F.col("_pre").alias("gt_rank_pre_rerank"), F.col("_post").alias("gt_rank_post_rerank"), (F.col("_pre") - F.col("_post")).alias("gt_rank_change_pre_minus_post"),
+    )
     return df.select("query_id", F.to_json(body, {"ignoreNullFields": "false"}).alias("trace"))

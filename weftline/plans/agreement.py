@@ -181,6 +181,32 @@ def human_subsets(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(h.groupBy("subset").agg(F.count("*").alias("n"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max")))
 
 
+def _subset_sql() -> str:
+    rank = lambda c: f"rank() OVER (PARTITION BY subset ORDER BY {c}) + (count(*) OVER (PARTITION BY subset, {c}) - 1) / 2.0"
+    return f""", hs AS (SELECT *, unnest(list_filter(['full', CASE WHEN subset_a THEN 'a' END, CASE WHEN subset_b THEN 'b' END], lambda s: s IS NOT NULL)) AS subset FROM h)
+  SELECT subset, n, kendall_tau_b, spearman_rho FROM (SELECT subset, count(*) AS n, round(corr(rx, ry), 6) AS spearman_rho FROM (SELECT subset, {rank("x")} AS rx, {rank("quality")} AS ry FROM hs) GROUP BY 1)
+  JOIN (SELECT subset, round({TAU}, 6) AS kendall_tau_b FROM (SELECT a.subset, sign(a.x - b.x) AS dx, sign(a.quality - b.quality) AS dy, sign(a.x - b.x) * sign(a.quality - b.quality) AS s FROM hs a JOIN hs b ON a.subset = b.subset AND a.sample_id < b.sample_id) GROUP BY 1) USING (subset)"""
+
+
+@human_query("subset_metrics", _subset_sql())
+def subset_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """Each agreement statistic over each of the nested subsets."""
+    h, x = human(spark, sf), "compatibility_logit"
+    out = None
+    for name, rows in (("full", h), ("a", h.where("subset_a")), ("b", h.where("subset_b"))):
+        one = metrics.kendall(rows, x, "quality", [1, 2, 3]).join(metrics.spearman(rows, x, "quality").drop("n")).select(F.lit(name).alias("subset"), "*")  # a row on each side
+        out = one if out is None else out.unionByName(one)
+    return rounded(out)
+
+
+@query("family_orphans", "SELECT side, count(*) AS n FROM (SELECT CASE WHEN label = 1 THEN 'positive' ELSE 'negative' END AS side FROM scored WHERE label = 1 AND coalesce(replace(sample_id, '_pos', ''), '')::BIGINT % 10 = 2 OR label = 0 AND replace(pair_id, '_pos', '')::BIGINT % 10 = 1) GROUP BY side", "scored")
+def family_orphans(spark: SparkSession, sf: str) -> DataFrame:
+    """Families that lost a side: positives of kits that end in 1, negatives of kits that end in 2."""
+    kit = F.replace(F.coalesce("pair_id", "sample_id"), F.lit("_pos"), F.lit("")).cast("long") % 10
+    s = d.scored_records(spark, sf).where(~((F.col("label") == 1) & (kit == 1)) & ~((F.col("label") == 0) & (kit == 2)))
+    return metrics.orphans(s).groupBy("side").agg(F.count("*").alias("n"))
+
+
 @query("bootstrap_intervals", None)
 def bootstrap_intervals(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.bootstrap(human(spark, sf), "compatibility_logit", "quality", resamples=10_000, blocks=96)

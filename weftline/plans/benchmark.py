@@ -175,6 +175,16 @@ def negative_report(spark: SparkSession, sf: str) -> DataFrame:
     return negatives.negative_report(d.samples(spark, sf), d.made_negatives(spark, sf)).withColumn("coverage", F.round("coverage", 9))
 
 
+@query("negative_failures", """SELECT split, reason, count(*) AS n FROM (SELECT s.split, CASE WHEN s.kit_id::BIGINT % 50 = 1 THEN 'invalid_positive_shape' WHEN s.kit_id::BIGINT % 50 = 2 THEN 'input_is_not_positive' WHEN s.kit_id::BIGINT % 50 = 3 THEN 'positive_missing_metadata' WHEN neg.kit_id IS NULL THEN 'no_valid_same_master_category_candidate' END AS reason
+  FROM samples s LEFT JOIN neg USING (split, kit_id)) WHERE reason IS NOT NULL GROUP BY ALL""", "samples", "neg")
+def negative_failures(spark: SparkSession, sf: str) -> DataFrame:
+    """Positives without a negative, by reason; a few are broken on purpose."""
+    p = _positives(spark, sf)
+    r = F.col("source_kit_id").cast("long") % 50
+    p = p.select("split", "sample_id", "source_kit_id", F.when(r == 2, 0).otherwise(F.col("label")).alias("label"), F.when(r == 1, F.slice("items", 1, 0)).when(r == 3, F.concat(F.array(F.lit("9_9")), "items")).otherwise(F.col("items")).alias("items"))
+    return negatives.failures(p, d.metadata(spark, sf), d.made_negatives(spark, sf)).groupBy("split", "reason").agg(F.count("*").alias("n"))
+
+
 @query("swap_histogram", "SELECT split, coarse, count(*) AS n_swaps FROM neg GROUP BY ALL", "neg")
 def swap_histogram(spark: SparkSession, sf: str) -> DataFrame:
     return negatives.swap_histogram(d.made_negatives(spark, sf))

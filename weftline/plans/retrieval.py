@@ -98,14 +98,21 @@ def rank_then_filter(spark: SparkSession, sf: str) -> DataFrame:
     return found.where("master = problem_master").where(~F.array_contains("item_ids", F.col("item_id"))).select("query_id", "item_id", "rank")
 
 
-@query("candidate_traces", """SELECT q.query_id, problem::INTEGER AS position, truth_id, list_aggregate(list_slice(coalesce(hybrid, []), 1, 200), 'string_agg', ',') AS hybrid, n_union FROM q LEFT JOIN (SELECT query_id, list(item_id ORDER BY order_rank) AS hybrid, count(*) AS n_union FROM cand GROUP BY 1) USING (query_id)""", "q", "cand")
+@query("candidate_traces", """SELECT q.query_id, 'test' AS source_split, problem::INTEGER AS position, q.item_ids[problem + 1] AS problem_id, truth_id, list_aggregate(list_slice(coalesce(hybrid, []), 1, 200), 'string_agg', ',') AS hybrid, coalesce(last, '') AS final, coalesce(n_union, 0)::INTEGER AS full_union,
+  coalesce(n_item, 0)::INTEGER AS item_retrieval, least(3, coalesce(n_union, 0))::INTEGER AS n_final, CASE WHEN coalesce(n_union, 0) < 3 THEN 'fewer_than_three_final_candidates' END AS failure_reason, pre::INTEGER AS pre, (pre - post)::INTEGER AS change FROM q
+  LEFT JOIN (SELECT query_id, list(item_id ORDER BY order_rank) AS hybrid, count(*) AS n_union, count(item_rank) AS n_item FROM cand GROUP BY 1) USING (query_id) LEFT JOIN (SELECT query_id, string_agg(item_id, ',' ORDER BY final_rank) AS last FROM ranked WHERE final_rank <= 3 GROUP BY 1) USING (query_id)
+  LEFT JOIN (SELECT query_id, item_id AS truth_id, order_rank AS pre, final_rank AS post FROM ranked) t USING (query_id, truth_id)""", "q", "cand", "ranked")
 def candidate_traces(spark: SparkSession, sf: str) -> DataFrame:
     q, _, found, r = ranked(spark, sf)
-    t = recommend.trace(q, found, recommend.recommended(q, r))
-    schema = "struct<query_id string, problematic_item_index int, ground_truth_item_id string, hybrid_candidates_top200 array<string>>"
+    q = q.withColumns({"source_split": F.lit("test"), "replacement_id": F.get("item_ids", F.col("problem"))})
+    t = recommend.trace(q, found, r, recommend.retrieval_counters(q, faulty_pool(spark, sf), found))
+    schema = "source_split string, problematic_item_index int, problematic_item_id string, ground_truth_item_id string, hybrid_candidates_top200 array<string>, final_top3 array<string>, candidate_counts struct<full_union int, item_retrieval int, final int>, failure_reason string, gt_rank_pre_rerank int, gt_rank_change_pre_minus_post int"
     x = t.select("query_id", F.from_json("trace", schema).alias("t"))
-    n = found.groupBy("query_id").agg(F.count("*").alias("n_union"))
-    return x.join(n, "query_id", "left").select("query_id", F.col("t.problematic_item_index").alias("position"), F.col("t.ground_truth_item_id").alias("truth_id"), F.array_join("t.hybrid_candidates_top200", ",").alias("hybrid"), "n_union")
+    c = F.col("t.candidate_counts")
+    return x.select(
+        "query_id", "t.source_split", F.col("t.problematic_item_index").alias("position"), F.col("t.problematic_item_id").alias("problem_id"), F.col("t.ground_truth_item_id").alias("truth_id"), F.array_join("t.hybrid_candidates_top200", ",").alias("hybrid"), F.array_join("t.final_top3", ",").alias("final"),
+        c["full_union"].alias("full_union"), c["item_retrieval"].alias("item_retrieval"), c["final"].alias("n_final"), "t.failure_reason", F.col("t.gt_rank_pre_rerank").alias("pre"), F.col("t.gt_rank_change_pre_minus_post").alias("change"),
+    )
 
 
 def faulty_samples(spark: SparkSession, sf: str) -> DataFrame:
