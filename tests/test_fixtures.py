@@ -77,7 +77,7 @@ def test_negatives_swap_one_item(spark):
     assert two.count() == 4 and negatives.families(s, two).count() == 0
     fam = {r.sample_id: r for r in negatives.families(s, made).collect()}
     for k in ("k1", "k2"):
-        assert sum(a != b for a, b in zip(fam[f"{k}_pos"]["items"], fam[f"{k}_neg"]["items"])) == 1
+        assert sum(a != b for a, b in zip(fam[f"{k}_pos"]["items"], fam[f"{k}_neg_1"]["items"])) == 1
 
 
 FAULTS = {
@@ -101,7 +101,7 @@ def test_pair_validator_reports_each_fault(spark, code):
     good = negatives.families(s, negatives.negatives(s, metadata(s)))
     good = good.withColumn("swap", F.when(F.col("swap").isNotNull(), F.struct("swap.*", F.lit(expect.SWAP_TYPE).alias("kind"))))
     assert one(expect.gate(expect.pair_issues(good, metadata(s)))) == {"n_issues": 0, "status": "READY"}
-    at = F.col("sample_id") == "k1_neg"
+    at = F.col("sample_id") == "k1_neg_1"
     c, value = FAULTS[code]
     bad = good.withColumns({c: F.when(at, value().cast(good.schema[c].dataType)).otherwise(F.col(c))})
     found = {r.code: r.n for r in expect.summary(expect.pair_issues(bad, metadata(s)), "sample_id").collect()}
@@ -190,9 +190,54 @@ def test_retrieval_rerank_evaluation(spark):
     assert done["q1"] == ("ok", ["c", "p", "same"])
     m = one(recommend.evaluation(q, h, r))
     assert m["n_queries"] == 2 and m["coverage"] == 0.5 and m["hybrid_recall_50"] == 0.5
-    assert json.loads(recommend.trace(q, h, recommend.recommended(q, r)).where("query_id = 'q1'").first().trace)["final_top3"] == ["c", "p", "same"]
-    counters = {x.query_id: x for x in recommend.retrieval_counters(q, catalog, h).collect()}
-    assert counters["q1"].n_pool == 3 and counters["q1"].n_own == 1 and (counters["q2"].scope, counters["q2"].n_pool) == ("core7_fallback", 4)
+    assert m["successful"] <= m["evaluated_recommendations"] == 6 and m["ground_truth_not_in_full_union"] == 1 and m["fewer_than_three_final_candidates"] == 0
+    own = catalog.select("item_id", F.when(F.col("item_id") != "p", F.col("master")).alias("own_master"), F.col("coarse_id").alias("own_coarse"))
+    pool = recommend.pool_states(catalog, own, catalog.where("item_id <> 'c'"), catalog.where("item_id <> 'same'"))
+    assert {x.item_id: x.state for x in pool.collect()} == {"p": "missing_metadata", "c": "missing_embedding", "same": "missing_image", "wrong": "eligible", "own": "eligible"}
+    counters = recommend.retrieval_counters(q, pool, h)
+    got = {x.query_id: (x.retrieval_scope, x.category_pool_count, x.missing_metadata_count, x.missing_embedding_count, x.missing_image_count) for x in counters.collect()}
+    assert got == {"q1": ("exact_master_category", 0, 1, 1, 1), "q2": ("core7_fallback", 1, 1, 1, 1)}
+    t = {x.query_id: json.loads(x.trace) for x in recommend.trace(q.withColumns({"source_split": F.lit("test"), "replacement_id": F.lit("own")}), h, r, counters).collect()}
+    assert t["q1"]["final_top3"] == ["c", "p", "same"] and t["q1"]["candidate_counts"]["full_union"] == 3 and t["q1"]["excluded_counts"]["missing_image"] == 1 and t["q2"]["gt_rank_pre_rerank"] is None
+    assert t["q1"]["gt_rank_change_pre_minus_post"] == t["q1"]["gt_rank_pre_rerank"] - t["q1"]["gt_rank_post_rerank"] and len(t["q1"]) == 16
+
+
+def test_block_hits_against_all_pairs(spark):
+    rng = np.random.default_rng(3)
+    v = [(f"i{k:03}", "ab"[k % 2], [float(x) for x in np.round(rng.normal(0, 1, 4), 1)]) for k in range(120)]
+    catalog = frame(spark, v, "item_id string, scope string, v array<double>")
+    q = frame(spark, [(f"q{k}", "abz"[k % 3], [f"i{k:03}"], x[2], None if k == 4 else x[2][::-1]) for k, x in enumerate(v[:30])], "query_id string, scope string, own array<string>, one array<double>, two array<double>")
+    got = {}
+    for r in recommend.block_hits(q, catalog, ["one", "two"], k=5, pool_rows=11, query_rows=4).collect():
+        got.setdefault((r.query_id, r.channel), {})[r["rank"]] = r.item_id
+    for row in q.collect():
+        for channel in ("one", "two"):
+            if row[channel] is not None and row.scope != "z":
+                best = sorted((-round(float(np.dot(row[channel], x)), 9), i) for i, s, x in v if s == row.scope and i not in row.own)[:5]
+                assert [i for _, i in best] == [got[row.query_id, channel][k] for k in range(1, 6)]
+            else:
+                assert (row.query_id, channel) not in got
+
+
+def test_quantiles_and_cumulative_counts(spark):
+    rng = np.random.default_rng(2)
+    values = [*rng.normal(0, 1, 300).tolist(), *[0.5] * 200, 1e12, -1e12, 7.0]
+    df = frame(spark, [("a" if i % 3 else "b", float(x)) for i, x in enumerate(values)] + [("c", 4.0), ("c", None)], "g string, x double")
+    got = {r.g: (r.lo, r.mid, r.hi) for r in metrics.quantiles(df, "x", {"lo": 0.05, "mid": 0.5, "hi": 0.99}, keys=["g"]).collect()}
+    for g, xs in (("a", [x for i, x in enumerate(values) if i % 3]), ("b", values[::3]), ("c", [4.0])):
+        assert got[g] == pytest.approx(tuple(np.quantile(xs, [0.05, 0.5, 0.99])))
+    below = {r.x: r.below_n for r in metrics.cumulative(df.where("g = 'a'"), "x", {"n": F.count("*")}, bins=7).collect()}
+    assert all(n == sum(y < x for y in values[1::3] + values[2::3]) for x, n in below.items())
+
+
+def test_stage_tables_are_built_once_and_released(spark):
+    from weftline.sources import staging
+
+    made = []
+    build = lambda: made.append(1) or spark.range(5)
+    assert [staging.staged(spark, "here", "numbers", build).count() for _ in range(3)] == [5] * 3 and len(made) == 1
+    staging.release(spark)
+    assert staging.staged(spark, "here", "numbers", build).count() == 5 and len(made) == 2
 
 
 def test_embeddings(spark):
@@ -207,7 +252,7 @@ def test_evidence_and_detection(spark):
     docs = evidence.documents(looked, classes)
     assert evidence.document_issues(docs).count() == 0
     r = one(evidence.explained(docs))
-    assert "Món 2 (giày dép)" in r["headline"] and evidence.EXTRAPOLATION in r["limitations"] and r["context"] == "So với áo và quần hoặc chân váy"
+    assert "Món 2 (giày)" in r["headline"] and evidence.EXTRAPOLATION in r["limitations"] and r["context"] == "So với áo trên và quần hoặc váy dưới"
     assert {x.code for x in evidence.document_issues(docs.withColumn("top1_top2_delta_gap", F.lit(9.0))).collect()} == {"gap_identity"}
     scores = frame(spark, [("x", "TOP", 0, 0.5), ("x", "BAG", 1, 0.5), ("y", "TOP", 0, 0.2), ("y", "BAG", 1, 0.9)], "id string, category string, position int, score double")
     best = {b.id: (b.category, b.accepted) for b in detection.best_category(scores, margin=0.1).collect()}
@@ -216,6 +261,18 @@ def test_evidence_and_detection(spark):
     assert [(p.a, p.b, p.distance) for p in detection.duplicate_pairs(hashes).collect()] == [("b", "a", 3)] or [(p.a, p.b, p.distance) for p in detection.duplicate_pairs(hashes).collect()] == [("a", "b", 3)]
 
 
+@pytest.mark.parametrize("within", [0, 5, 9, 15])
+def test_image_pairs_against_all_pairs(spark, within):
+    rng = np.random.default_rng(within)
+    base = [int(x) for x in rng.integers(-(1 << 63), 1 << 63, 25)]
+    flip = lambda h, n: int(np.uint64(h & (1 << 64) - 1) ^ np.uint64(sum(1 << int(b) for b in rng.choice(64, n, replace=False)))) - (0)
+    signed = lambda h: h - (1 << 64) if h >= 1 << 63 else h
+    rows = [(f"a{i}", "train", h) for i, h in enumerate(base)] + [(f"b{i}", "test", signed(flip(h, i % 18))) for i, h in enumerate(base)] + [("c", "valid", base[0]), ("d", "train", base[0])]
+    far = lambda x, y: bin((x ^ y) & (1 << 64) - 1).count("1")
+    want = {(a, b, far(x, y)) for a, s, x in rows for b, t, y in rows if s < t and far(x, y) <= within}
+    assert {tuple(r) for r in detection.duplicate_pairs(frame(spark, rows, "image_id string, split string, phash long"), within=within).select("a", "b", "distance").collect()} == want
+
+
 def test_json_documents():
     assert documents.single_object('```json\n{"a": 1}\n```') == {"a": 1}
     for bad in ('{"a": 1, "a": 2}', 'x {"a": 1}', "[1]", "", None):

@@ -58,7 +58,7 @@ def block_hits(queries: DataFrame, catalog: DataFrame, channels: list[str], *, k
                     row, column = np.nonzero(np.take_along_axis(score, top, 1) > -np.inf)
                     top = top[row, column]
                     out.append(pd.DataFrame({"query_id": few["query_id"].to_numpy()[row], "channel": channel, "item_id": name[top], "similarity": score[row, top]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "channel": [], "item_id": [], "similarity": []})
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "channel": [], "item_id": [], "similarity": []}, dtype=object)
 
     kind = queries.schema["query_id"].dataType.simpleString()
     near = asked.groupBy("scope", "_p", "_q").cogroup(pool.groupBy("scope", "_p", "_q")).applyInPandas(best, f"query_id {kind}, channel string, item_id string, similarity double")
