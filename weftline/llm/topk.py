@@ -16,6 +16,8 @@ K, SCALE, EVERY = 5, 256.0, 50
 SHARD_ROWS, LEAF, QUERY_BLOCK = 8192, 64, 2048
 #: A wave searches so many times as many shards as all waves before it; so there are few waves, and most shards know good scores.
 WAVE = 3
+#: Leaves that each query visits in an order of its own before all queries share one.
+OWN_LEAVES = 3
 #: Scores up to here are sums that doubles hold exactly; the largest double and long.
 EXACT, MOST, LONG = float(1 << 53), 1.7976931348623157e308, (1 << 63) - 1
 
@@ -59,11 +61,17 @@ class BallTree:
             self.children[node] = (left, self._grow(m, a + cut, b, leaf))
         return node
 
-    def bounds(self, q: np.ndarray, length: np.ndarray, node: int) -> np.ndarray:
-        """The largest inner product that a vector of the node can have with each query, with room for rounding."""
-        best = q @ self.centre[node] + length * self.radius[node]
-        best = best + 1e-9 * (length * (self.radius[node] + np.sqrt((self.centre[node] ** 2).sum()))) + 1e-6
-        return np.where(np.isnan(best), np.inf, best)  # beyond doubles nothing is pruned
+    def leaf_bounds(self, q: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(leaves, for each query and leaf the largest inner product that a vector of the leaf can have with it, with room for
+        rounding): the least bound of the leaf and of all nodes above it."""
+        best = q @ self.centre.T + length[:, None] * self.radius
+        best = best + 1e-9 * (length[:, None] * (self.radius + np.sqrt((self.centre**2).sum(axis=1)))) + 1e-6
+        best = np.where(np.isnan(best), np.inf, best)  # beyond doubles nothing is pruned
+        for node, below in enumerate(self.children):  # a node comes before its children
+            for child in below or ():
+                np.minimum(best[:, child], best[:, node], out=best[:, child])
+        leaves = np.array([i for i, below in enumerate(self.children) if below is None])
+        return leaves, best[:, leaves]
 
 
 def dot(q: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -81,8 +89,8 @@ def dot(q: np.ndarray, m: np.ndarray) -> np.ndarray:
 def search(tree: BallTree, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query position, vec_id, score) of each query's k best rows of the tree that reach least, ties to smaller ids.
 
-    Queries go down together, at each node those whose bound reaches their k-th score so far; of two children each query
-    takes the one with the larger bound of its own first.
+    Each query visits the leaves with its OWN_LEAVES largest bounds in that order, together with the queries that are at the same leaf;
+    then all leaves are gone through once, each by the queries whose bound there still reaches their k-th score.
     """
     ids = ids[tree.order]
     n = len(q)
@@ -91,34 +99,36 @@ def search(tree: BallTree, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, le
     found = np.full((n, k), np.iinfo(np.int64).max, np.int64)
     kth = least.astype(np.float64).copy()
 
-    def visit(node: int, alive: np.ndarray) -> None:
-        alive = alive[tree.bounds(q[alive], length[alive], node) >= kth[alive]]
-        if not len(alive):
+    def visit(leaf: int, alive: np.ndarray) -> None:
+        a, b = tree.rows[leaf]
+        at = np.broadcast_to(ids[a:b], (len(alive), b - a))
+        own = at == q_ids[alive][:, None]
+        got = dot(q[alive], tree.m[a:b])
+        fit = (got >= kth[alive][:, None]) & ~own
+        some = fit.any(axis=1)
+        if not some.any():
             return
-        if tree.children[node] is None:
-            a, b = tree.rows[node]
-            at = np.broadcast_to(ids[a:b], (len(alive), b - a))
-            own = at == q_ids[alive][:, None]
-            got = dot(q[alive], tree.m[a:b])
-            fit = (got >= kth[alive][:, None]) & ~own
-            some = fit.any(axis=1)
-            alive, got, at = alive[some], np.where(fit, got, np.iinfo(np.int64).min)[some], np.where(fit, at, np.iinfo(np.int64).max)[some]
-            every, place = np.concatenate([score[alive], got], 1), np.concatenate([found[alive], at], 1)
-            best = np.lexsort((place, ~every), axis=1)[:, :k]
-            score[alive], found[alive] = np.take_along_axis(every, best, 1), np.take_along_axis(place, best, 1)
-            full = found[alive, -1] != np.iinfo(np.int64).max
-            kth[alive[full]] = np.maximum(kth[alive[full]], score[alive[full], -1].astype(np.float64))
-            return
-        left, right = tree.children[node]
-        over = tree.bounds(q[alive], length[alive], right) > tree.bounds(q[alive], length[alive], left)
-        for one, other, mine in ((left, right, alive[~over]), (right, left, alive[over])):
-            if len(mine):
-                visit(one, mine)
-                visit(other, mine)
+        alive, got, at = alive[some], np.where(fit, got, np.iinfo(np.int64).min)[some], np.where(fit, at, np.iinfo(np.int64).max)[some]
+        every, place = np.concatenate([score[alive], got], 1), np.concatenate([found[alive], at], 1)
+        best = np.lexsort((place, ~every), axis=1)[:, :k]
+        score[alive], found[alive] = np.take_along_axis(every, best, 1), np.take_along_axis(place, best, 1)
+        full = found[alive, -1] != np.iinfo(np.int64).max
+        kth[alive[full]] = np.maximum(kth[alive[full]], score[alive[full], -1].astype(np.float64))
 
     if n and len(ids):
         with np.errstate(over="ignore", invalid="ignore"):
-            visit(0, np.arange(n))
+            leaves, bound = tree.leaf_bounds(q, length)
+            first = np.argsort(-bound, axis=1, kind="stable")[:, :OWN_LEAVES]
+            for t in range(first.shape[1]):
+                for j in np.unique(first[:, t]):
+                    mine = np.flatnonzero((first[:, t] == j) & (bound[:, j] >= kth))
+                    if len(mine):
+                        visit(int(leaves[j]), mine)
+            np.put_along_axis(bound, first, -np.inf, 1)  # visited
+            for j in np.argsort(-bound.max(axis=0), kind="stable"):
+                mine = np.flatnonzero((bound[:, j] >= kth) & (bound[:, j] > -np.inf))
+                if len(mine):
+                    visit(int(leaves[j]), mine)
     row, column = np.nonzero(found != np.iinfo(np.int64).max)
     return row, found[row, column], score[row, column]
 
