@@ -244,9 +244,10 @@ def word_features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     full = words.hashes(raw, starts, ends)
     stem = words.hashes(raw, starts[long], starts[long] + STEM) ^ np.uint64(0x5BF03635)
     found = [(doc, full), (doc[long], stem)]
-    forms = np.unique(np.stack([doc[long], stem, full[long]]), axis=1)
-    stems, n = np.unique(forms[:2], axis=1, return_counts=True)
-    found += [(stems[0, n >= m], mix64(stems[1, n >= m] + np.uint64(m))) for m in FORMS]
+    pair = mix64(stem + doc[long] * np.uint64(0x9E3779B97F4A7C15))  # text and stem as one number
+    _, at = np.unique(mix64(pair ^ full[long] * np.uint64(0xD6E8FEB86659FD93)), return_index=True)
+    _, where, n = np.unique(pair[at], return_index=True, return_counts=True)
+    found += [(doc[long][at[where[n >= m]]], mix64(stem[at[where[n >= m]]] + np.uint64(m))) for m in FORMS]
     key = np.unique(np.concatenate([d.astype(np.int64) << 18 | (h % np.uint64(DIMS)).astype(np.int64) for d, h in found]))
     return key >> 18, key & (DIMS - 1)
 
