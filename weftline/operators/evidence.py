@@ -19,6 +19,8 @@ DIMENSIONS = ("color_harmony", "pattern_coherence", "silhouette_balance", "forma
 CONFIDENCES = ("low", "medium", "high")
 LOO_EFFECTS = ("supports_loo", "ambiguous", "contradicts_loo")
 RECOMMENDATION_EFFECTS = ("supports_recommendation", "ambiguous", "contradicts_recommendation")
+# What a recommendation section states of itself.
+SECTION = {"status": "available", "version": "category-aware-hybrid-v2", "ranking_semantics": "frozen_scorer_descending_compatibility_logit", "score_semantics": "uncalibrated_logits_not_probabilities"}
 # Codes of refused requests, in the order of tests.
 REQUEST_CODES = ("insufficient_garments", "too_many_garments", "missing_embedding", "missing_category", "invalid_embedding_shape", "non_finite_embedding", "embedding_not_l2_normalized", "invalid_category", "duplicate_item_id")
 NORM_TOLERANCE = 1e-3
@@ -112,6 +114,19 @@ def recommendation_issues(recommendations: DataFrame, *, tolerance: float = 1e-5
     })
 
 
+def recommendation_sections(recommendations: DataFrame) -> DataFrame:
+    """query_id, section (JSON): the recommendation section of an evidence document, scores included, and public (JSON): its items without
+    scores. recommendations: query_id, problem, problem_id, rows as recommendation_issues() takes them; rows that break a rule there have no section."""
+    bad = recommendation_issues(recommendations).select("query_id").distinct()
+    fine = recommendations.join(bad, "query_id", "left_anti")
+    shown = lambda r: [r["rank"].cast("int").alias("rank"), r["item_id"].alias("item_id"), r["master"].alias("master_category"), F.upper(r["coarse"]).alias("coarse_category")]
+    scored = F.transform("rows", lambda r: F.struct(*shown(r), r["logit"].alias("compatibility_logit"), r["improvement"].alias("improvement_logit")))
+    fixed = {k: F.lit(v).alias(k) for k, v in SECTION.items()}
+    section = F.struct(fixed["status"], fixed["version"], F.col("problem").cast("int").alias("problematic_item_index"), F.col("problem_id").alias("problematic_item_id"), fixed["ranking_semantics"], fixed["score_semantics"], scored.alias("items"))
+    public = F.struct(F.lit("ok").alias("status"), F.lit(SECTION["version"]).alias("recommendation_version"), F.transform("rows", lambda r: F.struct(*shown(r))).alias("items"))
+    return fine.select("query_id", F.to_json(section).alias("section"), F.to_json(public).alias("public"))
+
+
 def _vocabulary(obs: Column, effects: tuple[str, ...], prefix: str) -> dict[str, Column]:
     out = lambda field, allowed: F.exists(obs, lambda o: ~F.coalesce(o[field].isin(*allowed), F.lit(False)))
     return {f"{prefix}_dimension": out("dimension", DIMENSIONS), f"{prefix}_effect": out("effect", effects), f"{prefix}_confidence": out("confidence", CONFIDENCES)}

@@ -152,7 +152,7 @@ def final_recommendations(spark: SparkSession, sf: str) -> DataFrame:
     name = F.element_at(F.create_map(*(F.lit(x) for k, v in clean.CATEGORY_IDS.items() for x in (v, k))), F.col("coarse_id"))
     top = ranked.where("final_rank <= 3").select("query_id", "final_rank", "item_id", "logit", "improvement").join(c.select("item_id", "master", name.alias("coarse")), "item_id")
     rows = top.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(F.col("final_rank").alias("rank"), "item_id", "master", "coarse", "logit", "improvement"))).alias("rows")).where("size(rows) = 3")
-    x = q.select("query_id", F.col("item_ids").alias("outfit_ids")).join(rows, "query_id")
+    x = q.select("query_id", "problem", F.get("item_ids", F.col("problem")).alias("problem_id"), F.col("item_ids").alias("outfit_ids")).join(rows, "query_id")
     one = F.get("rows", F.lit(0))
     x = x.withColumns({"scorer_ids": F.col("rows.item_id"), "baseline": one["logit"] - one["improvement"], "r": kit_number("query_id") % 30})
     # a pool of a class may hold items of the problem's class only; a pool of a master category is made to, for this query
@@ -175,6 +175,22 @@ def recommendation_issues(spark: SparkSession, sf: str) -> DataFrame:
     return evidence.recommendation_issues(x).groupBy("code").agg(F.count("*").alias("n"))
 
 
+CLASS_NAME = "CASE c.coarse_id WHEN 1 THEN 'TOP' WHEN 2 THEN 'BOTTOM' WHEN 3 THEN 'DRESS' WHEN 4 THEN 'OUTERWEAR' WHEN 5 THEN 'SHOES' WHEN 6 THEN 'BAG' WHEN 7 THEN 'HAT' END"
+
+
+@query("recommendation_sections", f"""SELECT q.query_id, '{{"status":"ok","recommendation_version":"category-aware-hybrid-v2","items":[' || items || ']}}' AS public, 'available' AS status, q.problem::INTEGER AS position, q.item_ids[q.problem + 1] AS problem_id, round(best + 1e-11, 6) AS best_logit, round(gain + 1e-11, 6) AS best_improvement
+  FROM q JOIN (SELECT query_id, string_agg('{{"rank":' || final_rank || ',"item_id":"' || item_id || '","master_category":"' || master || '","coarse_category":"' || first_class || '"}}', ',' ORDER BY final_rank) AS items, max(CASE WHEN final_rank = 1 THEN logit END) AS best, max(CASE WHEN final_rank = 1 THEN improvement END) AS gain
+    FROM (SELECT r.query_id, r.item_id, r.final_rank, r.logit, r.improvement, c.master, first_value({CLASS_NAME}) OVER (PARTITION BY r.query_id ORDER BY r.final_rank) AS first_class FROM ranked r JOIN catalog c USING (item_id) WHERE final_rank <= 3) GROUP BY query_id HAVING count(*) = 3) USING (query_id)""", "q", "ranked", "catalog")
+def recommendation_sections(spark: SparkSession, sf: str) -> DataFrame:
+    """Recommendation sections of evidence documents, and what the public sees of them."""
+    x = evidence.recommendation_sections(final_recommendations(spark, sf))
+    schema = "status string, problematic_item_index int, problematic_item_id string, items array<struct<compatibility_logit double, improvement_logit double>>"
+    s = x.select("query_id", "public", F.from_json("section", schema).alias("s"))
+    one = F.get("s.items", F.lit(0))
+    off = lambda c: F.round(c + F.lit(1e-11), 6)
+    return s.select("query_id", "public", "s.status", F.col("s.problematic_item_index").alias("position"), F.col("s.problematic_item_id").alias("problem_id"), off(one["compatibility_logit"]).alias("best_logit"), off(one["improvement_logit"]).alias("best_improvement"))
+
+
 def _fields(row, values: dict):
     for k, v in values.items():
         row = row.withField(k, v)
@@ -182,7 +198,7 @@ def _fields(row, values: dict):
 
 
 NAMES = ["shoe", "hat"]
-LABEL = "coalesce(CASE WHEN p_size % 5 <> 0 THEN lower(trim(regexp_replace(p_type, '\s+', ' ', 'g'))) END, CASE p_size % 4 WHEN 0 THEN 'shoe' WHEN 1 THEN 'hat' END, 'unknown')"
+LABEL = r"coalesce(CASE WHEN p_size % 5 <> 0 THEN lower(trim(regexp_replace(p_type, '\s+', ' ', 'g'))) END, CASE p_size % 4 WHEN 0 THEN 'shoe' WHEN 1 THEN 'hat' END, 'unknown')"
 
 
 @query("detection_candidates", f"""SELECT label, CASE WHEN label NOT IN ('shoe', (SELECT min(lower(p_type)) FROM part)) THEN 'unsupported_fashionpedia_object_type' END AS reject_reason, count(*) AS n FROM (SELECT {LABEL} AS label FROM part) GROUP BY ALL""")
