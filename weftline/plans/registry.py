@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import agreement, benchmark, documents, files, legacy, reports, retrieval  # noqa: F401  they register their queries
+from . import agreement, benchmark, documents, external, files, legacy, reports, retrieval  # noqa: F401  they register their queries
 from .domain import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

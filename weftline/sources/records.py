@@ -35,10 +35,14 @@ def read_json_object(spark: SparkSession, path: str) -> dict:
     return single_object(spark.read.text(path, wholetext=True).first()[0])
 
 
+def write_object(spark: SparkSession, value: dict, path: str) -> None:
+    """An indented object, keys in order; Spark's committer moves it into place whole."""
+    spark.createDataFrame([(json.dumps(value, indent=2, ensure_ascii=False, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
 def write_report(df: DataFrame, path: str) -> None:
     """A report of one row as an indented object."""
-    row = json.loads(df.toJSON().first())
-    df.sparkSession.createDataFrame([(json.dumps(row, indent=2, ensure_ascii=False, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    write_object(df.sparkSession, json.loads(df.toJSON().first()), path)
 
 
 def read_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
