@@ -95,6 +95,35 @@ def retrieval_queries(outfits: DataFrame, dim: int) -> DataFrame:
     return outfits.select("*", at["v"].alias("item_query"), centroid(F.transform(rest, lambda e: e["v"]), dim).alias("context_query"), F.col("entries.item_id").alias("item_ids"))
 
 
+def diagnosed(outfits: DataFrame, found: DataFrame, masters: DataFrame) -> DataFrame:
+    """outfits (query_id, entries, ...) with the place that leave-one-out ranks first as the problem, and its item's categories.
+
+    found: sample_id, rank, position (scoring.leave_one_out); masters: item_id, master (null: only the class is known), coarse_id.
+    """
+    worst = found.where("rank = 1").select(F.col("sample_id").alias("query_id"), F.col("position").cast("int").alias("problem"))
+    df = outfits.drop("problem", "problem_master", "problem_coarse_id").join(worst, "query_id")
+    named = masters.select(F.col("item_id").alias("_at"), F.col("master").alias("problem_master"), F.col("coarse_id").alias("problem_coarse_id"))
+    return df.withColumn("_at", F.get("entries", F.col("problem"))["item_id"]).join(named, "_at").drop("_at")
+
+
+def internal_metadata(queries: DataFrame, counters: DataFrame, candidates: DataFrame, ranked: DataFrame, *, protocol: str | None = None) -> DataFrame:
+    """query_id, problematic_item_index, loo_protocol_version (null where no diagnosis chose the place), retrieval (scope, target and counters),
+    reranked_candidates by final rank, retrieval_candidates by order rank: what a recommendation keeps for audit, at most both channels' hits.
+
+    candidates: hybrid(); ranked: reranked(); counters: retrieval_counters() of the same queries.
+    """
+    listed = lambda df, order, *fields: df.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(order, "item_id", *fields))).alias("_l"))
+    last = listed(ranked, "final_rank", "logit", "improvement", "used_category_id", "used_fallback").select("query_id", F.transform("_l", lambda x: F.struct(x["item_id"].alias("item_id"), x["logit"].alias("compatibility_logit"), x["improvement"].alias("improvement_logit"), x["used_category_id"].alias("category_id_used"), x["used_fallback"].alias("used_category_fallback"))).alias("reranked_candidates"))
+    hits = listed(candidates, "order_rank", "item_rank", "context_rank").select("query_id", F.transform("_l", lambda x: F.struct(x["item_id"].alias("item_id"), x["item_rank"].alias("problematic_rank"), x["context_rank"].alias("context_rank"))).alias("retrieval_candidates"))
+    counted = counters.select("query_id", *(c for c in counters.columns if c != "query_id"))
+    names = [c for c in counted.columns if c != "query_id"]
+    df = queries.select("query_id", F.col("problem").cast("int").alias("problematic_item_index"), F.lit(protocol).alias("loo_protocol_version"), F.col("problem_master").alias("_master"), F.col("problem_coarse_id").alias("_class"))
+    df = df.join(counted, "query_id", "left").join(last, "query_id", "left").join(hits, "query_id", "left")
+    retrieval = F.struct(F.col("_master").alias("target_master_category"), F.col("_class").alias("target_category_id"), *names)
+    none = lambda c: F.coalesce(c, F.slice(F.array(F.get(c, F.lit(0))), 1, 0))
+    return df.select("query_id", "problematic_item_index", "loo_protocol_version", retrieval.alias("retrieval"), none("reranked_candidates").alias("reranked_candidates"), none("retrieval_candidates").alias("retrieval_candidates"))
+
+
 def hybrid(queries: DataFrame, catalog: DataFrame, *, k: int = K, digits: int = 9) -> DataFrame:
     """The union of the k best hits by item and by context: query_id, item_id, item_rank, context_rank, order_rank, scope.
 

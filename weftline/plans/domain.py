@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark import StorageLevel
@@ -188,6 +189,12 @@ PARTS = {
    JOIN (SELECT c.query_id, c.item_id, sum(list_inner_product(e.v, k.v)) AS s FROM cand c JOIN catalog k USING (item_id) JOIN entry e ON e.sample_id = c.query_id AND e.pos <> e.problem GROUP BY ALL) o USING (query_id, item_id))""",
 }
 
+# The parts of retrieval once more, under an l, with the place that leave-one-out ranks first in place of the swapped one.
+AGAIN = {"entry": "SELECT * REPLACE (p AS problem) FROM entry JOIN (SELECT sample_id, position AS p FROM loo WHERE rank = 1) USING (sample_id)"}
+for _name in ("q", "ctx", "scope", "cand", "ranked"):
+    AGAIN[_name] = re.sub(r"\b(entry|q|ctx|scope|cand|ranked)\b", r"l\1", PARTS[_name])
+PARTS |= {f"l{name}": sql for name, sql in AGAIN.items()}
+
 
 def with_parts(sql: str, *needs: str) -> str:
     """sql after the parts that it needs, directly or through others, in order."""

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import recommend
+from ..operators.reports import LOO_VERSION
 from . import domain as d
-from .agreement import rounded
+from .agreement import loo, rounded
 from .domain import query, staged
 
 
@@ -74,6 +75,37 @@ def recommendations(spark: SparkSession, sf: str) -> DataFrame:
     return recommend.recommended(q, r).withColumn("items", F.array_join("items", ","))
 
 
+def diagnosed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Queries whose problem is the place that leave-one-out found, the catalog, candidates, reranked."""
+    c = d.catalog(spark, sf)
+    masters = c.select("item_id", F.when(F.col("master") != "L9", F.col("master")).alias("master"), "coarse_id")
+    q = staged(spark, sf, "diagnosed-queries", lambda: recommend.retrieval_queries(recommend.diagnosed(d.test_queries(spark, sf), loo(spark, sf), masters), d.DIM))
+    found = staged(spark, sf, "diagnosed-candidates", lambda: recommend.hybrid(q, c))
+    return q, c, found, staged(spark, sf, "diagnosed-reranked", lambda: recommend.reranked(q, found, c, d.DIM))
+
+
+@query("loo_recommendations", """SELECT lq.query_id, lq.problem::INTEGER AS position, CASE WHEN coalesce(n, 0) = 3 THEN 'ok' ELSE 'insufficient_candidates' END AS status, coalesce(items, '') AS items FROM lq
+  LEFT JOIN (SELECT query_id, count(*) AS n, string_agg(item_id, ',' ORDER BY final_rank) AS items FROM lranked WHERE final_rank <= 3 GROUP BY 1) USING (query_id)""", "lq", "lranked")
+def loo_recommendations(spark: SparkSession, sf: str) -> DataFrame:
+    """Recommendations for the item that leave-one-out blames, not for the one that was swapped."""
+    q, _, _, r = diagnosed(spark, sf)
+    return recommend.recommended(q, r).withColumn("items", F.array_join("items", ",")).join(q.select("query_id", F.col("problem").alias("position")), "query_id").select("query_id", "position", "status", "items")
+
+
+@query("recommendation_metadata", """SELECT lq.query_id, lq.problem::INTEGER AS position, 'loo-diagnostic-v1' AS protocol, lq.problem_master AS master, lq.problem_coarse_id AS class, coalesce(n_item, 0) AS problematic_hit_count, coalesce(n, 0) AS union_count, coalesce(n, 0)::INTEGER AS n_retrieved, coalesce(r.reranked, '') AS reranked, coalesce(c.retrieved, '') AS retrieved, round(best + 1e-11, 6) AS best_logit FROM lq
+  LEFT JOIN (SELECT query_id, count(*) AS n, count(item_rank) AS n_item, string_agg(item_id || ':' || coalesce(item_rank::VARCHAR, '') || ':' || coalesce(context_rank::VARCHAR, ''), ',' ORDER BY order_rank) AS retrieved FROM lcand GROUP BY 1) c USING (query_id)
+  LEFT JOIN (SELECT query_id, string_agg(item_id, ',' ORDER BY final_rank) AS reranked, max(logit) AS best FROM lranked GROUP BY 1) r USING (query_id)""", "lq", "lcand", "lranked")
+def recommendation_metadata(spark: SparkSession, sf: str) -> DataFrame:
+    """What is kept of each recommendation for audit."""
+    q, _, found, r = diagnosed(spark, sf)
+    x = recommend.internal_metadata(q, recommend.retrieval_counters(q, faulty_pool(spark, sf), found), found, r, protocol=LOO_VERSION)
+    told = F.transform("retrieval_candidates", lambda h: F.concat_ws(":", h["item_id"], F.coalesce(h["problematic_rank"].cast("string"), F.lit("")), F.coalesce(h["context_rank"].cast("string"), F.lit(""))))
+    return x.select(
+        "query_id", F.col("problematic_item_index").alias("position"), F.col("loo_protocol_version").alias("protocol"), F.col("retrieval.target_master_category").alias("master"), F.col("retrieval.target_category_id").alias("class"), "retrieval.problematic_hit_count", "retrieval.union_count",
+        F.size("retrieval_candidates").alias("n_retrieved"), F.array_join("reranked_candidates.item_id", ",").alias("reranked"), F.array_join(told, ",").alias("retrieved"), F.round(F.get("reranked_candidates", F.lit(0))["compatibility_logit"] + F.lit(1e-11), 6).alias("best_logit"),
+    )
+
+
 RECALL = ", ".join(f"round(avg(coalesce({c} <= {k}, false)::INT), 6) AS {n}_recall_{k}" for n, c in (("item", "item_rank"), ("context", "context_rank"), ("hybrid", "order_rank")) for k in recommend.DEPTHS)
 
 
