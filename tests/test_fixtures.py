@@ -336,3 +336,27 @@ def test_bootstrap_query_draws_as_often_as_the_reference(spark):
 
     got = {r.statistic: r for r in registry.QUERIES["bootstrap_intervals"](spark, "/root/testdata/sf0.001").collect()}
     assert set(got) == {"tau", "rho"} and all(9900 <= r.n_valid <= 10_000 and r.ci_low < r.ci_high for r in got.values())
+
+
+def test_vectors_are_looked_up_or_joined_alike(spark):
+    vectors = frame(spark, [(0, 5, [1.0, 0.0]), (1, 6, [0.0, 1.0]), (2, 7, None), (3, 1, [1.0, 1.0]), (3, 2, [2.0, 2.0])], "vec_id long, label int, v array<double>")
+    rows = [("a", [1, 0, 1]), ("b", [0, 9]), ("c", [2, 0]), ("d", [3, 0]), ("e", []), ("f", None), ("g", [None, 0]), ("a", [1, 0, 1])]
+    df = frame(spark, rows, "sample_id string, vec_ids array<long>")
+    got = [sorted((r.sample_id, list(r.vec_ids), r.vs, r.labels) for r in scoring.attached(df, vectors, held_bytes=n).collect()) for n in (1 << 20, 0)]
+    assert got[0] == got[1] == [("a", [1, 0, 1], [[0.0, 1.0], [1.0, 0.0], [0.0, 1.0]], [6, 5, 6])] * 2 + [("c", [2, 0], [None, [1.0, 0.0]], [7, 5])]
+    assert scoring.attached(df, vectors.where("false")).count() == 0
+    held, joined = (scoring.attached(df, vectors, held_bytes=n)._jdf.queryExecution().toString() for n in (1 << 20, 0))
+    assert "Exchange" not in held and "Exchange" in joined  # no vector is shuffled
+
+
+def test_a_row_per_outfit_serves_as_the_rows_per_position(spark):
+    rng = np.random.default_rng(1)
+    rows = [(s, n % 3, [(i, f"i{i}", i % 7 + 1, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(n, 4)))]) for s, n in (("s", 5), ("t", 3), ("u", 2))]
+    df = frame(spark, rows, "sample_id string, target int, " + ENTRIES.partition(", ")[2])
+    found, ranked = scoring.diagnosed(df, 4, "sample_id", "target"), scoring.leave_one_out(df, 4, "sample_id")
+    key = lambda r: str(r.sizes)
+    assert sorted(scoring.localized(found).collect(), key=key) == sorted(scoring.localization(ranked, df.select("sample_id", "target")).collect(), key=key)
+    names = {1: "TOP", 2: "BOTTOM", 3: "DRESS", 4: "OUTERWEAR", 5: "SHOES"}
+    classes = F.create_map(*(F.lit(x) for pair in names.items() for x in pair))
+    whole = evidence.documents(ranked, frame(spark, [(f"i{i}", names[i + 1]) for i in range(5)], "item_id string, coarse string"))
+    assert sorted(map(tuple, evidence.documents_of(found, classes).collect())) == sorted(map(tuple, whole.collect()))
