@@ -611,3 +611,21 @@ def test_word_hashes_do_not_cross_texts():
     assert list(zip(starts, ends)) == [(0, 2), (3, 5), (5, 7)]
     h = words.hashes(raw, starts, ends)
     assert h[0] == h[2] != h[1]
+
+
+def test_mixing_takes_what_the_schedule_takes(spark, monkeypatch):
+    """A schedule without its odd slots: what it doesn't take is in no row, of either query's operator."""
+    whole = mixing.schedule
+    monkeypatch.setattr(mixing, "schedule", lambda plan, **options: whole(plan, **options).where("slot % 2 = 0"))
+    rows = [(i, "ab"[i % 2], " ".join(f"w{i}x{k}" for k in range(5 + i % 40))) for i in range(200)] + [(7, "b", " ".join(f"v{k}" for k in range(12)))]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    out, pieces = mixing.mix(df, block_words=16)
+    slots, taken = pieces.collect(), Counter()
+    assert slots and all(p.slot % 2 == 0 for p in slots)
+    for r in out.collect():
+        taken[r.source] += r.taken
+    assert sum(taken.values()) == sum(p.words for p in slots)
+    words = Counter()
+    for r in mixing.mixed_documents(df, block_words=16).collect():
+        words[r.source] += len(WORD.findall(r.text))
+    assert words == taken

@@ -134,8 +134,7 @@ def mix(docs: DataFrame, *, size: str | None = None, weights=WEIGHTS, share: flo
     docs: doc_id, source, text, others are kept; size: a column that holds the number of words, in place of text. documents:
     docs with size (words; null text 0), source_size, start, target, taken (words that the mix takes, repeats counted); columns
     of docs with these names are replaced. pieces: the mix in order: slot, source, block, pass_no, doc_id, word_from, words; a
-    block cuts documents, of any length, where it ends, as a token stream does. A source's slots take its blocks in order, pass by
-    pass, so taken follows from their number. Sources by code point, null last as a source of its own; empty documents are
+    block cuts documents, of any length, where it ends, as a token stream does. taken counts the words of the pieces. Sources by code point, null last as a source of its own; empty documents are
     never taken; repeated rows are different documents. Reruns agree. An empty table gives empty tables. Only DataFrame
     functions; texts move only if docs has them.
     """
@@ -144,56 +143,52 @@ def mix(docs: DataFrame, *, size: str | None = None, weights=WEIGHTS, share: flo
     plan = planned(sized, weights=weights, share=share, passes=passes, block_words=block_words)
     flow = streams(sized, seed=seed)
     slots = written(schedule(plan), "mix-schedule")
-    words, blocks, n = F.col("__wl_w"), F.col("__wl_b"), F.col("__wl_n")
-    about = plan.select(F.col("source").alias("__wl_s"), F.col("words").alias("__wl_w"), F.col("blocks").alias("__wl_b"), F.col("slots").alias("__wl_n"), "target")
-    met = flow.join(F.broadcast(about), F.col("source").eqNullSafe(F.col("__wl_s")))  # a row per source
-    over = F.greatest(F.lit(0), F.least(F.col("size"), block_start(n % blocks, words, blocks) - F.col("start")))
-    rows = met.withColumn("source_size", words).withColumn("taken", (F.col("size") * div(n, blocks) + over).cast("long")).drop("__wl_s", "__wl_w", "__wl_b", "__wl_n")
-    first, last = block_of(F.col("start"), words, blocks), F.least(block_of(F.col("start") + F.col("size") - 1, words, blocks), n - 1)
-    cut = met.where("size > 0").select("doc_id", "source", "size", "start", "__wl_w", "__wl_b", first.alias("__wl_f"), last.alias("__wl_l")).where("__wl_f <= __wl_l")
+    mixed = pieces(flow, plan, slots)
+    about = plan.select(F.col("source").alias("__wl_s"), F.col("words").alias("source_size"), "target")
+    rows = flow.join(F.broadcast(about), F.col("source").eqNullSafe(F.col("__wl_s"))).drop("__wl_s")  # a row per source
+    sums = mixed.groupBy(F.col("source").alias("__wl_s"), F.col("start").alias("__wl_at")).agg(F.sum("words").alias("taken"))
+    here = F.when(F.col("size") > 0, F.col("start"))  # in a source no two documents with words start at one word
+    rows = rows.join(sums, F.col("source").eqNullSafe(F.col("__wl_s")) & (here == F.col("__wl_at")), "left").withColumn("taken", F.coalesce("taken", F.lit(0).cast("long"))).drop("__wl_s", "__wl_at")
+    return rows, mixed.drop("start")
+
+
+def pieces(flow: DataFrame, plan: DataFrame, slots: DataFrame, *keep: str) -> DataFrame:
+    """What each slot of the schedule takes of each document: slot, source, block, pass_no, doc_id, start (of the document in its source),
+    word_from, words, and the columns of flow in keep. flow: rows of streams(), plan: of dealt(), slots: of schedule()."""
+    words, blocks = F.col("__wl_w"), F.col("__wl_b")
+    about = plan.select(F.col("source").alias("__wl_s"), F.col("words").alias("__wl_w"), F.col("blocks").alias("__wl_b"), F.col("slots").alias("__wl_n"))
+    met = flow.where("size > 0").join(F.broadcast(about), F.col("source").eqNullSafe(F.col("__wl_s")))  # a row per source
+    first, last = block_of(F.col("start"), words, blocks), F.least(block_of(F.col("start") + F.col("size") - 1, words, blocks), F.col("__wl_n") - 1)
+    cut = met.select("doc_id", "source", *{"size": 0, "start": 0} | dict.fromkeys(keep, 0), "__wl_w", "__wl_b", first.alias("__wl_f"), last.alias("__wl_l")).where("__wl_f <= __wl_l")
     cut = cut.withColumn("block", F.explode(F.sequence("__wl_f", "__wl_l")))
     low, high = F.greatest(F.col("start"), block_start(F.col("block"), words, blocks)), F.least(F.col("start") + F.col("size"), block_start(F.col("block") + 1, words, blocks))
-    cut = cut.select("doc_id", "source", "block", (low - F.col("start")).alias("word_from"), (high - low).alias("words"))
+    cut = cut.select("doc_id", "source", "start", *keep, "block", (low - F.col("start")).alias("word_from"), (high - low).alias("words"))
     order = slots.select("slot", "pass_no", F.col("source").alias("__wl_s"), F.col("block").alias("__wl_b"))
-    mixed = cut.join(order, F.col("source").eqNullSafe(F.col("__wl_s")) & (F.col("block") == F.col("__wl_b"))).select("slot", "source", "block", "pass_no", "doc_id", "word_from", "words")
-    return rows, mixed
-
-
-def edges(plan: DataFrame, flow: DataFrame) -> DataFrame:
-    """A row per source: __wl_s, rounds (whole passes that the mix makes over it) and the document in its stream where the last,
-    unfinished pass ends: __wl_ek and __wl_ei (its place by hash and doc_id) and __wl_e (words of it that are still taken; of rows that
-    share its place, of each). flow: streams() with the hash __wl_k. Null __wl_ek: the last pass is whole."""
-    about = plan.select(F.col("source").alias("__wl_s"), div(F.col("slots"), F.col("blocks")).alias("rounds"), block_start(F.col("slots") % F.col("blocks"), F.col("words"), F.col("blocks")).alias("__wl_cut"))
-    met = flow.join(F.broadcast(about), F.col("source").eqNullSafe(F.col("__wl_s")))  # a row per source
-    at = met.where((F.col("start") <= F.col("__wl_cut")) & (F.col("__wl_cut") < F.col("start") + F.col("size"))).groupBy("__wl_s").agg(F.min(F.struct("__wl_c", "__wl_k", "doc_id")).alias("e"))
-    tied = flow.join(F.broadcast(at.withColumnRenamed("__wl_s", "__wl_t")), F.col("source").eqNullSafe(F.col("__wl_t")) & (F.col("__wl_k") == F.col("e.__wl_k")) & F.col("doc_id").eqNullSafe(F.col("e.doc_id")))
-    tied = tied.groupBy("__wl_t", "e").agg(F.min("start").alias("first"), F.count("*").alias("same"))
-    out = about.join(tied, F.col("__wl_s").eqNullSafe(F.col("__wl_t")), "left")
-    return out.select("__wl_s", "rounds", F.col("e.__wl_c").alias("__wl_ec"), F.col("e.__wl_k").alias("__wl_ek"), F.col("e.doc_id").alias("__wl_ei"), div(F.col("__wl_cut") - F.col("first"), F.col("same")).alias("__wl_e"))
+    return cut.join(order, F.col("source").eqNullSafe(F.col("__wl_s")) & (F.col("block") == F.col("__wl_b"))).select("slot", "source", "block", "pass_no", "doc_id", "start", *keep, "word_from", "words")
 
 
 def mixed_documents(docs: DataFrame, *, weights=WEIGHTS, share: float = SHARE, passes: int = PASSES, block_words: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
-    """The words that mix() takes, as rows of docs: each document as often as it is taken whole, and the one in each source where the
-    schedule's last block ends once more with just the first words that are taken of it (n_chars, if docs has it, follows).
+    """The pieces of the schedule's slots put together again, as rows of docs: in each pass of a source a document stands as often as
+    its slots take all of its words (text as it is), or with just the first words that they take of it (n_chars, if docs has it, follows).
 
-    A source's slots take its blocks in order, pass by pass, so what is taken of a source is whole passes and the start of
-    one more, up to a word: a row per source says where that is, and each row decides by its own hash. Texts move nowhere.
+    A source's slots take its blocks in order, pass by pass, so a pass takes the start of a source's stream, and only of the document
+    where the last one ends a part. Pieces hold no text; texts move once, by a hash of what places a document, to meet them. Rows that share
+    doc_id, source and size are told apart by the hash of their text.
     """
     names = docs.columns
-    slim = docs.select("doc_id", "source", n_words(text_or_empty()).alias("size"))
-    slim = written(slim, "mix-sizes")
+    key = ("__wl_x", "source", "doc_id", "size")
+    hashed = F.xxhash64("source", "doc_id", "size")
+    slim = written(docs.select("doc_id", "source", n_words(text_or_empty()).alias("size")), "mix-sizes")
     plan = planned(slim, weights=weights, share=share, passes=passes, block_words=block_words)
-    chunks = parts_for(slim.count(), CHUNK_ROWS)
-    place = place_of(seed, chunks)
-    flow = streams(slim, seed=seed).withColumns(place)
-    edge = written(edges(plan, flow), "mix-edges")
-    rows = docs.select(F.struct(*names).alias("__wl_row"), "doc_id", "source", n_words(text_or_empty()).alias("size")).withColumns(place)
-    rows = rows.where("size > 0").join(F.broadcast(edge), F.col("source").eqNullSafe(F.col("__wl_s")))  # a row per source
-    here, there = (F.struct(F.col(c).alias("c"), F.col(k).alias("k"), F.col(i).alias("i")) for c, k, i in (("__wl_c", "__wl_k", "doc_id"), ("__wl_ec", "__wl_ek", "__wl_ei")))
-    extra = F.when(F.col("__wl_ek").isNull(), 0).when(here == there, F.col("__wl_e")).when(here < there, F.col("size")).otherwise(0)
-    whole = F.array_repeat(F.lit(-1).cast("long"), (F.col("rounds") + F.when(extra == F.col("size"), 1).otherwise(0)).cast("int"))
-    cut = F.filter(F.array(F.when((extra > 0) & (extra < F.col("size")), extra).cast("long")), lambda x: x.isNotNull())
-    rows = rows.select("__wl_row", F.explode(F.concat(whole, cut)).alias("__wl_take")).select("__wl_row.*", "__wl_take")
+    slots = written(schedule(plan), "mix-schedule")
+    flow = streams(slim, seed=seed).withColumn("__wl_r", F.row_number().over(Window.partitionBy("source", "doc_id", "size").orderBy("start")))
+    cut = pieces(flow, plan, slots, "__wl_r", "size")
+    each = cut.groupBy("source", "start", "doc_id", "size", "__wl_r", "pass_no").agg(F.sum("words").alias("n"))
+    taken = each.select(hashed.alias("__wl_y"), F.col("source").alias("__wl_s"), F.col("doc_id").alias("__wl_d"), F.col("size").alias("__wl_n"), F.col("__wl_r").alias("__wl_q"), F.when(F.col("n") == F.col("size"), -1).otherwise(F.col("n")).alias("__wl_take"))
+    rows = docs.select(F.struct(*names).alias("__wl_row"), "doc_id", "source", n_words(text_or_empty()).alias("size")).where("size > 0").withColumn("__wl_x", hashed).repartition("__wl_x")
+    rows = rows.withColumn("__wl_r", F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64("__wl_row.text"))))
+    same = (F.col("__wl_x") == F.col("__wl_y")) & F.col("source").eqNullSafe(F.col("__wl_s")) & F.col("doc_id").eqNullSafe(F.col("__wl_d")) & (F.col("size") == F.col("__wl_n")) & (F.col("__wl_r") == F.col("__wl_q"))
+    rows = rows.join(taken, same).select("__wl_row.*", "__wl_take")
     head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({SPACE}*{WORD})"), F.lit(1)), F.lit(1), F.col("__wl_take").cast("int")), "")
     out = rows.withColumn("text", F.when(F.col("__wl_take") < 0, F.col("text")).otherwise(head))
     if "n_chars" in names:
