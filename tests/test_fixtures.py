@@ -1,8 +1,10 @@
 """Hand-checked cases of the outfit engine, and sources by round trip."""
 
+import hashlib
 import io
 import json
 import math
+import time
 import zipfile
 
 import numpy as np
@@ -80,6 +82,21 @@ def test_negatives_swap_one_item(spark):
         assert sum(a != b for a, b in zip(fam[f"{k}_pos"]["items"], fam[f"{k}_neg_1"]["items"])) == 1
 
 
+def test_negatives_from_own_pools_shuffle_each_pool_once(spark):
+    s = frame(spark, [kit("train", f"k{n}", 3 + n % 4) for n in range(40)] + [kit("valid", f"v{n}", 3) for n in range(2)], SAMPLES)
+    own = negatives.negatives(s)
+    assert own.count() == 42 and sorted(map(tuple, own.collect())) == sorted(map(tuple, negatives.negatives(s, metadata(s)).collect()))
+    pool = clean.pools(metadata(s), ["split", "master"]).collect()
+    index = {(r.split, r.master, r.pool_index): r for r in pool}
+    size = {(r.split, r.master): r.pool_size for r in pool}
+    for r in own.collect():  # the first item of another kit from the hashed start on
+        n = size[r.split, r.master]
+        start = int(hashlib.sha256(f"42|start|{r.kit_id}|{r.original_item_id}|1".encode()).hexdigest()[:8], 16) % n
+        assert r.replacement_item_id == next(x.item_id for x in (index[r.split, r.master, (start + k) % n] for k in range(n)) if x.source_kit_id != r.kit_id)
+    plan = own._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("SortMergeJoin") == 0  # pools and probes meet in one shuffle, not by joins of whole tables
+
+
 FAULTS = {
     "outfit_below_min_items": ("items", lambda: F.slice("items", 1, 2)),
     "duplicate_item_inside_outfit": ("items", lambda: F.concat("items", F.slice("items", 1, 1))),
@@ -240,6 +257,20 @@ def test_stage_tables_are_built_once_and_released(spark):
     assert staging.staged(spark, "here", "numbers", build).count() == 5 and len(made) == 2
 
 
+def test_a_stage_leaves_no_shuffle_on_disk(spark):
+    from weftline.sources import staging
+
+    files = lambda: sum("shuffle_" in f.getName() for f in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()))
+    kept, before = [], files()
+    build = lambda: kept.append(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()) or kept[0]
+    assert staging.staged(spark, "there", "counts", build).count() == 7
+    until = time.time() + 10
+    while files() > before and time.time() < until:
+        time.sleep(0.1)
+    assert files() <= before and spark.conf.get(staging.CLEANUP) == "false"
+    staging.release(spark)
+
+
 def test_embeddings(spark):
     rows = [("a", [1.0, 0.0]), ("b", [float("nan"), 0.0]), ("c", [0.0, 0.0]), ("d", [2.0, 0.0]), ("e", [1.0]), ("f", None), (" ", [0.0, 1.0]), ("a", [0.0, 1.0])]
     found = {r.code: r.n for r in expect.embedding_issues(frame(spark, rows, "item_id string, v array<double>"), dim=2).groupBy("code").agg(F.count("*").alias("n")).collect()}

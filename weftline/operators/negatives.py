@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .clean import pools
-
 SEED = 42
 
 
@@ -24,27 +22,47 @@ def numbered(samples: DataFrame, n: int) -> DataFrame:
     return samples.withColumn("negative_number", F.explode(F.sequence(F.lit(1), F.lit(n))))
 
 
-def negatives(samples: DataFrame, metadata: DataFrame, *, per_sample: int = 1) -> DataFrame:
+def negatives(samples: DataFrame, metadata: DataFrame | None = None, *, per_sample: int = 1) -> DataFrame:
     """For each sample one item replaced by one of the same master category and split from another kit.
 
-    samples: split, kit_id, items (structs with item_id, master, coarse); metadata: split, item_id, source_kit_id, master, coarse.
-    Positions are tried in the order of a hash; a position serves if its pool holds items of other kits. From a
-    hashed start the pool is probed in a circle for as many steps as the kit has members in it, plus one, so the
-    first other kit is always met: each probe is one row of an equi-join, never a product of the pool.
+    samples: split, kit_id, items (structs with item_id, master, coarse); metadata: split, item_id, source_kit_id, master, or None if the
+    pools are the samples' own items (then one sample per split and kit, all ids distinct). Positions are tried in the order of a hash; a
+    position serves if its pool holds items of other kits. From a hashed start the pool is probed in a circle for as many steps as the kit
+    has members in it, plus one, so the first other kit is always met: each probe is one row, never a product of the pool.
+
+    A pool is ordered by (two hex digits of the id's hash, id), as in clean.pools(). The sizes of its 256 parts, a row per pool on each
+    executor, tell the part and the rank in it that a probe asks for, so that pool and probes meet in one shuffle by part.
     Returns split, kit_id, negative_number, position, original_item_id, replacement_item_id, replacement_kit_id, master, coarse.
     """
-    pool = pools(metadata, ["split", "master"])
-    own = metadata.groupBy("split", "master", F.col("source_kit_id").alias("kit_id")).agg(F.count("*").alias("own"))
-    sizes = pool.select("split", "master", "pool_size").distinct()
-    spot = numbered(samples, per_sample).select("split", "kit_id", "negative_number", F.posexplode("items").alias("position", "item")).select("split", "kit_id", "negative_number", "position", F.col("item.item_id").alias("original_item_id"), F.col("item.master").alias("master"), F.col("item.coarse").alias("coarse"))
-    spot = spot.join(sizes, ["split", "master"]).join(own, ["split", "master", "kit_id"]).where(F.col("pool_size") > F.col("own"))
+    if metadata is None:
+        rows = samples.select("split", F.col("kit_id").alias("source_kit_id"), F.explode("items").alias("x")).select("split", "source_kit_id", "x.item_id", "x.master")
+        own = lambda x: F.size(F.filter("items", lambda y: y["master"] == x["master"])).cast("long")
+    else:
+        rows = metadata.select("split", "source_kit_id", "item_id", "master")
+        counted = metadata.groupBy("split", F.col("source_kit_id").alias("kit_id"), "master").agg(F.count("*").alias("own"))
+        samples = samples.join(counted.groupBy("split", "kit_id").agg(F.map_from_entries(F.collect_list(F.struct("master", "own"))).alias("_own")), ["split", "kit_id"])
+        own = lambda x: F.try_element_at("_own", x["master"])
+    rows = rows.withColumn("_part", F.conv(F.substring(F.sha2("item_id", 256), 1, 2), 16, 10).cast("int"))
+    sizes = rows.groupBy("split", "master", "_part").agg(F.count("*").alias("_n")).groupBy("split", "master").agg(F.sum("_n").alias("pool_size"), F.collect_list(F.struct("_part", "_n")).alias("_l"))
+    before = lambda p: F.aggregate(F.filter("_l", lambda x: x["_part"] < p), F.lit(0).cast("long"), lambda s, x: s + x["_n"])
+    firsts = sizes.select("split", "master", F.transform(F.sequence(F.lit(0), F.lit(255)), before).alias("_firsts"))
+    by_split = sizes.groupBy("split").agg(F.map_from_entries(F.collect_list(F.struct("master", "pool_size"))).alias("_pools"))
+
     number = F.col("negative_number").cast("string")
-    turn = F.row_number().over(Window.partitionBy("split", "kit_id", "negative_number").orderBy(hashed(F.col("kit_id"), F.col("original_item_id"), number), "position"))
-    spot = spot.withColumn("_turn", turn).where("_turn = 1").drop("_turn")
-    spot = spot.withColumn("_start", F.pmod(hashed_number(F.lit("start"), F.col("kit_id"), F.col("original_item_id"), number), F.col("pool_size")))
-    probe = spot.withColumn("_step", F.explode(F.sequence(F.lit(0).cast("long"), F.col("own")))).withColumn("pool_index", F.pmod(F.col("_start") + F.col("_step"), F.col("pool_size")))
-    other = pool.select("split", "master", "pool_index", F.col("item_id").alias("replacement_item_id"), F.col("source_kit_id").alias("replacement_kit_id"))
-    met = probe.join(other, ["split", "master", "pool_index"]).where(F.col("replacement_kit_id") != F.col("kit_id"))
+    spots = F.transform("items", lambda x, i: F.struct(hashed(F.col("kit_id"), x["item_id"], number).alias("h"), i.alias("position"), x["item_id"].alias("original_item_id"), x["master"].alias("master"), x["coarse"].alias("coarse"), own(x).alias("own"), F.try_element_at("_pools", x["master"]).alias("pool_size")))
+    spot = numbered(samples, per_sample).join(F.broadcast(by_split), "split").select("split", "kit_id", "negative_number", F.array_min(F.filter(spots, lambda s: s["pool_size"] > s["own"])).alias("s")).where("s is not null").select("split", "kit_id", "negative_number", "s.*")
+    start = F.pmod(hashed_number(F.lit("start"), F.col("kit_id"), F.col("original_item_id"), number), F.col("pool_size"))
+    probe = spot.withColumn("_start", start).join(F.broadcast(firsts), ["split", "master"]).withColumn("_step", F.explode(F.sequence(F.lit(0).cast("long"), F.col("own"))))
+    index = F.pmod(F.col("_start") + F.col("_step"), F.col("pool_size"))
+    halves = F.array(*(F.lit(1 << k) for k in range(7, -1, -1)))
+    probe = probe.withColumn("_index", index).withColumn("_part", F.aggregate(halves, F.lit(0), lambda p, h: F.when(F.get("_firsts", p + h) <= F.col("_index"), p + h).otherwise(p)))  # the last part that starts at or before the index
+    probe = probe.select("split", "master", "_part", (F.col("_index") - F.get("_firsts", F.col("_part"))).alias("_want"), "_step", "kit_id", "negative_number", "position", "original_item_id", "coarse")
+    other = rows.select("split", "master", "_part", F.col("item_id").alias("replacement_item_id"), F.col("source_kit_id").alias("replacement_kit_id"))
+    part = Window.partitionBy("split", "master", "_part")
+    rank = F.count("replacement_item_id").over(part.orderBy("replacement_item_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - 1
+    both = other.unionByName(probe, allowMissingColumns=True).withColumn("_at", F.coalesce("_want", rank))
+    same = Window.partitionBy("split", "master", "_part", "_at")  # one item and the probes that ask for it
+    met = both.withColumns({c: F.max(c).over(same) for c in ("replacement_item_id", "replacement_kit_id")}).where(F.col("_want").isNotNull() & (F.col("replacement_kit_id") != F.col("kit_id")))
     best = met.groupBy("split", "kit_id", "negative_number").agg(F.min_by(F.struct("position", "original_item_id", "replacement_item_id", "replacement_kit_id", "master", "coarse"), "_step").alias("x"))
     return best.select("split", "kit_id", "negative_number", "x.*")
 
