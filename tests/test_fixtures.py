@@ -391,3 +391,27 @@ def test_a_row_per_outfit_serves_as_the_rows_per_position(spark):
     classes = F.create_map(*(F.lit(x) for pair in names.items() for x in pair))
     whole = evidence.documents(ranked, frame(spark, [(f"i{i}", names[i + 1]) for i in range(5)], "item_id string, coarse string"))
     assert sorted(map(tuple, evidence.documents_of(found, classes).collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_held_retrieval_equals_blocks_without_a_shuffle(spark):
+    rng = np.random.default_rng(5)
+    unit = lambda: (lambda v: (v / np.linalg.norm(v)).tolist())(rng.normal(0, 1, 8))
+    rows = [(f"i{n:02}", "LM" [n % 2] if n % 7 else None, n % 3, unit()) for n in range(60)]
+    rows[9] = ("i09", "M", 0, rows[11][3])  # a tie
+    catalog = frame(spark, rows, "item_id string, master string, coarse_id int, v array<double>")
+    entry = lambda p, n: (p, rows[n][0], rows[n][2], rows[n][3])
+    asked = [(f"q{k}", k % 3, [entry(p, (7 * k + 5 * p) % 60) for p in range(3 if k % 4 else 4)], None if k % 5 == 0 else "LMx"[k % 3], k % 3) for k in range(20)]
+    q = frame(spark, asked, "query_id string, problem int, entries array<struct<pos: int, item_id: string, coarse_id: int, v: array<double>>>, problem_master string, problem_coarse_id int")
+    q = recommend.retrieval_queries(q, 8)
+    q = q.withColumn("context_query", F.when(F.col("query_id") != "q3", F.col("context_query")))
+    rounded = lambda df: sorted(tuple(round(x, 8) if isinstance(x, float) else -1 if x is None else x for x in r) for r in df.collect())
+    whole, names = recommend.hybrid(q, catalog, k=6), ["query_id", "item_id", "item_rank", "context_rank", "item_similarity", "context_similarity", "order_rank"]
+    assert whole.count() > 60 and rounded(whole.select(names)) == rounded(recommend.held_candidates(q, catalog, k=6).select(names))
+    ranked = recommend.reranked(q, whole, catalog, 8)
+    held = recommend.held_candidates(q, catalog, dim=8, k=6)
+    assert rounded(ranked) == rounded(held.select(ranked.columns))
+    assert rounded(ranked.where("final_rank <= 3")) == rounded(recommend.held_candidates(q, catalog, dim=8, k=6, final=3).select(ranked.columns))
+    here, blocks = (recommend.rank_then_filter(q, catalog, k=20, held_bytes=n) for n in (1 << 20, 0))
+    assert here.count() > 0 and rounded(here) == rounded(blocks)
+    assert all("Exchange" not in df._jdf.queryExecution().executedPlan().toString() for df in (held, here))
+    assert recommend.fits(catalog, 60 * 128) and not recommend.fits(catalog, 60 * 128 - 1)
