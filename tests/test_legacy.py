@@ -51,3 +51,12 @@ def test_verifier(items):
     assert codes(good.withColumn("items", F.lit(None).cast("array<string>"))) == ["items_empty"]
     assert codes(good.withColumn("negative_metadata", m.withField("swapped_item_index", F.lit(-1)))) == ["swapped_item_index_out_of_range"]
     assert codes(good.withColumn("negative_metadata", m.withField("replacement_kit_id", F.lit("a")))) == ["replacement_of_same_kit"]
+
+
+def test_kits_are_made_in_one_shuffle_by_kit(spark):
+    items = spark.createDataFrame([("a_1", "a", 1, "X"), ("a_2", "a", 2, "X"), ("a_3", "a", None, "Y"), ("b_1", "b", 1, "X"), ("c_1", "c", 1, "Y"), ("c_2", "c", 2, "Z")], "item_id string, kit_id string, slot int, master string")
+    kits = legacy.picked(items, per_outfit=2)
+    got = {r.kit_id: [(s.item_id, s.own, s.others, s.pool_size) for s in r.spots] for r in kits.collect()}
+    assert got == {"a": [("a_1", 2, 1, 3), ("a_2", 2, 1, 3), ("a_3", 1, 1, 2)], "c": [("c_1", 1, 1, 2), ("c_2", 1, 0, 1)]}
+    plan = kits._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" not in plan

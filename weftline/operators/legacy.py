@@ -34,14 +34,17 @@ def _picks(per_outfit: int) -> Column:
 def picked(items: DataFrame, *, per_outfit: int = 1, least: int = 2) -> DataFrame:
     """kit_id, spots (position, item_id, master, own, others, pool_size by kit order), picks of kits with at least least items.
 
-    items: item_id, kit_id, slot, master, ids distinct. others counts the items of the category in other kits: a position with none serves never.
+    items: item_id, kit_id, slot, master, ids distinct. One shuffle, by kit: a kit's own items are counted in its row, and the sizes of
+    the pools, a number for each category, are held by each task. others counts the items of the category in other kits: a position with none serves never.
     """
     if per_outfit < 0 or least < 1:
         raise ValueError("per_outfit must be at least 0, least at least 1")
-    sizes = items.groupBy("master").agg(F.count("*").alias("pool_size"))
-    own = items.groupBy("kit_id", "master").agg(F.count("*").alias("own"))
-    met = items.join(own, ["kit_id", "master"]).join(sizes, "master").withColumn("others", F.col("pool_size") - F.col("own"))
-    kits = met.groupBy("kit_id").agg(F.count("*").alias("n_items"), in_kit_order("master", "own", "others", "pool_size").alias("spots"))
+    items = items.where("master is not null")
+    sizes = items.groupBy("master").agg(F.count("*").alias("pool_size")).agg(F.map_from_entries(F.collect_list(F.struct("master", "pool_size"))).alias("_sizes"))  # one row
+    kits = items.groupBy("kit_id").agg(F.count("*").alias("n_items"), in_kit_order("master").alias("_spots")).crossJoin(F.broadcast(sizes))
+    own = lambda s: F.size(F.filter("_spots", lambda t: t["master"] == s["master"])).cast("long")
+    size = lambda s: F.try_element_at("_sizes", s["master"])
+    kits = kits.select("kit_id", "n_items", F.transform("_spots", lambda s: F.struct(s["_none"].alias("_none"), s["_slot"].alias("_slot"), s["item_id"].alias("item_id"), s["master"].alias("master"), own(s).alias("own"), (size(s) - own(s)).alias("others"), size(s).alias("pool_size"))).alias("spots"))
     return kits.where(F.col("n_items") >= least).withColumn("picks", _picks(per_outfit) if per_outfit else F.array().cast(PICKS))
 
 
@@ -91,7 +94,7 @@ def record_issues(records: DataFrame, items: DataFrame) -> DataFrame:
     blank = lambda c: c.isNull() | (F.trim(c) == "")
     at = m["swapped_item_index"]
     positive, negative = F.col("label") == 1, F.col("label") == 0
-    df = records.withColumn("_key", F.sha2(F.to_json(F.struct(*records.columns)), 256)).groupBy("_key").agg(F.first(F.struct(*records.columns)).alias("r"), F.count("*").alias("_copies")).select("_key", "_copies", "r.*")
+    df = records.withColumn("_key", F.unhex(F.sha2(F.to_json(F.struct(*records.columns)), 256))).groupBy("_key").agg(F.first(F.struct(*records.columns)).alias("r"), F.count("*").alias("_copies")).select("_key", "_copies", "r.*")
     asked = df.select("_key", "source_kit_id", F.explode(F.concat(F.transform(F.coalesce(ids, F.array().cast("array<string>")), lambda x: F.struct(F.lit("item").alias("role"), x.alias("item_id"))), F.array(*(F.struct(F.lit(role).alias("role"), m[f"{role}_item_id"].alias("item_id")) for role in ("original", "replacement"))))).alias("a")).select("_key", "source_kit_id", "a.*")
     known = items.select("item_id", F.col("kit_id").alias("_kit"), F.col("master").alias("_master"))
     seen = asked.join(known, "item_id", "left")
