@@ -30,24 +30,24 @@ def category_id(coarse: Column) -> Column:
     return out
 
 
-def audited_items(raw: DataFrame, order: list) -> DataFrame:
+def audited_items(raw: DataFrame, order: list, *, dealt: tuple[str, ...] = ()) -> DataFrame:
     """raw: item_id, master and the columns of order. Adds state: missing, duplicate, malformed or kept, in this order of tests.
 
     Ids and categories are stripped; of rows with one id the first in order counts, but malformed ids count each
-    time. One shuffle, by item id.
+    time. One shuffle, by item id; none if raw lies dealt by the columns dealt, which a well-formed id must determine.
     """
     df = raw.withColumns({"item_id": strip(F.col("item_id")), "master": strip(F.col("master"))})
     bad = F.col("item_id").isNull() | (F.col("item_id") == "") | F.col("master").isNull() | (F.col("master") == "")
     df = df.withColumns({"_bad": bad, "kit_id": kit_of(F.col("item_id")), "slot": slot_of(F.col("item_id"))})
     malformed = ~F.col("item_id").contains("_") | (F.col("kit_id") == "")
     spread = F.when(F.col("_bad"), F.pmod(F.xxhash64(*order), F.lit(SPREAD)))  # missing ids are counted, not compared: they needn't meet
-    turn = F.row_number().over(Window.partitionBy("item_id", spread).orderBy(*order))
+    turn = F.row_number().over(Window.partitionBy(*dealt, "item_id", spread).orderBy(*order))
     state = F.when(F.col("_bad"), "missing").when(malformed, "malformed").when(turn > 1, "duplicate").otherwise("kept")
     return df.withColumn("state", state).drop("_bad")
 
 
-def clean_items(raw: DataFrame, order: list) -> DataFrame:
-    return audited_items(raw, order).where(F.col("state") == "kept").select("item_id", "kit_id", "slot", "master")
+def clean_items(raw: DataFrame, order: list, *, dealt: tuple[str, ...] = ()) -> DataFrame:
+    return audited_items(raw, order, dealt=dealt).where(F.col("state") == "kept").select("item_id", "kit_id", "slot", "master")
 
 
 def item_counters(raw: DataFrame, order: list) -> DataFrame:

@@ -56,13 +56,16 @@ def negatives(samples: DataFrame, metadata: DataFrame | None = None, *, per_samp
     index = F.pmod(F.col("_start") + F.col("_step"), F.col("pool_size"))
     halves = F.array(*(F.lit(1 << k) for k in range(7, -1, -1)))
     probe = probe.withColumn("_index", index).withColumn("_part", F.aggregate(halves, F.lit(0), lambda p, h: F.when(F.get("_firsts", p + h) <= F.col("_index"), p + h).otherwise(p)))  # the last part that starts at or before the index
-    probe = probe.select("split", "master", "_part", (F.col("_index") - F.get("_firsts", F.col("_part"))).alias("_want"), "_step", "kit_id", "negative_number", "position", "original_item_id", "coarse")
-    other = rows.select("split", "master", "_part", F.col("item_id").alias("replacement_item_id"), F.col("source_kit_id").alias("replacement_kit_id"))
+    # a row of the shuffle is an item of the pool or a probe: both name an item and its kit
+    probe = probe.select("split", "master", "_part", (F.col("_index") - F.get("_firsts", F.col("_part"))).alias("_want"), "_step", F.col("original_item_id").alias("_item"), F.col("kit_id").alias("_kit"), "negative_number", "position", "coarse")
+    other = rows.select("split", "master", "_part", F.col("item_id").alias("_item"), F.col("source_kit_id").alias("_kit"))
     part = Window.partitionBy("split", "master", "_part")
-    rank = F.count("replacement_item_id").over(part.orderBy("replacement_item_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - 1
+    pooled = F.col("_want").isNull()
+    rank = F.count_if(pooled).over(part.orderBy("_item").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - 1
     both = other.unionByName(probe, allowMissingColumns=True).withColumn("_at", F.coalesce("_want", rank))
     same = Window.partitionBy("split", "master", "_part", "_at")  # one item and the probes that ask for it
-    met = both.withColumns({c: F.max(c).over(same) for c in ("replacement_item_id", "replacement_kit_id")}).where(F.col("_want").isNotNull() & (F.col("replacement_kit_id") != F.col("kit_id")))
+    found = lambda c: F.max(F.when(pooled, F.col(c))).over(same)
+    met = both.withColumns({"replacement_item_id": found("_item"), "replacement_kit_id": found("_kit")}).where(~pooled & (F.col("replacement_kit_id") != F.col("_kit"))).withColumnsRenamed({"_item": "original_item_id", "_kit": "kit_id"})
     best = met.groupBy("split", "kit_id", "negative_number").agg(F.min_by(F.struct("position", "original_item_id", "replacement_item_id", "replacement_kit_id", "master", "coarse"), "_step").alias("x"))
     return best.select("split", "kit_id", "negative_number", "x.*")
 
@@ -102,6 +105,9 @@ def families(samples: DataFrame, made: DataFrame) -> DataFrame:
     one = made.groupBy("split", "kit_id").agg(F.count("*").alias("n"), F.first(F.struct("position", "original_item_id", "replacement_item_id", "replacement_kit_id", "master", "coarse")).alias("swap")).where("n = 1").drop("n")
     df = samples.select("split", "kit_id", F.col("items.item_id").alias("items"), F.col("items.coarse").alias("coarse")).join(one, ["split", "kit_id"])
     swapped = F.transform("items", lambda x, i: F.when(i == F.col("swap.position"), F.col("swap.replacement_item_id")).otherwise(x))
-    positive = df.select("split", F.concat("kit_id", F.lit("_pos")).alias("sample_id"), F.col("kit_id").alias("source_kit_id"), F.lit(None).cast("string").alias("pair_id"), F.lit(1).alias("label"), "items", "coarse", F.when(F.lit(False), F.col("swap")).alias("swap"))
-    negative = df.select("split", F.concat("kit_id", F.lit("_neg_1")).alias("sample_id"), F.col("kit_id").alias("source_kit_id"), F.concat("kit_id", F.lit("_pos")).alias("pair_id"), F.lit(0).alias("label"), swapped.alias("items"), "coarse", "swap")
-    return positive.unionByName(negative)
+    name = lambda end: F.concat("kit_id", F.lit(end))
+    side = lambda sample_id, pair_id, label, items, swap: F.struct(sample_id.alias("sample_id"), pair_id.alias("pair_id"), F.lit(label).alias("label"), items.alias("items"), swap.alias("swap"))
+    positive = side(name("_pos"), F.lit(None).cast("string"), 1, F.col("items"), F.when(F.lit(False), F.col("swap")))
+    negative = side(name("_neg_1"), name("_pos"), 0, swapped, F.col("swap"))
+    both = df.select("split", F.col("kit_id").alias("source_kit_id"), "coarse", F.explode(F.array(positive, negative)).alias("r"))  # one join for both sides
+    return both.select("split", "r.sample_id", "source_kit_id", "r.pair_id", "r.label", "r.items", "coarse", "r.swap")
