@@ -629,3 +629,22 @@ def test_mixing_takes_what_the_schedule_takes(spark, monkeypatch):
     for r in mixing.mixed_documents(df, block_words=16).collect():
         words[r.source] += len(WORD.findall(r.text))
     assert words == taken
+
+
+def test_mixing_writes_few_files(spark, tmp_path, monkeypatch):
+    """Each file that executors write costs processes on a local file system: 200 small input files are not 200 small files twice more."""
+    made = []
+    monkeypatch.setattr(mixing, "written", lambda df, name, *, whole=mixing.written: made.append((name, whole(df, name))) or made[-1][1])
+    rows = [(i, "ab"[i % 2], " ".join(f"w{k}" for k in range(5 + i % 40))) for i in range(1000)]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(200).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.conf.set("spark.sql.files.openCostInBytes", str(1 << 30))  # a partition for each file
+    try:
+        assert spark.read.parquet(f"{tmp_path}/documents.parquet").rdd.getNumPartitions() == 200
+        out = mixing.op7_mix(spark, str(tmp_path))
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    files = {name: len(df.inputFiles()) for name, df in made}
+    assert set(files) == {"mix-sizes", "mix-targets"} and files["mix-sizes"] <= 25
+    got = out.collect()
+    assert {r.doc_id: r["size"] for r in got} == {i: len(t.split()) for i, _, t in rows}
+    assert all(0 <= r.taken <= 2 * r["size"] for r in got) and abs(sum(r.taken for r in got) - 1.5 * sum(r["size"] for r in got)) <= 256

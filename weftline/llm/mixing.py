@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD, n_words, parts_for, table, text_or_empty, written
+from .common import SPACE, WORD, merged, n_words, parts_for, table, text_or_empty, written
 
 #: Weights of the sources in their order, repeating; share of all words that the mix has; most times that a source is taken.
 WEIGHTS, SHARE, PASSES = (5, 2, 1), 1.5, 2
@@ -142,8 +142,7 @@ def mix(docs: DataFrame, *, size: str | None = None, weights=WEIGHTS, share: flo
     sized = docs.select(*(c for c in docs.columns if c not in ADDED), count.alias("size"))
     plan = planned(sized, weights=weights, share=share, passes=passes, block_words=block_words)
     flow = streams(sized, seed=seed)
-    slots = written(schedule(plan), "mix-schedule")
-    mixed = pieces(flow, plan, slots)
+    mixed = pieces(flow, plan, schedule(plan))
     about = plan.select(F.col("source").alias("__wl_s"), F.col("words").alias("source_size"), "target")
     rows = flow.join(F.broadcast(about), F.col("source").eqNullSafe(F.col("__wl_s"))).drop("__wl_s")  # a row per source
     sums = mixed.groupBy(F.col("source").alias("__wl_s"), F.col("start").alias("__wl_at")).agg(F.sum("words").alias("taken"))
@@ -180,9 +179,8 @@ def mixed_documents(docs: DataFrame, *, weights=WEIGHTS, share: float = SHARE, p
     hashed = F.xxhash64("source", "doc_id", "size")
     slim = written(docs.select("doc_id", "source", n_words(text_or_empty()).alias("size")), "mix-sizes")
     plan = planned(slim, weights=weights, share=share, passes=passes, block_words=block_words)
-    slots = written(schedule(plan), "mix-schedule")
     flow = streams(slim, seed=seed).withColumn("__wl_r", F.row_number().over(Window.partitionBy("source", "doc_id", "size").orderBy("start")))
-    cut = pieces(flow, plan, slots, "__wl_r", "size")
+    cut = pieces(flow, plan, schedule(plan), "__wl_r", "size")
     each = cut.groupBy("source", "start", "doc_id", "size", "__wl_r", "pass_no").agg(F.sum("words").alias("n"))
     taken = each.select(hashed.alias("__wl_y"), F.col("source").alias("__wl_s"), F.col("doc_id").alias("__wl_d"), F.col("size").alias("__wl_n"), F.col("__wl_r").alias("__wl_q"), F.when(F.col("n") == F.col("size"), -1).otherwise(F.col("n")).alias("__wl_take"))
     rows = docs.select(F.struct(*names).alias("__wl_row"), "doc_id", "source", n_words(text_or_empty()).alias("size")).where("size > 0").withColumn("__wl_x", hashed).repartition("__wl_x")
@@ -198,5 +196,5 @@ def mixed_documents(docs: DataFrame, *, weights=WEIGHTS, share: float = SHARE, p
 
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", n_words(text_or_empty()).alias("words"))
-    rows, _ = mix(written(docs, "mix-sizes"), size="words")
+    rows, _ = mix(written(merged(docs), "mix-sizes"), size="words")
     return rows.select("doc_id", "size", "source_size", "target", "taken")
