@@ -6,6 +6,7 @@ import pytest
 
 from weftline.operators import clean, negatives
 from weftline.plans import domain
+from weftline.sources import staging
 
 SF = "/root/testdata/sf0.001"
 
@@ -47,3 +48,24 @@ def test_both_sides_of_a_family_come_from_one_join(spark, joins):
     assert (rows[1].sample_id, rows[1].pair_id, rows[1]["items"], rows[1].swap) == ("k_pos", None, ["k_1", "k_2"], None)
     assert (rows[0].sample_id, rows[0].pair_id, rows[0]["items"], rows[0].swap.position) == ("k_neg_1", "k_pos", ["k_1", "m_7"], 1)
     assert len(rows) == got.count() == 2
+
+
+def test_a_query_of_one_split_builds_its_kits_only(spark):
+    sf = f"{SF}/"  # a source of which the session has no stages
+    rows = lambda df: Counter(map(str, df.collect()))
+    got = domain.records(spark, sf, domain.TEST)
+    assert not staging.made(spark, sf, "items") and not staging.made(spark, sf, "records")
+    kits = {r.kit_id for r in domain.kits(spark, sf).where("split = 'test'").select("kit_id").collect()}
+    assert {r.kit_id for r in domain.items(spark, sf, domain.TEST).select("kit_id").collect()} <= kits
+    assert got.count() > 0 and rows(got) == rows(domain.records(spark, SF).where("split = 'test'"))
+    assert rows(domain.records(spark, SF, domain.TEST)) == rows(got)  # from the table of all, which is there
+
+
+def test_items_of_a_split_are_those_of_all(spark, tmp_path):
+    lines = [(1, 1, 1, 5.0), (1, 1, 2, 4.0), (1, 2, 7, 50.0), (1, 3, 7, 49.0), (1, 3, 7, None), (1, 2, None, 50.0), (2, 1, 1, 1.0), (3, 1, 1, 1.0), (4, 1, 1, 1.0), (None, 1, 1, 1.0), (1, None, 1, 1.0), (1, 4, 1, 1.0), (1, 5, 1, 1.0), (1, 9, 1, 1.0)]
+    spark.createDataFrame([(*x, 1, 2.0) for x in lines], "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double, l_suppkey long, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, "Brand#1"), (2, " Brand#2 "), (3, "Brand#3"), (4, None), (5, " ")], "p_partkey long, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(1, "P", "x"), (1, "P", "x"), (2, "F", "x"), (3, None, "x"), (None, "P", "x")], "o_orderkey long, o_orderstatus string, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    got = Counter(domain.items(spark, str(tmp_path), "test").collect())
+    assert got == Counter(r for r in domain.items(spark, str(tmp_path)).collect() if r.kit_id in ("1", "3"))
+    assert {r.item_id for r in got} == {"1_1", "1_2", "1_3", "3_1"} and max(got.values()) == 1
